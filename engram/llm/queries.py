@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from engram.llm import mixture, quality_rules, token_output
+from engram.llm import compression_quality, license_scan, mixture, quality_rules, token_output, toxicity
 
 QUERIES = {
+    "op1_compression_quality": compression_quality.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixture.query,
+    "op7_license_scan": license_scan.query,
+    "op9_toxicity": toxicity.query,
     "op10_token_output": token_output.query,
 }
 
