@@ -57,6 +57,11 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
 
 
+def doc_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
+    """Columns k and k2, 96 bits of hash of a row's id and text: the same for equal rows only."""
+    return [F.xxhash64(doc_id, text).alias("k"), F.hash(text, doc_id).alias("k2")]
+
+
 # ---------------------------------------------------------------- bytes and words
 
 
@@ -103,6 +108,15 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span; the spans follow each other and make up all of data."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    step = np.arange(len(data)) - np.repeat(starts, lens)
+    h = np.add.reduceat(_BYTE_VALUES[data] * powers(int(lens.max()) + 1)[step], starts)
+    return mix(h + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class Piece:
     """Some whole documents of a batch: row numbers from..to, their bytes, and offsets into these."""
 
@@ -153,10 +167,7 @@ class Words:
         lens = self.ends - self.starts
         at = np.zeros(self.n, np.int64)
         np.cumsum(lens[:-1], out=at[1:])
-        chars = self.data[self.inside]
-        step = np.arange(len(chars)) - np.repeat(at, lens)
-        h = np.add.reduceat(_BYTE_VALUES[chars] * powers(int(lens.max()) + 1)[step], at)
-        return mix(h + lens.astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.data[self.inside], at, lens)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words of a document, and the number of the first word of each."""

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from engram.llm import compression_quality, license_scan, mixture, quality_rules, token_output, toxicity
+from engram.llm import compression_quality, decontamination, license_scan, mixture, quality_rules, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_compression_quality": compression_quality.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixture.query,
     "op7_license_scan": license_scan.query,
+    "op8_decontamination": decontamination.query,
     "op9_toxicity": toxicity.query,
     "op10_token_output": token_output.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_decontamination": decontamination.ORACLE,
+}

@@ -49,7 +49,7 @@ MAX_WORDS = 200
 #: Least z of a word's log-odds, and least number of documents that have it.
 MIN_Z = 3.0
 MIN_DOCS = 4
-RIDGE = 0.5
+RIDGE = 0.1
 THRESHOLD = 0.5
 
 
@@ -65,25 +65,22 @@ class Link:
 
 
 class Bags:
-    """Distinct words of documents with their counts: three parallel arrays, by document."""
+    """Distinct words of documents: two parallel arrays, by document."""
 
     def __init__(self, doc: np.ndarray, word: np.ndarray, n_docs: int):
-        # a hash of the pair orders equal words of a document together
         order = np.lexsort((word, doc))
         doc, word = doc[order], word[order]
         head = np.ones(len(doc), bool)
         head[1:] = (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])
-        at = np.flatnonzero(head)
-        self.doc, self.word, self.n = doc[at], word[at], np.diff(np.append(at, len(doc)))
-        self.n_docs = n_docs
+        self.doc, self.word, self.n_docs = doc[head], word[head], n_docs
 
     def matrix(self, words: np.ndarray) -> np.ndarray:
-        """log(1 + count) of each given word (sorted hashes) in each document."""
+        """1 for each given word (sorted hashes) that a document has."""
         out = np.zeros((self.n_docs, len(words)))
         if len(words):
             col = np.minimum(np.searchsorted(words, self.word), len(words) - 1)
             hit = words[col] == self.word
-            out[self.doc[hit], col[hit]] = np.log1p(self.n[hit])
+            out[self.doc[hit], col[hit]] = 1
         return out
 
 
