@@ -22,27 +22,28 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import materialize, table
+from engram.llm.common import U64, Piece, byte_class, materialize, pieces, span_hashes, table
 
 #: A segment closes once it has so many ids.
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces whose ids a worker remembers; beyond, it starts anew.
-MEMO_PIECES = 300_000
+#: Distinct parts of texts whose ids a worker remembers (some 40 bytes each); beyond, it starts anew.
+MEMO_PARTS = 2_500_000
+PIECE_BYTES = 4_000_000
 BLOCK = 512
 
-SEGMENT = "part int, seg int, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_l int, docs_low binary, docs_high binary, docs_l int"
+SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_l int, docs_low binary, docs_high binary, docs_l int"
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -114,40 +115,108 @@ class EliasFano:
 
 # ---------------------------------------------------------------- tokens
 
-# White space as Unicode's property has it. A byte-level BPE with the usual pattern never joins
-# white space to a non-space before it, so a text may be cut there and the parts encoded alone.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_CUT = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+# A text may be cut before an ASCII non-letter that follows an ASCII letter, and before ASCII white
+# space that follows a byte of anything else: the pattern of a byte-level BPE never joins across
+# these, so the parts can be encoded alone. Both cuts fall on character boundaries.
+_SPACE = byte_class("20-20 09-0D")
+_LETTER = byte_class("41-5A 61-7A")
+_OTHER = byte_class("00-40 5B-60 7B-7F")
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, each distinct part encoded once while it is remembered."""
+    """Ids of texts by the tokenizers library, each distinct part encoded once while it is remembered.
 
-    def __init__(self, path: str):
+    Parts are known by a 64-bit hash of their bytes. The remembered parts are two sorted arrays, a
+    long one and a short one of the latest that is merged into it now and then.
+    """
+
+    def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.specials = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text with the end id, as little-endian bytes."""
-        cut = [None if x and any(s in x for s in self.specials) else _CUT.findall(x or "") for x in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        memo = self.memo
-        new = list({p for parts in cut if parts for p in parts if p not in memo})
-        for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[p] = np.array(e.ids, self.type).tobytes()
-        end = np.array([END_ID], self.type).tobytes()
-        get = memo.__getitem__
-        # a text with the string of a special token is encoded as it stands
-        return [(np.array(self.tok.encode(x, add_special_tokens=False).ids, self.type).tobytes() if parts is None else b"".join(map(get, parts))) + end for x, parts in zip(texts, cut, strict=True)]
+        self.limit = memo_parts
+        self.end = np.array([END_ID], self.type).tobytes()
+        self.forget()
+
+    def forget(self) -> None:
+        self.levels = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2  # hashes, numbers of the parts
+        self.starts, self.lens, self.ids = (np.zeros(1 << 10, t) for t in (np.int64, np.int32, self.type))
+        self.n, self.used = 0, 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+
+    def _add(self, hashes: np.ndarray, parts: list[str]) -> np.ndarray:
+        """Encode new parts (by ascending hash); their numbers."""
+        got = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        lens = np.fromiter(map(len, got), np.int32, len(got))
+        total = int(lens.sum())
+        self.starts, self.lens = self._room(self.starts, self.n + len(got)), self._room(self.lens, self.n + len(got))
+        self.ids = self._room(self.ids, self.used + total)
+        self.starts[self.n : self.n + len(got)] = self.used + np.cumsum(lens) - lens
+        self.lens[self.n : self.n + len(got)] = lens
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.type, total)
+        numbers = np.arange(self.n, self.n + len(got))
+        self.n, self.used = self.n + len(got), self.used + total
+        long, short = self.levels
+        short = self._merge(short, (hashes, numbers))
+        self.levels = [self._merge(long, short), (np.zeros(0, U64), np.zeros(0, np.int64))] if len(short[0]) > 1 << 17 else [long, short]
+        return numbers
+
+    @staticmethod
+    def _merge(a: tuple, b: tuple) -> tuple:
+        h, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(h, kind="stable")  # a merge: both parts ascend
+        return h[order], n[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, np.int64)
+        for known, numbers in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def encode(self, piece: Piece) -> list[bytes]:
+        """The ids of each document with the end id, as little-endian bytes."""
+        data, offsets = piece.data, piece.offsets
+        if not len(data):
+            return [self.end] * piece.n
+        cut = np.zeros(len(data), bool)
+        space, letter, other = _SPACE[data], _LETTER[data], _OTHER[data]
+        cut[1:] = ~space[:-1] & space[1:] | letter[:-1] & other[1:]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        lens = np.diff(np.append(starts, len(data)))
+        distinct, sample, back = np.unique(span_hashes(data, starts, lens), return_index=True, return_inverse=True)
+        if self.n + len(distinct) > self.limit:
+            self.forget()
+        number = self._find(distinct)
+        new = np.flatnonzero(number < 0)
+        raw = data.tobytes()
+        if len(new):
+            at = starts[sample[new]]
+            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), (at + lens[sample[new]]).tolist(), strict=True)]
+            number[new] = self._add(distinct[new], parts)
+        size, first = self.lens[number][back].astype(np.int64), self.starts[number][back]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)].tobytes()
+        bounds = (ends[np.searchsorted(starts, offsets)] * self.width).tolist()
+        out = [ids[a:b] + self.end for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if any(s in raw for s in self.specials):  # a text with a special token's string is encoded as it stands
+            for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                if any(s in raw[a:b] for s in self.specials):
+                    text = raw[a:b].decode("utf-8", "replace")
+                    out[i] = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.type).tobytes() + self.end
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -162,13 +231,13 @@ def encoder(path: str) -> Encoder:
 # ---------------------------------------------------------------- writing and reading
 
 
-def _segment(part: int, seg: int, ids: list[int | None], tokens: list[bytes], width: int) -> dict:
+def _segment(part: int, seg: int, at: int, ids: list[int | None], tokens: list[bytes], width: int) -> dict:
     known = np.array([x for x in ids if x is not None], np.int64)
     base = int(known[0]) if len(known) else 0
     ends = EliasFano.encode(np.cumsum([len(t) // width for t in tokens]))
     docs = EliasFano.encode((known - base).astype(np.uint64))
     return {
-        "part": part, "seg": seg, "n_docs": len(ids), "n_ids": sum(map(len, tokens)) // width, "n_null": len(ids) - len(known), "width": width, "base_id": base,
+        "part": part, "seg": seg, "part_offset": at, "n_docs": len(ids), "n_ids": sum(map(len, tokens)) // width, "n_null": len(ids) - len(known), "width": width, "base_id": base,
         "ids": b"".join(tokens), "ends_low": ends.low, "ends_high": ends.high, "ends_l": ends.l, "docs_low": docs.low, "docs_high": docs.high, "docs_l": docs.l,
     }
 
@@ -180,22 +249,22 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
         from pyspark import TaskContext
 
         part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
-        ids, tokens, size, seg = [], [], 0, 0
+        ids, tokens, size, seg, at = [], [], 0, 0, 0
         schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SEGMENT.split(", "))])
 
         def close():
-            return pa.RecordBatch.from_pylist([_segment(part, seg, ids, tokens, enc.width)], schema)
+            return pa.RecordBatch.from_pylist([_segment(part, seg, at, ids, tokens, enc.width)], schema)
 
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                some = batch.slice(i, 256)
-                for d, t in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist()), strict=True):
+            known = batch.column(0).to_pylist()
+            for piece in pieces(batch.column(1), PIECE_BYTES):
+                for d, t in zip(known[piece.first :], enc.encode(piece), strict=False):
                     ids.append(d)
                     tokens.append(t)
                     size += len(t) // enc.width
                     if size >= segment_ids:
                         yield close()
-                        ids, tokens, size, seg = [], [], 0, seg + 1
+                        at, ids, tokens, size, seg = at + size, [], [], 0, seg + 1
         if ids:
             yield close()
 
@@ -217,11 +286,11 @@ def read_segment(row: dict, offset: int) -> Iterator[tuple[int | None, int, int,
 
 def read_back(segments: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from written segments."""
-    # one row a segment here: a segment has about a million ids, so the window's rows are few
+    # one number a range partition: this small table is written, so that Spark broadcasts it by its size
     sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sums.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"))
-    starts = segments.select("part", "seg", "n_ids").withColumn("seg_start", F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg")) - F.col("n_ids")).join(before, "part")
-    starts = starts.select("part", "seg", (F.col("part_start") + F.col("seg_start")).alias("offset"))
+    before = materialize(segments.sparkSession, before, "part-starts")
+    dealt = segments.join(before, "part").withColumn("offset", F.col("part_start") + F.col("part_offset"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +300,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                 cols = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.join(starts, ["part", "seg"]).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
