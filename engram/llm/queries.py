@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from engram.llm import compression_quality, decontamination, license_scan, mixture, quality_rules, substring_dedup, token_output, toxicity
+from engram.llm import compression_quality, decontamination, license_scan, mixture, near_duplicates, quality_rules, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_compression_quality": compression_quality.query,
     "op3_substring_dedup": substring_dedup.query,
+    "op4_near_duplicates": near_duplicates.query,
     "op5_quality_rules": quality_rules.query,
     "op6_source_mixing": mixture.query,
     "op7_license_scan": license_scan.query,
