@@ -206,5 +206,48 @@ def pieces(col: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
         first = last
 
 
+class HashMemo:
+    """Numbers 0, 1, 2, ... of hashes, in the order they were added: a long sorted array, and a short
+    one of the latest that is merged into it now and then."""
+
+    SHORT = 1 << 17
+
+    def __init__(self):
+        self.n = 0
+        self.levels = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2
+
+    @staticmethod
+    def _merge(a: tuple, b: tuple) -> tuple:
+        h, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+        order = np.argsort(h, kind="stable")  # a merge: both parts ascend
+        return h[order], n[order]
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, -1 if unknown."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, numbers in self.levels:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                hit = known[at] == hashes
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers of new hashes, which ascend."""
+        numbers = np.arange(self.n, self.n + len(hashes))
+        self.n += len(hashes)
+        long, short = self.levels
+        short = self._merge(short, (hashes, numbers))
+        if len(short[0]) > self.SHORT:
+            long, short = self._merge(long, short), (np.zeros(0, U64), np.zeros(0, np.int64))
+        self.levels = [long, short]
+        return numbers
+
+
+def room(a: np.ndarray, n: int) -> np.ndarray:
+    """a, longer if it has less than n places."""
+    return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+
+
 def strings(texts: list[str | None]) -> pa.Array:
     return pa.array(texts, pa.large_string())

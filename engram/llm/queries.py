@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from engram.llm import compression_quality, decontamination, license_scan, mixture, near_duplicates, quality_rules, substring_dedup, token_output, toxicity
+from engram.llm import compression_quality, context_mixing, decontamination, license_scan, mixture, near_duplicates, quality_rules, substring_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_compression_quality": compression_quality.query,
+    "op2_context_mixing": context_mixing.query,
     "op3_substring_dedup": substring_dedup.query,
     "op4_near_duplicates": near_duplicates.query,
     "op5_quality_rules": quality_rules.query,

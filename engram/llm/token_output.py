@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import U64, Piece, byte_class, materialize, pieces, span_hashes, table
+from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces, room, span_hashes, table
 
 #: A segment closes once it has so many ids.
 SEGMENT_IDS = 1 << 20
@@ -126,8 +126,7 @@ _OTHER = byte_class("00-40 5B-60 7B-7F")
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct part encoded once while it is remembered.
 
-    Parts are known by a 64-bit hash of their bytes. The remembered parts are two sorted arrays, a
-    long one and a short one of the latest that is merged into it now and then.
+    Parts are known by a 64-bit hash of their bytes.
     """
 
     def __init__(self, path: str, memo_parts: int = MEMO_PARTS):
@@ -145,46 +144,24 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.levels = [(np.zeros(0, U64), np.zeros(0, np.int64))] * 2  # hashes, numbers of the parts
+        self.memo = HashMemo()
         self.starts, self.lens, self.ids = (np.zeros(1 << 10, t) for t in (np.int64, np.int32, self.type))
-        self.n, self.used = 0, 0
-
-    @staticmethod
-    def _room(a: np.ndarray, n: int) -> np.ndarray:
-        return a if len(a) >= n else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+        self.used = 0
 
     def _add(self, hashes: np.ndarray, parts: list[str]) -> np.ndarray:
         """Encode new parts (by ascending hash); their numbers."""
         got = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
         lens = np.fromiter(map(len, got), np.int32, len(got))
         total = int(lens.sum())
-        self.starts, self.lens = self._room(self.starts, self.n + len(got)), self._room(self.lens, self.n + len(got))
-        self.ids = self._room(self.ids, self.used + total)
-        self.starts[self.n : self.n + len(got)] = self.used + np.cumsum(lens) - lens
-        self.lens[self.n : self.n + len(got)] = lens
+        numbers = self.memo.add(hashes)
+        self.starts, self.lens = room(self.starts, self.memo.n), room(self.lens, self.memo.n)
+        self.ids = room(self.ids, self.used + total)
+        self.starts[numbers] = self.used + np.cumsum(lens) - lens
+        self.lens[numbers] = lens
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), self.type, total)
-        numbers = np.arange(self.n, self.n + len(got))
-        self.n, self.used = self.n + len(got), self.used + total
-        long, short = self.levels
-        short = self._merge(short, (hashes, numbers))
-        self.levels = [self._merge(long, short), (np.zeros(0, U64), np.zeros(0, np.int64))] if len(short[0]) > 1 << 17 else [long, short]
+        self.used += total
         return numbers
 
-    @staticmethod
-    def _merge(a: tuple, b: tuple) -> tuple:
-        h, n = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
-        order = np.argsort(h, kind="stable")  # a merge: both parts ascend
-        return h[order], n[order]
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.full(len(hashes), -1, np.int64)
-        for known, numbers in self.levels:
-            if len(known):
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                out[hit] = numbers[at[hit]]
-        return out
-
     def encode(self, piece: Piece) -> list[bytes]:
         """The ids of each document with the end id, as little-endian bytes."""
         data, offsets = piece.data, piece.offsets
@@ -197,9 +174,9 @@ class Encoder:
         starts = np.flatnonzero(cut)
         lens = np.diff(np.append(starts, len(data)))
         distinct, sample, back = np.unique(span_hashes(data, starts, lens), return_index=True, return_inverse=True)
-        if self.n + len(distinct) > self.limit:
+        if self.memo.n + len(distinct) > self.limit:
             self.forget()
-        number = self._find(distinct)
+        number = self.memo.find(distinct)
         new = np.flatnonzero(number < 0)
         raw = data.tobytes()
         if len(new):
