@@ -83,11 +83,12 @@ def contained(spark: SparkSession, docs: DataFrame, bench: DataFrame, threshold:
     probes = hashed(keyed, "k", "k2").select("k", "k2", F.explode(F.filter("h", lambda h: h <= F.lit(ceiling))).alias("h"))
     found = probes.join(sk, "h").where(F.col("h") <= F.col("top")).select("k", "k2", "item").distinct()
     candidates = materialize(spark, found, "candidates")
-    wanted = items.withColumn("want", shingles(words(F.col("text")))).select("item", "item_id", "want")
+    wanted = items.withColumn("w", words(F.col("text"))).withColumn("want", shingles(F.col("w"))).select("item", "item_id", "want")
     pairs = keyed.join(candidates, ["k", "k2"]).join(wanted, "item")
     pairs = pairs.withColumn("have", words(F.col("text")))
     counted = pairs.select("k", "k2", "doc_id", "item_id", F.size(F.array_intersect(shingles(F.col("have")), "want")).cast("long").alias("n_shared"), F.size("want").cast("long").alias("n_shingles"))
-    return counted.where(F.col("n_shared") >= threshold * F.col("n_shingles"))
+    # written before the threshold: as a filter above it would be pushed below, and each shingle's words cut anew
+    return materialize(spark, counted, "pairs").where(F.col("n_shared") >= threshold * F.col("n_shingles"))
 
 
 def clean_rows(spark: SparkSession, docs: DataFrame, bench: DataFrame) -> DataFrame:
