@@ -213,7 +213,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, depths: tuple = DEPTHS
     asked = widest.select(F.col("u").alias("rid")).union(widest.select("v")).distinct()
     asked = materialize(spark, asked.join(reps.select("rid", "t1", "t2", "text_id"), "rid"), "asked")
     # one document of each text: the one whose id names it (null ids only where there is no other)
-    own = keyed.join(asked, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("text_id"))).select("rid", "text")
+    # a sort-merge join whatever the size, so that the texts' one shuffle is the same share of any input
+    own = keyed.join(asked.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("text_id"))).select("rid", "text")
     sets = materialize(spark, shingle_sets(own), "shingles")
 
     for depth in depths:
