@@ -24,6 +24,7 @@ an empty result; other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -133,7 +134,13 @@ def train(texts: list[bytes], labels: np.ndarray, folds: np.ndarray) -> QualityM
     return QualityModel(dictionary(pick(everything, 1)), dictionary(pick(everything, 0)), scale, logistic(x / scale, labels))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_chars: int) -> list:
+class Training(NamedTuple):
+    doc_id: int
+    text: str
+    label: int
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_chars: int) -> list[Training]:
     """At most `sample` rows (doc_id, text, label) of each value of label, by a seeded hash of the id."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
     rank = F.xxhash64(F.lit(SEED), "doc_id")
@@ -141,7 +148,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, m
     picked = [known.where(F.col("label") == y).orderBy(rank, "doc_id").limit(sample) for y in (0, 1)]
     ids = picked[0].union(picked[1])
     rows = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
-    return sorted(rows.dropDuplicates(["doc_id"]).collect(), key=lambda r: r.doc_id)
+    got = rows.dropDuplicates(["doc_id"]).toArrow()
+    return sorted(map(Training._make, zip(*(got.column(c).to_pylist() for c in Training._fields), strict=True)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, max_chars: int = MAX_TRAIN_CHARS) -> QualityModel:
