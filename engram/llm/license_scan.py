@@ -1,9 +1,8 @@
 """Licence scans: a positional index of rare licence words.
 
 Templates are short licence notices, as words in lower case. Spark counts in how many documents
-each template word occurs; idf = ln((documents + 1) / (with the word + 1)). A file is looked up by
-its highest-idf licence words: those with at least the median idf of the template vocabulary, the
-LOOKUPS rarest that it has. Each place of such a word in the file and in a template votes for one
+each template word occurs; idf = ln((documents + 1) / (with the word + 1)). Each template is indexed
+by its KEYS words of highest idf, and a file is looked up by the LOOKUPS highest of these that it has. Each place of such a word in the file and in a template votes for one
 relative position (place in the file minus place in the template); the votes, added over words,
 are the intersection of the postings by relative position. Each voted position is scored by the
 idf of the template's words found at their places (one word early or late still counts) over the
@@ -51,7 +50,8 @@ TEMPLATES = [
     ("cc", "This work is licensed under a Creative Commons Attribution 4.0 International License", ["creative commons"]),
 ]
 
-LOOKUPS = 8
+KEYS = 8
+LOOKUPS = 12
 MIN_SCORE = 0.6
 
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -85,9 +85,10 @@ class Index:
         self.keys = [[[number[w] for w in p] for p in k] for k in keys]
         self.phrases = [([number[w] for w in p], label) for p, label in phrases]
         self.idf = np.array([(idf or {}).get(w, 1.0) for w in self.vocabulary])
-        of_bodies = np.unique(np.concatenate(self.bodies))
         self.rare = np.zeros(len(every), bool)
-        self.rare[of_bodies] = self.idf[of_bodies] >= np.median(self.idf[of_bodies])
+        for body in self.bodies:
+            own = np.unique(body)
+            self.rare[own[np.lexsort((own, -self.idf[own]))][:KEYS]] = True
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, body in enumerate(self.bodies):
             for q, w in enumerate(body.tolist()):
