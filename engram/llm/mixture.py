@@ -18,7 +18,7 @@ Documents are counted in slices of the hash range, so that ranks are taken insid
 over all documents of a length: a length that a third of all rows share is spread over all slices.
 Results depend on the seed alone, not on the number of slices or partitions.
 
-Edge cases: a null text has 0 words; a document of 0 words takes 0; a null source is a source of
+Edge cases: a null text has 0 words; a document of 0 words is not taken; a null source is a source of
 its own, last; a source without words has target 0; repeated rows are documents of their own
 (rows with equal doc_id, source and length take turns in no particular order, they are alike);
 an empty table gives an empty result; other columns are ignored or kept as they are.
@@ -145,7 +145,7 @@ def choose(spark: SparkSession, sized: DataFrame, weights: tuple = WEIGHTS, shar
     cut = counted.withColumn("ahead", ahead).join(planned, key).select(*key, "slice", "passes", (F.col("extra") - F.col("ahead")).alias("open"))
     rank = F.row_number().over(Window.partitionBy(*key, "slice").orderBy("h", "doc_id"))
     ranked = named.withColumn("rank", rank).join(cut, [*key, "slice"]).join(aimed, ["no_source", "src"])
-    copies = F.col("passes") + F.when((F.col("size") > 0) & (F.col("rank") <= F.col("open")), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("rank") <= F.col("open")).cast("int")).otherwise(0)
     return ranked.withColumn("copies", copies).select(*sized.columns, "source_size", "target", "copies")
 
 
