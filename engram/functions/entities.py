@@ -100,10 +100,14 @@ def query_mentions(text: Column, known: dict[str, str] | None = None) -> Column:
     known = KNOWN_NAMES if known is None else known
     one = lambda n, t, c: F.struct(n.alias("name"), t.alias("entity_type"), F.lit(c).alias("confidence"))
     lower = F.lower(text)
-    listed = F.filter(F.array(*(F.when(F.contains(lower, F.lit(n)), one(F.lit(n), F.lit(t), 1.0)) for n, t in known.items())), lambda e: e.isNotNull())
+    listed = F.filter(F.array(*(one(F.lit(n), F.lit(t), 1.0) for n, t in known.items())), lambda e: F.contains(lower, e["name"]))
     phrases = F.transform(F.regexp_extract_all(text, F.lit(PHRASE), F.lit(1)), lambda n: one(n, F.lit("unknown"), 0.6))
     acronyms = F.transform(F.regexp_extract_all(text, F.lit(ACRONYM), F.lit(1)), lambda n: one(n, F.lit("technology"), 0.8))
     # names met before in this order are dropped: known, phrases, acronyms
     every = F.concat(listed, phrases, acronyms)
     kept = F.filter(every, lambda e, i: F.array_position(F.transform(every, lambda x: F.lower(x["name"])), F.lower(e["name"])) == i + 1)
-    return F.concat(*(F.filter(kept, lambda e, c=c: e["confidence"] == c) for c in (1.0, 0.8, 0.6)))
+
+    def sure(c: float) -> Column:
+        return F.filter(kept, lambda e: e["confidence"] == c)
+
+    return F.concat(sure(1.0), sure(0.8), sure(0.6))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def text_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(name, text) of each file that is not blank."""
     rows = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    return rows.where(F.trim("text") != "")
+    return rows.where(F.rlike("text", F.lit(r"\S")))
 
 
 def metric_samples(lines: DataFrame, value: str = "value") -> DataFrame:
