@@ -17,13 +17,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step handles at a time.
-PIECE_BYTES = 2_000_000
+#: Bytes of text that one vectorised step handles at a time; its arrays take some 60 bytes for each.
+PIECE_BYTES = 500_000
 
 U64 = np.uint64
 
 
+#: Bytes of an Arrow batch between the JVM and Python.
+ARROW_BYTES = "4m"
+
+
+def lean(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes: by rows alone, long texts make batches of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: its lineage ends at durable files."""
+    lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

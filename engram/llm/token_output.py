@@ -38,9 +38,9 @@ from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces,
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct parts of texts whose ids a worker remembers (some 40 bytes each); beyond, it starts anew.
+#: Distinct parts of texts whose ids a task remembers (some 40 bytes each); beyond, it starts anew.
 MEMO_PARTS = 2_500_000
-PIECE_BYTES = 4_000_000
+PIECE_BYTES = 1_000_000
 BLOCK = 512
 
 SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_l int, docs_low binary, docs_high binary, docs_l int"
@@ -242,6 +242,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
                     if size >= segment_ids:
                         yield close()
                         at, ids, tokens, size, seg = at + size, [], [], 0, seg + 1
+        enc.forget()  # the worker may go on to other work
         if ids:
             yield close()
 
