@@ -303,3 +303,28 @@ def judge_scores(spark, d):
     rows = spark.createDataFrame([(0, '{"score": 0.7}', 2), (1, '{"score": 1.7}', 1), (2, "junk", 3), (3, '{"score": 0}', 2)], "id long, r string, n int")
     scored = rows.withColumn("score", X.judged_score(F.col("r")))
     return scored.select("id", "score", F.size(X.fit_scores(F.array("score"), F.col("n"))).alias("padded"))
+
+
+@query("semantic_search")
+def semantic_search(spark, d):
+    from engram.plans import retrieve
+
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), "text")
+    rows = A.vectors(spark, d).join(docs, "memory_id", "left").withColumn("event_seq", F.col("memory_id"))
+    out = retrieve.semantic(retrieve.Sources(rows), A.first_vector(spark, d), A.now())
+    return out.select("memory_id", "composite_score", "answer_rank")
+
+
+@query("routed_answers")
+def routed_answers(spark, d):
+    """One query of each mode, answered over all items."""
+    from functools import reduce
+
+    from engram.plans import retrieve
+
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), "text")
+    rows = A.vectors(spark, d).join(docs, "memory_id", "left").withColumn("event_seq", F.col("memory_id"))
+    vector = A.first_vector(spark, d)
+    asked = ["hello world", "what did we do today", "recent decisions about auth", "how do we deploy", "tell me about the most recent research"]
+    parts = [retrieve.answer(retrieve.Sources(rows), q, vector, A.now(), 5).select(F.lit(q).alias("query"), "routing_mode", "memory_id", "answer_rank") for q in asked]
+    return reduce(lambda a, b: a.unionByName(b), parts)

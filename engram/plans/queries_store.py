@@ -342,3 +342,24 @@ def eval_gate(spark, d):
     before, after = EV.quality(_judged(spark, d, F.col("n_chars"), F.col("doc_id"))), EV.quality(_judged(spark, d, F.desc("n_chars"), F.col("doc_id")))
     r = EV.gate(EV.compare(before, after))
     return r.select("n_common", F.round("recall_delta", 5).alias("recall_delta"), F.round("mrr_delta", 5).alias("mrr_delta"), "passed")
+
+
+# ---------------------------------------------------------------- writing
+
+
+@query("bulk_write", f"with {A.TURNS_SQL}, w as (select memory_id, session_id, event_seq, memory_type from turns where trim(coalesce(text, '')) <> '') select count(*) as memories, count(distinct session_id) as sessions, 2 * count(*) as timeline_rows, max(rank) as last_seq from (select *, row_number() over (order by memory_id) as rank from w)")
+def bulk_write(spark, d):
+    from engram import schema
+    from engram.api import TABLES
+    from engram.plans import writepath
+
+    rows = A.turns(spark, d).select(
+        F.col("memory_id").cast("string").alias("memory_id"), "text", F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("event_seq"), F.timestamp_seconds(F.col("memory_id")).alias("event_time"), "memory_type",
+        F.lit(None).cast("string").alias("category"), F.lit("p").alias("project"), F.col("session_id").cast("string").alias("session_id"),
+    )
+    empty = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
+    batch = empty["memories"].unionByName(rows, allowMissingColumns=True).select(*(c.split()[0] for c in schema.MEMORIES.split(", ")))
+    t = writepath.write_many(batch, writepath.Tables(**empty), A.now())
+    one = t.memories.agg(F.count("*").alias("memories"), F.max("event_seq").alias("last_seq"))
+    # single-row totals
+    return one.join(t.sessions.agg(F.count("*").alias("sessions"))).join(t.timeline.agg(F.count("*").alias("timeline_rows")))
