@@ -8,8 +8,11 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query(spark, sf_dir) and the SQL that gives the same rows. Whole numbers are given as longs."""
+def query(name: str, sql: str | None = None, longs: str = ""):
+    """Register a query(spark, sf_dir) and the SQL that gives the same rows. Whole numbers are given as longs.
+
+    longs: the columns that SQL gives as shorter whole numbers.
+    """
 
     def put(f):
         def run(spark, sf_dir):
@@ -18,7 +21,8 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            casts = ", ".join(f"{c}::BIGINT as {c}" for c in longs.split())
+            ORACLES[name] = f"select * replace ({casts}) from ({sql})" if casts else sql
         return f
 
     return put

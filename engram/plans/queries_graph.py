@@ -20,8 +20,7 @@ def neighbors(spark, d):
 @query(
     "multihop_entities",
     f"""with recursive {A.PLACES_SQL}, h(node, dist) as (select 'r0', 0 union select other, dist + 1 from h join ways using (node) where dist < 3), m as (select node, min(dist) as distance from h group by 1)
-    select node, distance, round(1.0::DOUBLE / (1 + distance), 6) as graph_score from m where distance > 0 order by 1.0::DOUBLE / (1 + distance) desc, node desc limit 20""",
-)
+    select node, distance, round(1.0::DOUBLE / (1 + distance), 6) as graph_score from m where distance > 0 order by 1.0::DOUBLE / (1 + distance) desc, node desc limit 20""", longs="distance")
 def multihop_entities(spark, d):
     starts = spark.range(1).select(F.lit("r0").alias("node"))
     return G.multihop(A.places(spark, d), starts, 3).select("node", "distance", F.round("graph_score", 6).alias("graph_score"))
@@ -36,8 +35,7 @@ def multihop_entities(spark, d):
     seeds as (select memory_id as node, 1.0 / (1 + memory_id)::DOUBLE as score from vectors where memory_id < 20),
     h1 as (select other as node, max(score * w * 0.5) as score from seeds join nb using (node) where other not in (select node from seeds) group by 1),
     h2 as (select other as node, max(score * w * 0.5) as score from h1 join nb using (node) where other not in (select node from seeds) and other not in (select node from h1) group by 1),
-    u as (select *, 1 as hop from h1 union all select *, 2 from h2) select node, round(score, 6) as expansion_score, hop from u order by score desc, node limit 20""",
-)
+    u as (select *, 1 as hop from h1 union all select *, 2 from h2) select node, round(score, 6) as expansion_score, hop from u order by score desc, node limit 20""", longs="hop")
 def graph_expansion(spark, d):
     from dataclasses import replace
 
@@ -55,8 +53,7 @@ def graph_expansion(spark, d):
     f"""with {A.PLACES_SQL}, nb as (select * from (select node, other, edge_type, weight, row_number() over (partition by node order by weight desc, other, edge_type) as n from ways) where n <= 50),
     h1 as (select other as node, edge_type, weight, n as place from nb where node = 'n3'), f1 as (select * from h1 where place <= 20),
     c2 as (select nb.other as node, nb.edge_type, nb.weight, f1.place as pp, nb.n, row_number() over (partition by nb.other order by f1.place, nb.n) as k from f1 join nb on nb.node = f1.node where nb.other <> 'n3' and nb.other not in (select node from h1)),
-    u as (select node, edge_type, weight, 1 as hop from h1 union all select node, edge_type, weight, 2 from c2 where k = 1) select node, edge_type, round(weight, 6) as weight, hop from u order by u.weight desc, hop, node limit 20""",
-)
+    u as (select node, edge_type, weight, 1 as hop from h1 union all select node, edge_type, weight, 2 from c2 where k = 1) select node, edge_type, round(weight, 6) as weight, hop from u order by u.weight desc, hop, node limit 20""", longs="hop")
 def related_bfs(spark, d):
     return G.related(A.places(spark, d), "n3").select("node", "edge_type", F.round("weight", 6).alias("weight"), "hop")
 
@@ -72,8 +69,7 @@ def ego_subgraph(spark, d):
 
 @query(
     "shortest_path_len",
-    f"""with recursive {A.PLACES_SQL}, h(node, dist) as (select 's1', 0 union select other, dist + 1 from h join ways using (node) where dist < 6) select min(dist) as length from h where node = 's2' having min(dist) is not null""",
-)
+    f"""with recursive {A.PLACES_SQL}, h(node, dist) as (select 's1', 0 union select other, dist + 1 from h join ways using (node) where dist < 6) select min(dist) as length from h where node = 's2' having min(dist) is not null""", longs="length")
 def shortest_path_len(spark, d):
     return G.shortest_path(A.places(spark, d), "s1", "s2", 6).select("length")
 
@@ -87,17 +83,17 @@ def _prov(spark):
     return G.provenance(rows, spark.createDataFrame([("A",), ("C",), ("D",)], "start string"))
 
 
-@query("provenance_closure", f"with recursive {PROV_SQL}, w(start, node, k, depth) as (select s, t, k, 1 from e where s in ('A', 'C', 'D') union all select start, t, e.k, depth + 1 from w join e on s = node where depth < 10) select start, node, min(depth) as depth, arg_min(k, depth) as edge_type from w group by 1, 2")
+@query("provenance_closure", f"with recursive {PROV_SQL}, w(start, node, k, depth) as (select s, t, k, 1 from e where s in ('A', 'C', 'D') union all select start, t, e.k, depth + 1 from w join e on s = node where depth < 10) select start, node, min(depth) as depth, arg_min(k, depth) as edge_type from w group by 1, 2", longs="depth")
 def provenance_closure(spark, d):
     return _prov(spark)[0].select("start", "node", "depth", "edge_type")
 
 
-@query("provenance_sources", "select * from (values ('A', 'B,D', 2, false), ('C', 'D', 1, false), ('D', null, 0, false)) t(start, sources, depth, depth_limited)")
+@query("provenance_sources", "select * from (values ('A', 'B,D', 2, false), ('C', 'D', 1, false), ('D', null, 0, false)) t(start, sources, depth, depth_limited)", longs="depth")
 def provenance_sources(spark, d):
     return _prov(spark)[1].select("start", F.array_join("original_sources", ",").alias("sources"), "depth", "depth_limited")
 
 
-@query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations where conv_id % 10 = 0) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c")
+@query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations where conv_id % 10 = 0) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c", longs="distance")
 def session_chain(spark, d):
     from engram.operators import timeline as T
 
@@ -105,6 +101,6 @@ def session_chain(spark, d):
     return G.session_chain(T.follows(sessions), sessions.where("session_id % 10 = 0").select(F.col("session_id").alias("start")), 5)
 
 
-@query("node_exists", "select id, id in (select vec_id from embeddings) as found from (values (1), (2), (100000000)) t(id)")
+@query("node_exists", "select id, id in (select vec_id from embeddings) as found from (values (1), (2), (100000000)) t(id)", longs="id")
 def node_exists(spark, d):
     return G.existing(A.vectors(spark, d), spark.createDataFrame([(1,), (2,), (100_000_000,)], "id long"))

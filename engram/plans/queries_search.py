@@ -22,18 +22,18 @@ def cos(a: str, b: str) -> str:
 TOP = f"with {A.VECTORS_SQL}, q as (select embedding as e from vectors where memory_id = 0) select memory_id, project, round({cos('embedding', 'e')}, 6) as score from vectors, q {{where}} order by {cos('embedding', 'e')} desc, memory_id limit 10"
 
 
-@query("vector_topk", TOP.format(where=""))
+@query("vector_topk", TOP.format(where=""), longs="project")
 def vector_topk(spark, d):
     return V.top_k(A.vectors(spark, d), A.first_vector(spark, d), 10).select("memory_id", "project", F.round("score", 6).alias("score"))
 
 
-@query("vector_topk_filtered", TOP.format(where="where project in (1, 3, 5)"))
+@query("vector_topk_filtered", TOP.format(where="where project in (1, 3, 5)"), longs="project")
 def vector_topk_filtered(spark, d):
     wanted = Q.compile_filter({"project": {"$in": [1, 3, 5]}})
     return V.top_k(A.vectors(spark, d), A.first_vector(spark, d), 10, wanted).select("memory_id", "project", F.round("score", 6).alias("score"))
 
 
-@query("point_lookup", "select vec_id as memory_id, label as project from embeddings where vec_id in (1, 5, 9, 100000000)")
+@query("point_lookup", "select vec_id as memory_id, label as project from embeddings where vec_id in (1, 5, 9, 100000000)", longs="project")
 def point_lookup(spark, d):
     from engram.operators.store import lookup
 
@@ -97,9 +97,9 @@ FUSED = f"""with {A.VECTORS_SQL}, q as (select embedding as e from vectors where
       min(case when source = 'vector' then rank end) as initial_rank_vector, min(case when source = 'graph' then rank end) as initial_rank_graph from h group by 1)"""
 
 
-@query("rrf_fusion", FUSED + " select text_hash, memory_id, round(rrf, 6) as rrf_score, initial_rank_vector, initial_rank_graph from f")
+@query("rrf_fusion", FUSED + " select text_hash, memory_id, round(rrf, 6) as rrf_score, coalesce(initial_rank_vector, 0) as initial_rank_vector, coalesce(initial_rank_graph, 0) as initial_rank_graph from f")
 def rrf_fusion(spark, d):
-    return Q.reciprocal_rank_fusion(_lists(spark, d)).select("text_hash", "memory_id", F.round("rrf_score", 6).alias("rrf_score"), "initial_rank_vector", "initial_rank_graph")
+    return Q.reciprocal_rank_fusion(_lists(spark, d)).select("text_hash", "memory_id", F.round("rrf_score", 6).alias("rrf_score"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("initial_rank_vector", "initial_rank_graph")))
 
 
 @query(
@@ -174,7 +174,7 @@ def _route_sql() -> str:
     )
 
 
-@query("route_queries", _route_sql())
+@query("route_queries", _route_sql(), longs="query_id")
 def route_queries(spark, d):
     return _query_rows(spark).select("query_id", R.route(F.col("q")).alias("mode"))
 
@@ -185,8 +185,7 @@ def _any(words) -> str:
 
 @query(
     "route_queries_legacy",
-    f"with {_VALUES}, a as (select query_id, lower(q) as t from qs), b as (select query_id, {_any(R.VECTOR_WORDS)} as v, {_any(R.GRAPH_WORDS)} as g from a) select query_id, case when v and not g then 'VECTOR' when g and not v then 'GRAPH' else 'HYBRID' end as mode from b",
-)
+    f"with {_VALUES}, a as (select query_id, lower(q) as t from qs), b as (select query_id, {_any(R.VECTOR_WORDS)} as v, {_any(R.GRAPH_WORDS)} as g from a) select query_id, case when v and not g then 'VECTOR' when g and not v then 'GRAPH' else 'HYBRID' end as mode from b", longs="query_id")
 def route_queries_legacy(spark, d):
     return _query_rows(spark).select("query_id", R.route_by_keywords(F.col("q")).alias("mode"))
 
@@ -287,8 +286,7 @@ DATES = ["what did we do today", "Yesterday we met", "plans of last week", "Last
     "relative_dates",
     "with t(id, q) as (values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(DATES)) + """)
     select id, replace(replace(replace(replace(replace(replace(replace(replace(q, 'today', 'February 01, 2024'), 'Today', 'February 01, 2024'), 'yesterday', 'January 31, 2024'), 'Yesterday', 'January 31, 2024'),
-      'last week', 'between January 22, 2024 and January 28, 2024'), 'Last week', 'between January 22, 2024 and January 28, 2024'), 'last month', 'between January 01, 2024 and January 31, 2024'), 'Last month', 'between January 01, 2024 and January 31, 2024') as resolved from t""",
-)
+      'last week', 'between January 22, 2024 and January 28, 2024'), 'Last week', 'between January 22, 2024 and January 28, 2024'), 'last month', 'between January 01, 2024 and January 31, 2024'), 'Last month', 'between January 01, 2024 and January 31, 2024') as resolved from t""", longs="id")
 def relative_dates(spark, d):
     rows = spark.createDataFrame(list(enumerate(DATES)), "id long, q string")
     return rows.select("id", X.relative_dates(F.col("q"), A.now()).alias("resolved"))
@@ -297,8 +295,7 @@ def relative_dates(spark, d):
 @query(
     "judge_scores",
     """with t(id, r, n) as (values (0, '{"score": 0.7}', 2), (1, '{"score": 1.7}', 1), (2, 'junk', 3), (3, '{"score": 0}', 2)), s as (select id, n, case id when 0 then 0.7 when 3 then 0.0 end as score from t)
-    select id, score::DOUBLE as score, n as padded from s""",
-)
+    select id, score::DOUBLE as score, n as padded from s""", longs="id padded")
 def judge_scores(spark, d):
     rows = spark.createDataFrame([(0, '{"score": 0.7}', 2), (1, '{"score": 1.7}', 1), (2, "junk", 3), (3, '{"score": 0}', 2)], "id long, r string, n int")
     scored = rows.withColumn("score", X.judged_score(F.col("r")))

@@ -107,17 +107,17 @@ def coverage_gate(spark, d):
 # ---------------------------------------------------------------- tables
 
 
-@query("vector_upsert", f"with {A.VECTORS_SQL}, u as (select memory_id, project, 0 as b from vectors union all select memory_id + 100, 99, 1 from vectors) select memory_id, arg_max(project, b) as project from u group by 1")
+@query("vector_upsert", f"with {A.VECTORS_SQL}, u as (select memory_id, project, 0 as b from vectors union all select memory_id + 100, 99, 1 from vectors) select memory_id, arg_max(project, b) as project from u group by 1", longs="project")
 def vector_upsert(spark, d):
     rows = A.vectors(spark, d).select("memory_id", "project")
     return S.upsert(rows, rows.select((F.col("memory_id") + 100).alias("memory_id"), F.lit(99).alias("project")), ["memory_id"])
 
 
-@query("node_partial_update", f"with {A.VECTORS_SQL}, n as (select memory_id + 100 as memory_id, case when memory_id % 2 = 0 then 'new' end as category from vectors) select memory_id, coalesce(n.category, v.category) as category, v.project from vectors v full join n using (memory_id)")
+@query("node_partial_update", f"with {A.VECTORS_SQL}, n as (select memory_id + 100 as memory_id, case when memory_id % 2 = 0 then 'new' end as category from vectors) select memory_id, coalesce(n.category, v.category) as category, coalesce(v.project, -1) as project from vectors v full join n using (memory_id)", longs="project")
 def node_partial_update(spark, d):
     rows = A.vectors(spark, d).select("memory_id", "category", "project")
     new = rows.select((F.col("memory_id") + 100).alias("memory_id"), F.when(F.col("memory_id") % 2 == 0, "new").alias("category"))
-    return S.partial_update(rows, new, ["memory_id"])
+    return S.partial_update(rows, new, ["memory_id"]).withColumn("project", F.coalesce("project", F.lit(-1)))
 
 
 @query("bulk_validate", "with i as (select doc_id, case when doc_id % 10 = 0 then null when doc_id % 10 = 1 then '  ' else text end as content from documents) select count(*) as total, count(*) filter (where trim(coalesce(content, '')) <> '') as succeeded, count(*) filter (where trim(coalesce(content, '')) = '') as failed, 'partial_success' as status from i")
@@ -126,12 +126,12 @@ def bulk_validate(spark, d):
     return O.bulk_summary(O.validate_items(rows))
 
 
-@query("catalog_counts", "select 'documents' as table_name, 5 as n_columns, count(*) as n, 0 as duplicate_keys from documents union all select 'conversations', 4, count(*), 0 from conversations")
+@query("catalog_counts", "select 'documents' as table_name, 5 as n_columns, count(*) as n, 0 as duplicate_keys from documents union all select 'conversations', 4, count(*), 0 from conversations", longs="n_columns duplicate_keys")
 def catalog_counts(spark, d):
     return O.catalog({t: A.table(spark, d, t) for t in ("documents", "conversations")}, {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]})
 
 
-@query("fallback_branches", "with l as (select doc_id, lang, source from documents), a as (select source, doc_id, 0 as branch from l where lang = 'es'), b as (select source, doc_id, 1 from l where lang = 'fr'), u as (select * from a union all select * from b) select source, doc_id, branch from u where branch = (select min(branch) from u x where x.source = u.source)")
+@query("fallback_branches", "with l as (select doc_id, lang, source from documents), a as (select source, doc_id, 0 as branch from l where lang = 'es'), b as (select source, doc_id, 1 from l where lang = 'fr'), u as (select * from a union all select * from b) select source, doc_id, branch from u where branch = (select min(branch) from u x where x.source = u.source)", longs="branch")
 def fallback_branches(spark, d):
     rows = A.table(spark, d, "documents").select("source", "doc_id", "lang")
     return first_branch(rows.where("lang = 'es'").drop("lang"), rows.where("lang = 'fr'").drop("lang"), group="source").select("source", "doc_id", "branch")
@@ -287,11 +287,12 @@ def error_rate(spark, d):
     "daily_deviation",
     "with d as (select ts::DATE as day, count(*) as n from events group by 1), x as (select *, n - lag(n) over (order by day) as delta from d), "
     "y as (select *, case when count(delta) over (order by day rows between unbounded preceding and 1 preceding) >= 3 then quantile_cont(delta, 0.5) over (order by day rows between unbounded preceding and 1 preceding) end as m from x) "
-    "select day, n, delta, m::DOUBLE as median_delta, case when m is null or delta is null then 'no_data' when m > 0 and (delta > m * 2 or delta < m / 2) then 'violation' when m < 0 and (delta > m / 2 or delta < m * 2) then 'violation' when m = 0 and abs(delta) >= 2 then 'violation' else 'ok' end as status from y",
+    "select day::VARCHAR as day, n, delta::DOUBLE as delta, m::DOUBLE as median_delta, case when m is null or delta is null then 'no_data' when m > 0 and (delta > m * 2 or delta < m / 2) then 'violation' when m < 0 and (delta > m / 2 or delta < m * 2) then 'violation' when m = 0 and abs(delta) >= 2 then 'violation' else 'ok' end as status from y",
 )
 def daily_deviation(spark, d):
     daily = A.events(spark, d).groupBy(F.to_date("event_time").alias("day")).agg(F.count("*").alias("n"))
-    return O.daily_deviation(daily, 2.0)
+    r = O.daily_deviation(daily, 2.0)
+    return r.withColumn("day", F.col("day").cast("string")).withColumn("delta", F.col("delta").cast("double"))
 
 
 @query("compaction_audit", f"with {A.EDGES_SQL}, c as (select * from edges where edge_type = 'COMPACTED_FROM') select count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') as recent, count(*) as total, 'ok' as status from c")
@@ -305,11 +306,11 @@ def latency_percentiles(spark, d):
     return r.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean", "stdev")), "least", "most")
 
 
-@query("rolling_state", "with d as (select ts::DATE as date, max(event_id) as taken_at from events group by 1) select date, taken_at from d order by date desc limit 7")
+@query("rolling_state", "with d as (select ts::DATE as date, max(event_id) as taken_at from events group by 1) select date::VARCHAR as date, taken_at from d order by d.date desc limit 7")
 def rolling_state(spark, d):
     rows = A.events(spark, d).select(F.to_date("event_time").alias("date"), F.col("memory_id").alias("taken_at"))
     daily = rows.groupBy("date").agg(F.max("taken_at").alias("taken_at"))
-    return S.latest_days(daily)
+    return S.latest_days(daily).withColumn("date", F.col("date").cast("string"))
 
 
 # ---------------------------------------------------------------- evaluation
