@@ -7,6 +7,9 @@ only a single document longer than a piece makes a longer piece.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -63,6 +66,26 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def tidy() -> None:
+    """Give memory that this Python worker no longer uses back to the system; the worker may wait for long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no GNU C library here
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(scan):
+    """scan, a function from batches to batches, with tidy() at its end."""
+
+    @functools.wraps(scan)
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct: further columns cannot clash with theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))

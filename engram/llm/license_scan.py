@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import ALNUM_WORD, LOWER, Words, pieces, string_bytes, table
+from engram.llm.common import ALNUM_WORD, LOWER, Words, pieces, string_bytes, table, tidied
 
 # Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -162,7 +162,7 @@ def document_counts(docs: DataFrame, index: Index, text: str = "text") -> DataFr
         rows = np.arange(-1, len(total))
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(np.concatenate([[docs_n], total]))], ["word", "n"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text).alias("text")).mapInArrow(tidied(count), "word int, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_index(docs: DataFrame, templates=TEMPLATES, base=BASE_PHRASES) -> Index:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from engram.llm.common import PLAIN_WORD, U64, materialize, mix, pieces, table, whole_row
+from engram.llm.common import PLAIN_WORD, U64, materialize, mix, pieces, table, tidied, whole_row
 from engram.llm.components import components
 
 SHINGLE = 5
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = [batch.column(i).slice(p.first, p.n) for i in range(3)]
                 yield pa.RecordBatch.from_arrays([*part, lists], ["doc_id", "t1", "t2", "sig"])
 
-    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(scan, "doc_id long, t1 long, t2 int, sig array<int>")
+    return docs.select("doc_id", "t1", "t2", "text").mapInArrow(tidied(scan), "doc_id long, t1 long, t2 int, sig array<int>")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(r.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, p.n), lists], ["rid", "shingles"])
 
-    return rows.select("rid", "text").mapInArrow(scan, "rid long, shingles array<long>")
+    return rows.select("rid", "text").mapInArrow(tidied(scan), "rid long, shingles array<long>")
 
 
 def meet(s: np.ndarray, depth: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def verify(rows: DataFrame, depth: int) -> DataFrame:
         if key is not None:
             yield task(key[1], key[2], *held)
 
-    return rows.select("comp", "i", "j", "block", "rid", "shingles").mapInArrow(scan, "rid long, root long, n_links long, weight double")
+    return rows.select("comp", "i", "j", "block", "rid", "shingles").mapInArrow(tidied(scan), "rid long, root long, n_links long, weight double")
 
 
 def text_key() -> list[Column]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import PLAIN_WORD, U64, Words, doc_key, materialize, mix, pieces, table
+from engram.llm.common import PLAIN_WORD, U64, Words, doc_key, materialize, mix, pieces, table, tidied
 
 WINDOW = 35
 GRAM = 16
@@ -106,7 +106,7 @@ def find_anchors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 place = s - w.first[doc]
                 yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(k2[row]), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), signed(a), signed(c)], ["k", "k2", "first", "n", "a", "c"])
 
-    return docs.select("k", "k2", "text").mapInArrow(scan, "k long, k2 int, first int, n int, a long, c long")
+    return docs.select("k", "k2", "text").mapInArrow(tidied(scan), "k long, k2 int, first int, n int, a long, c long")
 
 
 def windows_of(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,7 +129,7 @@ def windows_of(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 row = doc[each] + p.first
                 yield pa.RecordBatch.from_arrays([pa.array(k[row]), pa.array(k2[row]), pa.array(start.astype(np.int32)), pa.array(a[each]), signed(runs(at, at + window))], ["k", "k2", "start", "a", "w"])
 
-    return rows.select("k", "k2", "text", "places").mapInArrow(scan, "k long, k2 int, start int, a long, w long")
+    return rows.select("k", "k2", "text", "places").mapInArrow(tidied(scan), "k long, k2 int, start int, a long, w long")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -178,7 +178,7 @@ def strip(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                     texts.append(text.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(p.first, p.n), pa.array(w.counts.astype(np.int64)), pa.array(removed), pa.array(kept), pa.array(texts)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(scan, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return rows.select("doc_id", "text", "spans").mapInArrow(tidied(scan), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces, room, span_hashes, table
+from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces, room, span_hashes, table, tidied
 
 #: A segment closes once it has so many ids.
 SEGMENT_IDS = 1 << 20
@@ -196,15 +196,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 # ---------------------------------------------------------------- writing and reading
 
 
@@ -225,7 +216,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
+        part, enc = TaskContext.get().partitionId(), Encoder(tokenizer_path)  # a task's own: the worker may go on to other work
         ids, tokens, size, seg, at = [], [], 0, 0, 0
         schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SEGMENT.split(", "))])
 
@@ -242,13 +233,12 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
                     if size >= segment_ids:
                         yield close()
                         at, ids, tokens, size, seg = at + size, [], [], 0, seg + 1
-        enc.forget()  # the worker may go on to other work
         if ids:
             yield close()
 
     tie = F.xxhash64("text")
     dealt = docs.select("doc_id", "text").repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), tie)
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(encode, SEGMENT)
+    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(tidied(encode), SEGMENT)
 
 
 def read_segment(row: dict, offset: int) -> Iterator[tuple[int | None, int, int, bytes]]:
@@ -278,7 +268,7 @@ def read_back(segments: DataFrame) -> DataFrame:
                 cols = list(zip(*got, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return dealt.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return dealt.mapInArrow(tidied(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
