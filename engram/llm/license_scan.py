@@ -1,13 +1,14 @@
 """Licence scans: a positional index of rare licence words.
 
 Templates are short licence notices, as words in lower case. Spark counts in how many documents
-each template word occurs; idf = ln((documents + 1) / (with the word + 1)). Each template is indexed
-by its KEYS words of highest idf, and a file is looked up by the LOOKUPS highest of these that it has. Each place of such a word in the file and in a template votes for one
-relative position (place in the file minus place in the template); the votes, added over words,
-are the intersection of the postings by relative position. Each voted position is scored by the
-idf of the template's words found at their places (one word early or late still counts) over the
-idf of all its words. A template is found where the score is at least MIN_SCORE and one of its
-mandatory phrases stands in the file within the aligned part.
+each template word occurs; idf = ln((documents + 1) / (with the word + 1)). Each template is
+indexed by its words of highest idf (half of them, KEYS at most), and a file is looked up by the
+LOOKUPS highest of these that it has. Each place of such a word in the file and in a template
+votes for one relative position (place in the file minus place in the template); the votes, added
+over words, are the intersection of the postings by relative position. Each voted position is
+scored by the idf of the template's words found at their places (one word early or late still
+counts) over the idf of all its words. A template is found where the score is at least MIN_SCORE
+and one of its mandatory phrases stands in the file within the aligned part.
 
 Besides, fixed base phrases are searched at every place; their labels always stand.
 
@@ -88,7 +89,7 @@ class Index:
         self.rare = np.zeros(len(every), bool)
         for body in self.bodies:
             own = np.unique(body)
-            self.rare[own[np.lexsort((own, -self.idf[own]))][:KEYS]] = True
+            self.rare[own[np.lexsort((own, -self.idf[own]))][: min(KEYS, (len(own) + 1) // 2)]] = True
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, body in enumerate(self.bodies):
             for q, w in enumerate(body.tolist()):
