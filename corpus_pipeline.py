@@ -7,10 +7,12 @@ costs the work of another. All stages but the last return the columns of documen
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm import decontamination, mixture, near_duplicates, quality_rules, token_output
-from engram.llm.common import materialize, table
+from engram.llm.common import collect_garbage, materialize, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,23 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_output.read_back(token_output.token_output(spark, docs, token_output.default_tokenizer()))
 
 
+def after_garbage(stage):
+    """stage, which begins with the executors' heaps shrunk."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collect_garbage(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", good_documents),
-    ("near_duplicates", distinct_documents),
-    ("decontamination", clean_documents),
-    ("source_mixing", mixed_documents),
-    ("token_output", tokens),
+    ("quality_rules", after_garbage(good_documents)),
+    ("near_duplicates", after_garbage(distinct_documents)),
+    ("decontamination", after_garbage(clean_documents)),
+    ("source_mixing", after_garbage(mixed_documents)),
+    ("token_output", after_garbage(tokens)),
 ]
 
 #: SQL expresses neither the smoothed perplexity nor the tokenizer; tests hold the pipeline against brute force.
