@@ -38,8 +38,8 @@ from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces,
 SEGMENT_IDS = 1 << 20
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct parts of texts whose ids a task remembers (some 40 bytes each); beyond, it starts anew.
-MEMO_PARTS = 2_500_000
+#: Distinct parts of texts whose ids a worker remembers (some 40 bytes each); beyond, it starts anew.
+MEMO_PARTS = 1_500_000
 PIECE_BYTES = 1_000_000
 BLOCK = 512
 
@@ -196,6 +196,16 @@ class Encoder:
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder: what one task has encoded serves the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # ---------------------------------------------------------------- writing and reading
 
 
@@ -216,7 +226,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, enc = TaskContext.get().partitionId(), Encoder(tokenizer_path)  # a task's own: the worker may go on to other work
+        part, enc = TaskContext.get().partitionId(), encoder(tokenizer_path)
         ids, tokens, size, seg, at = [], [], 0, 0, 0
         schema = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SEGMENT.split(", "))])
 
