@@ -2,8 +2,9 @@
 
 Templates are short licence notices, as words in lower case. Spark counts in how many documents
 each template word occurs; idf = ln((documents + 1) / (with the word + 1)). Each template is
-indexed by its words of highest idf (half of them, KEYS at most), and a file is looked up by the
-LOOKUPS highest of these that it has. Each place of such a word in the file and in a template
+indexed by its words of highest idf (half of them, KEYS at most, but so many that the others weigh
+less than MIN_SCORE of the template), and a file is looked up by all of these that it has, so that
+no template is crowded out by others. Each place of such a word in the file and in a template
 votes for one relative position (place in the file minus place in the template); the votes, added
 over words, are the intersection of the postings by relative position. Each voted position is
 scored by the idf of the template's words found at their places (one word early or late still
@@ -52,8 +53,9 @@ TEMPLATES = [
 ]
 
 KEYS = 8
-LOOKUPS = 12
 MIN_SCORE = 0.6
+#: Positions of a template scored at a time.
+STARTS = 20_000
 
 SCAN = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -88,8 +90,11 @@ class Index:
         self.idf = np.array([(idf or {}).get(w, 1.0) for w in self.vocabulary])
         self.rare = np.zeros(len(every), bool)
         for body in self.bodies:
-            own = np.unique(body)
-            self.rare[own[np.lexsort((own, -self.idf[own]))][: min(KEYS, (len(own) + 1) // 2)]] = True
+            own, times = np.unique(body, return_counts=True)
+            by = np.lexsort((own, -self.idf[own]))
+            rest = 1 - np.cumsum((self.idf[own] * times)[by]) / self.idf[body].sum()
+            least = int(np.argmax(rest < MIN_SCORE - 1e-6)) + 1  # a match has one of these at least
+            self.rare[own[by][: max(min(KEYS, (len(own) + 1) // 2), least)]] = True
         self.postings: dict[int, list[tuple[int, int]]] = {}
         for t, body in enumerate(self.bodies):
             for q, w in enumerate(body.tolist()):
@@ -110,29 +115,33 @@ class Index:
 
     def match(self, w: np.ndarray) -> tuple[set[str], float]:
         """Labels of the templates found among a file's words (vocabulary numbers), and the best score."""
-        there = np.unique(w[w >= 0])
-        there = there[self.rare[there]]
-        there = there[np.lexsort((there, -self.idf[there]))][:LOOKUPS]
-        votes: set[tuple[int, int]] = set()
-        for x in there.tolist():
-            for p in np.flatnonzero(w == x).tolist():
-                votes.update((t, p - q) for t, q in self.postings[x])
+        place = np.flatnonzero((w >= 0) & self.rare[w])
+        votes: dict[int, list[np.ndarray]] = {}
+        for x in np.unique(w[place]).tolist():
+            at = place[w[place] == x]
+            for t, q in self.postings[x]:
+                votes.setdefault(t, []).append(at - q)
         found, best = set(), 0.0
-        for t, start in votes:
+        for t, starts in votes.items():
             body = self.bodies[t]
-            at = start + np.arange(len(body))
-            hit = np.zeros(len(body), bool)
-            for shift in (-1, 0, 1):
-                p = at + shift
-                ok = (p >= 0) & (p < len(w))
-                hit[ok] |= w[p[ok]] == body[ok]
-            score = float(self.idf[body][hit].sum() / max(self.idf[body].sum(), 1e-9))
-            if score < MIN_SCORE:
-                continue
-            part = w[max(0, start - 2) : start + len(body) + 2]
-            if any(len(self.places(part, k)) for k in self.keys[t]):
-                found.add(self.labels[t])
-                best = max(best, score)
+            every = max(self.idf[body].sum(), 1e-9)
+            edge = np.full(len(body) + 1, -2)
+            padded = np.concatenate([edge, w, edge])
+            starts = np.unique(np.concatenate(starts))
+            for low in range(0, len(starts), STARTS):
+                some = starts[low : low + STARTS]
+                hit = np.zeros((len(some), len(body)), bool)
+                for i, x in enumerate(body.tolist()):
+                    for shift in (-1, 0, 1):
+                        hit[:, i] |= padded[some + (len(edge) + i + shift)] == x
+                for k in np.flatnonzero(hit @ self.idf[body] >= (MIN_SCORE - 1e-6) * every).tolist():
+                    score, start = float(self.idf[body][hit[k]].sum() / every), int(some[k])
+                    if score < MIN_SCORE:
+                        continue
+                    part = w[max(0, start - 2) : start + len(body) + 2]
+                    if any(len(self.places(part, key)) for key in self.keys[t]):
+                        found.add(self.labels[t])
+                        best = max(best, score)
         return found, min(best, 1.0)
 
     def scan(self, w: np.ndarray) -> tuple:

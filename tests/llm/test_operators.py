@@ -341,6 +341,22 @@ def test_license_templates_are_found_in_text_and_need_their_phrase(spark):
     assert [r.n_base for r in out] == [0] * 5
 
 
+def test_license_templates_do_not_crowd_each_other_out(docs):
+    index = license_scan.build_index(docs)
+    number = {w: i for i, w in enumerate(index.vocabulary)}
+    own = [np.array([number[w] for w in license_scan.words_of(t[1])]) for t in license_scan.TEMPLATES]
+    every = {t[0] for t in license_scan.TEMPLATES}
+    gap = np.full(5, -1)
+    assert index.match(np.concatenate([x for body in own for x in (gap, body)]))[0] == every
+    # whatever is not indexed is too light for a match of its own
+    assert all(index.idf[b][~index.rare[b]].sum() < license_scan.MIN_SCORE * index.idf[b].sum() for b in own)
+    for i in range(len(own)):
+        for j in range(i):
+            for k in range(j):
+                found = index.match(np.concatenate([own[i], gap, own[j], gap, own[k]]))[0]
+                assert found >= {license_scan.TEMPLATES[x][0] for x in (i, j, k)}
+
+
 # ---------------------------------------------------------------- token output
 
 
