@@ -482,6 +482,14 @@ def test_spellings_are_probabilities():
     assert abs(np.exp(logs).sum() + np.exp(np.log(np.where(end_bit, q, 1 - q)).sum()) - 1) < 1e-9
 
 
+def test_frequent_words_are_predicted_by_the_word_before(spark):
+    texts = ["north wind", "south tide"] * 60
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(1000, "north wind", True), (1001, "north tide", True)]
+    out = context_mixing.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string, held_out boolean"))
+    score = {r.doc_id: r.score for r in out.where("held_out").collect()}
+    assert score[1000] > score[1001] + 0.5  # all four words are equally frequent
+
+
 def test_earlier_counts():
     keys = np.array([3, 1, 3, 3, 1, 2], np.uint64)
     assert context_mixing.earlier(keys).tolist() == [0, 0, 1, 2, 1, 0]
