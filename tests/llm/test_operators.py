@@ -490,6 +490,15 @@ def test_frequent_words_are_predicted_by_the_word_before(spark):
     assert score[1000] > score[1001] + 0.5  # all four words are equally frequent
 
 
+def test_all_documents_fit_the_mixer_and_the_averages(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, 25_000)) for _ in range(2)]  # each above 100,000 characters
+    model, _ = context_mixing.fit(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert np.abs(model.mixer.weights - context_mixing.Mixer.fresh().weights).max() > 0.01
+    assert np.abs(model.mixer.map - context_mixing.Mixer.fresh().map).max() > 0.01
+    assert (model.averages[4:, 1:] > 0).any()
+
+
 def test_earlier_counts():
     keys = np.array([3, 1, 3, 3, 1, 2], np.uint64)
     assert context_mixing.earlier(keys).tolist() == [0, 0, 1, 2, 1, 0]
