@@ -66,6 +66,23 @@ def conflict_band(spark, d):
     return V.conflicts(rows.where("memory_id % 10 = 0"), rows.where("memory_id % 10 != 0"), 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
 
 
+# the same over all rows against all rows; ranks come before the row itself is left out
+PROBE_ALL = f"""with {A.VECTORS_SQL}, p as (select a.memory_id as new_id, b.memory_id, {cos('a.embedding', 'b.embedding')} as score from vectors a cross join vectors b {{kind}}),
+    r as (select *, row_number() over (partition by new_id order by score desc, memory_id) as n from p)"""
+
+
+@query("dedup_probe_all", PROBE_ALL.format(kind="") + " select new_id, arg_min(memory_id, n) as memory_id, round(arg_min(score, n), 6) as score from r where n <= 3 and score >= 0.3 and new_id <> memory_id group by new_id")
+def dedup_probe_all(spark, d):
+    rows = A.vectors(spark, d)
+    return V.duplicates(rows, rows, threshold=0.3).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query("conflict_band_all", PROBE_ALL.format(kind="where b.memory_type = 'decision'") + " select new_id, memory_id, round(score, 6) as score from r where n <= 5 and score >= 0.25 and score < 0.35 and new_id <> memory_id")
+def conflict_band_all(spark, d):
+    rows = A.vectors(spark, d)
+    return V.conflicts(rows, rows, 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+
+
 @query(
     "semantic_cache",
     f"""with {A.VECTORS_SQL}, q as (select embedding as e from vectors where memory_id = 0), s as (select memory_id, list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1] - z[2]) ** 2)) as dist from vectors, q)

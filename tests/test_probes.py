@@ -1,0 +1,11 @@
+"""Probes over all rows find pairs that the probes of every tenth row cannot."""
+
+import __spark_entry__ as entry
+from tests.test_oracles import SF
+
+
+def test_probes_compare_all_rows(spark):
+    rows = entry.registry.QUERIES["dedup_probe_all"](spark, SF).collect()
+    assert any(r.new_id % 10 for r in rows)
+    assert any(r.memory_id % 10 == 0 for r in rows)
+    assert all(r.new_id != r.memory_id for r in rows)
