@@ -499,6 +499,17 @@ def test_all_documents_fit_the_mixer_and_the_averages(spark):
     assert (model.averages[4:, 1:] > 0).any()
 
 
+def test_scores_do_not_depend_on_the_dictionary(spark, monkeypatch):
+    """A word outside the dictionary keeps what the corpus knows of it at each of its places."""
+    rows = [(i, "ocean ocean river ocean", i % 4 == 3) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    scores = []
+    for size in (1 << 18, 0):
+        monkeypatch.setattr(context_mixing, "DICTIONARY", size)
+        scores.append([r.score for r in context_mixing.score_documents(spark, docs).orderBy("doc_id").collect()])
+    assert np.allclose(*scores)
+
+
 def test_earlier_counts():
     keys = np.array([3, 1, 3, 3, 1, 2], np.uint64)
     assert context_mixing.earlier(keys).tolist() == [0, 0, 1, 2, 1, 0]
