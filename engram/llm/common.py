@@ -225,18 +225,23 @@ class Words:
         return mix(h[at] + U64(k)), at
 
 
+def binary_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes and the offsets of a binary column without nulls."""
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    offs = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if offsets is not None and len(col) else np.zeros(1, np.int64)
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[offs[0] : offs[-1]], offs - offs[0]
+
+
 def string_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes and the offsets of a string column; null is empty."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
-    if not pa.types.is_large_string(col.type):
-        col = col.cast(pa.large_string())
     if col.null_count:
         col = pc.fill_null(col, "")
-    _, offsets, data = col.buffers()
-    offs = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1] if offsets is not None and len(col) else np.zeros(1, np.int64)
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[offs[0] : offs[-1]], offs - offs[0]
+    return binary_bytes(col.cast(pa.large_string()).cast(pa.large_binary()))
 
 
 def pieces(col: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
