@@ -15,6 +15,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -254,6 +255,14 @@ def pieces(col: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
         first = last
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of keys by distinct value, in the order of their first places, and these places."""
+    codes, values = pd.factorize(keys)
+    first = np.zeros(len(values), np.int64)
+    first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return codes.astype(np.int64, copy=False), first
+
+
 class HashMemo:
     """Numbers 0, 1, 2, ... of hashes, in the order they were added: a long sorted array, and a short
     one of the latest that is merged into it now and then."""
