@@ -9,16 +9,19 @@ Calibration is a logistic curve over the difference (Platt 1999). Its training f
 fold: the sample is cut in FOLDS parts by a hash of the id, and each part is compressed with
 dictionaries of the others, since a text in a dictionary's corpus compresses too well with it.
 Evidence adds up over a text, so the curve has two terms: the difference, and the difference
-times the logarithm of the text's size. Classes are weighted by their shares as they are.
+times the logarithm of the text's size.
 
-The training sample is bounded: at most SAMPLE labelled rows of each label, those with the least
-seeded hash of the id, and none longer than MAX_TRAIN_CHARS (documented bounds of the fit alone;
-scoring reads every text whole). Labels, lang, source and doc_id are never inputs of a score.
+The training sample is bounded: at most SAMPLE labelled documents of each label, those with the
+least seeded hash of the id among those that have a text of 1 to MAX_TRAIN_CHARS characters
+(documented bounds of the fit alone; scoring reads every text whole). The curve's intercept is
+moved by the logarithms of each label's share outside the sample, so that a score means the same
+whether the bound is met or not. Labels, lang, source and doc_id are never inputs of a score.
 
 Edge cases: a null or empty text has difference 0 and so the score of the curve there; a null
-label or id trains nothing; where an id has several labels the least counts; with one label or
-none the score is that label's share, or 0.5; repeated rows are each scored; an empty table gives
-an empty result; other columns are ignored.
+label or id trains nothing; where an id has several labels the least counts, where it has several
+texts the least; with one label or none the score is that label's share, or 0.5; repeated rows are
+each scored; a very long text is compressed whole, in memory of some three times its size; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import held_out, mix, table
+from engram.llm.common import held_out, materialize, mix, table
 
 SAMPLE = 3000
 MAX_TRAIN_CHARS = 60_000
@@ -140,23 +143,36 @@ class Training(NamedTuple):
     label: int
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_chars: int) -> list[Training]:
-    """At most `sample` rows (doc_id, text, label) of each value of label, by a seeded hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int, max_chars: int) -> tuple[list[Training], dict[int, int]]:
+    """At most `sample` rows (doc_id, text, label) of each value of label, by a seeded hash of the id; and how many there are of each."""
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
+    fitting = docs.where(F.length("text").between(1, max_chars))
+    usable = materialize(docs.sparkSession, known.join(fitting.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     rank = F.xxhash64(F.lit(SEED), "doc_id")
     # at most `sample` rows each, so the broadcast side has a proven bound
-    picked = [known.where(F.col("label") == y).orderBy(rank, "doc_id").limit(sample) for y in (0, 1)]
-    ids = picked[0].union(picked[1])
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars)).join(F.broadcast(ids), "doc_id")
-    got = rows.dropDuplicates(["doc_id"]).toArrow()
-    return sorted(map(Training._make, zip(*(got.column(c).to_pylist() for c in Training._fields), strict=True)))
+    picked = [usable.where(F.col("label") == y).orderBy(rank, "doc_id").limit(sample) for y in (0, 1)]
+    rows = fitting.select("doc_id", "text").join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    got = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label")).toArrow()
+    return sorted(map(Training._make, zip(*(got.column(c).to_pylist() for c in Training._fields), strict=True))), counts
+
+
+def prior_shift(counts: dict[int, int], labels: np.ndarray) -> float:
+    """What a logistic model's intercept lacks where the labels' shares in the sample are not those of counts."""
+    n1, n0 = int(np.sum(labels)), int(len(labels) - np.sum(labels))
+    if not (n1 and n0 and counts.get(1) and counts.get(0)):
+        return 0.0
+    return float(np.log(counts[1] / n1) - np.log(counts[0] / n0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, max_chars: int = MAX_TRAIN_CHARS) -> QualityModel:
     """The model of labels(doc_id, <label>) and docs(doc_id, text)."""
-    rows = training_rows(docs, labels, label, sample, max_chars)
+    rows, counts = training_rows(docs, labels, label, sample, max_chars)
     folds = mix(np.array([r.doc_id for r in rows], np.int64).astype(np.uint64)) % np.uint64(FOLDS) if rows else np.zeros(0)
-    return train([r.text.encode() for r in rows], np.array([r.label for r in rows]), folds.astype(int))
+    y = np.array([r.label for r in rows])
+    model = train([r.text.encode() for r in rows], y, folds.astype(int))
+    model.curve[-1] += prior_shift(counts, y)
+    return model
 
 
 def score(spark: SparkSession, model: QualityModel):

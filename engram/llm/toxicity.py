@@ -6,19 +6,23 @@ probabilities of the earlier ones: the sample is cut in FOLDS parts by a hash of
 part's probabilities come from links trained on the other parts, words chosen there as well
 (Read et al. 2011, Senge et al. 2013). Scoring uses links trained on the whole sample.
 
-Labels give one category, toxic. The categories before it are derived: contempt and insult hold
-for toxic documents that have a word of a short list; the lists only label the training sample,
-scoring knows learned weights alone. The chain's last link, toxic, is the score.
+Labels give one category, toxic. The categories before it are learned from the sample: the words
+that tell toxic documents best (at most GROUP_WORDS) are cut into GROUPS groups by the toxic
+documents that they share (spectral clustering), and a toxic document is of a category if it has
+a word of its group. The groups only label the training sample; scoring knows each link's weights
+alone. The chain's last link, toxic, is the score.
 
-The training sample is bounded: at most SAMPLE labelled rows of each label, those with the least
-seeded hash of the id, none longer than MAX_TRAIN_CHARS; equal texts count once. The intercepts
-are corrected for the labels' shares outside the sample. Scoring reads every text whole.
+The training sample is bounded: at most SAMPLE labelled documents of each label, those with the
+least seeded hash of the id among those that have a text of 1 to MAX_TRAIN_CHARS characters; equal
+texts count once. The intercepts are corrected for the labels' shares outside the sample. Scoring
+reads every text whole.
 
 Edge cases: a null or empty text has no words and gets the intercepts' probabilities; labels that
-are null or not 0/1, and labels without an id, train nothing; where an id has several the least
-counts; a category that the sample lacks has probability 0 (or 1 if it has nothing else, 0.0
-without any labels); repeated rows are each scored; an empty table gives an empty result; other
-columns are ignored.
+are null or not 0/1, and labels without an id, train nothing; where an id has several labels the
+least counts, where it has several texts the least; a category that the sample lacks has
+probability 0 (or 1 if it has nothing else, 0.0 without any labels); repeated rows are each scored;
+a text longer than a piece takes some 60 bytes of a worker's memory a byte; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,15 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import ALNUM_WORD, LOWER, U64, pieces, table
-from engram.llm.compression_quality import logistic, training_rows
+from engram.llm.compression_quality import logistic, prior_shift, training_rows
 from engram.llm.license_scan import word_hashes
 
-# Words that label the sample's toxic documents with the earlier categories.
-CATEGORY_WORDS = {
-    "contempt": ["disgusting", "filth", "garbage", "pathetic", "rubbish", "scum", "trash", "vermin", "worthless"],
-    "insult": ["clown", "cretin", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "stupid"],
-}
-CHAIN = [*CATEGORY_WORDS, "toxic"]
+#: Categories learned before the last.
+GROUPS = 2
+GROUP_WORDS = 64
+CHAIN = [*(f"group_{i + 1}" for i in range(GROUPS)), "toxic"]
 
 SAMPLE = 2000
 MAX_TRAIN_CHARS = 60_000
@@ -83,7 +85,7 @@ class Bags:
         return out
 
 
-def pick_words(bags: Bags, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def pick_words(bags: Bags, y: np.ndarray, rows: np.ndarray, most: int = MAX_WORDS) -> np.ndarray:
     """Hashes of the words that documents of a category have markedly more often."""
     use = rows[bags.doc]
     words, at = np.unique(bags.word[use], return_inverse=True)
@@ -96,7 +98,21 @@ def pick_words(bags: Bags, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
         for seen, e in ((part, expected), (whole - part, whole - expected)):
             out += 2 * seen * np.log(np.maximum(seen, 1e-12) / np.maximum(e, 1e-12))
     good = np.flatnonzero((out >= MIN_G) & (yes >= MIN_DOCS) & (yes * n0 > no * n1))
-    return np.sort(words[good[np.argsort(-out[good], kind="stable")][:MAX_WORDS]])
+    return np.sort(words[good[np.argsort(-out[good], kind="stable")][:most]])
+
+
+def word_groups(bags: Bags, toxic: np.ndarray) -> list[np.ndarray]:
+    """GROUPS groups of the words (hashes) that tell toxic documents best, by the toxic documents that they share."""
+    words = pick_words(bags, toxic.astype(float), np.ones(bags.n_docs, bool), GROUP_WORDS)
+    if len(words) < GROUPS:
+        return [words[i : i + 1] for i in range(GROUPS)]
+    there = bags.matrix(words)[toxic == 1].astype(float)
+    both = there.T @ there
+    scale = 1 / np.sqrt(np.maximum(both.diagonal(), 1))
+    _, vectors = np.linalg.eigh(both * scale[:, None] * scale[None, :])
+    # the second eigenvector orders the words; its sign is that of its first part, and groups are of equal size
+    line = vectors[:, -2] * (1 if vectors[0, -2] >= 0 else -1) if len(words) > 1 else np.zeros(1)
+    return [np.sort(words[part]) for part in np.array_split(np.argsort(line, kind="stable"), GROUPS)]
 
 
 def fit_link(bags: Bags, y: np.ndarray, earlier: np.ndarray, rows: np.ndarray) -> Link:
@@ -153,7 +169,8 @@ def bags_of(texts: pa.Array, words: np.ndarray | None = None):
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, max_chars: int = MAX_TRAIN_CHARS) -> Chain:
     """The chain from docs(doc_id, text) and labels(doc_id, <label>)."""
     texts: dict[str, int] = {}
-    for r in training_rows(docs, labels, label, sample, max_chars):
+    rows, counts = training_rows(docs, labels, label, sample, max_chars)
+    for r in rows:
         texts.setdefault(r.text, r.label)
     if not texts:
         return Chain(CHAIN, [Link(np.zeros(0, U64), np.append(np.zeros(i), -40.0)) for i in range(len(CHAIN))])
@@ -172,18 +189,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     many = np.repeat(size >= MIN_DOCS, size)
     bags = Bags(doc[many], word[many], len(texts))
     y = np.zeros((len(texts), len(CHAIN)), int)
-    for k, name in enumerate(CATEGORY_WORDS):
-        hit = np.isin(bags.word, word_hashes(CATEGORY_WORDS[name]))
-        y[np.unique(bags.doc[hit]), k] = 1
+    for k, group in enumerate(word_groups(bags, toxic)):
+        y[np.unique(bags.doc[np.isin(bags.word, group)]), k] = 1
         y[:, k] &= toxic
     y[:, -1] = toxic
     folds = (word_hashes(list(texts)) % U64(FOLDS)).astype(int)
     chain = Chain.fit(bags, y, folds, CHAIN)
-    shares = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    if n1 and n0 and shares.get(1) and shares.get(0):
-        for link in chain.links:
-            link.beta[-1] += np.log(shares[1] / n1) - np.log(shares[0] / n0)
+    shift = prior_shift(counts, toxic)
+    for link in chain.links:
+        link.beta[-1] += shift
     return chain
 
 
