@@ -21,7 +21,8 @@ Hashes: a window is known by 64 bits of its anchor's words and 64 bits of all it
 
 Edge cases: a null or empty text has no words and the hash of the empty string; texts of fewer
 than WINDOW words keep everything; overlapping repeats within a document count (each start is a
-place); equal rows repeat each other; null doc_ids are carried; an empty table gives no rows;
+place); equal rows repeat each other and share one list of spans; null doc_ids are carried; a text
+longer than a piece takes some 150 bytes of a worker's memory a byte; an empty table gives no rows;
 other columns are ignored.
 """
 
@@ -147,7 +148,8 @@ def repeats(spark: SparkSession, docs: DataFrame, window: int = WINDOW, gram: in
     hashed = materialize(spark, windows_of(docs.join(asked, ["k", "k2"]), window).distinct(), "windows")
     twice = hashed.groupBy("a", "w").agg(F.count("*").alias("m")).where("m > 1").select("a", "w")
     partial = hashed.join(twice, ["a", "w"], "left_semi").select("k", "k2", F.col("start").alias("first"), F.lit(1).alias("n"))
-    return whole.union(partial).groupBy("k", "k2").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    # equal rows have the same spans: each task hands on one of them
+    return whole.union(partial).groupBy("k", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
 
 
 def strip(rows: DataFrame, window: int = WINDOW) -> DataFrame:
