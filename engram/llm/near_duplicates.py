@@ -12,21 +12,28 @@ node of depth d. Two texts of similarity s meet at depth d in at least one tree
 1 - (1 - s^d)^TREES. Search starts with the long prefixes of DEPTHS; after each round the recall
 is estimated from the links verified so far, each link of similarity s standing for
 1 / P(meet | s) links (Horvitz-Thompson), and prefixes are shortened by one until the estimate
-reaches TARGET or the shortest depth is reached, where P(meet | 0.8) = 0.9998.
+reaches TARGET or the shortest depth is reached, where P(meet | 0.8) = 0.9998. A round reads the
+shingles of the texts that no round before has asked for.
 
 Verification. Texts that meet at a node are joined to candidate components (edges to the least
-text of each node, never pairs), and all pairs of a component are verified exactly, by products
-of its text-by-shingle matrix. Components above BLOCK texts are split into blocks, and a task sees
-two blocks of one component. A task returns for each text its number of links and the least text
-it is connected to, never pairs, so results grow with the number of texts.
+text of each node, never pairs). The pairs of a component of at most BLOCK texts are verified
+exactly, by products of its text-by-shingle matrix. A larger component is first measured against
+its head, the least text: the Jaccard distance d is a metric, so texts a and b are certainly linked
+if d(a, head) + d(b, head) <= 1 - THRESHOLD, and certainly not if the two differ by more. Its texts
+are dealt to blocks by their distance (in RINGS rings); certain links are sums of block sizes, and
+only the other pairs of blocks are verified as above. So near copies by the thousand, all close to
+their head, cost one comparison each. A task returns for each text its number of links and the
+least text it is connected to, never pairs, so results grow with the number of texts. What stays
+quadratic is a component of many texts 0.1 to 0.3 from its head, in blocks of BLOCK texts.
 
 Result, one row a document: class_id (least doc_id among documents connected by links or equal
 texts), text_id (least doc_id of the equal texts), n_copies (documents with the same text, itself
 included) and n_links (other texts linked to its text).
 
 Edge cases: null and empty texts are one text without shingles, linked to none; repeated rows are
-copies; null doc_ids count as copies but give no class_id or text_id unless alone (then null);
-an empty table gives no rows; other columns are ignored or kept.
+copies; null doc_ids count as copies but give no class_id or text_id unless alone (then null); a
+text longer than a piece takes some 100 bytes of a worker's memory a byte; an empty table gives no
+rows; other columns are ignored or kept.
 """
 
 from __future__ import annotations
@@ -47,6 +54,8 @@ DEPTH = 6
 DEPTHS = (5, 4)
 TARGET = 0.9995
 BLOCK = 512
+#: Rings of distance from the head that make up 1 - THRESHOLD.
+RINGS = 8
 
 _MULTIPLIERS = mix(np.arange(1, TREES * DEPTH + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 
@@ -201,6 +210,37 @@ def node_edges(reps: DataFrame, depth: int) -> DataFrame:
     return below.join(heads, "node").where("rid != head").select(F.col("rid").alias("u"), F.col("head").alias("v")).distinct()
 
 
+def place(spark: SparkSession, comps: DataFrame, sets: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of blocks to be verified, (rid, comp, block, i, j), and the certain links, (rid, root, n_links, weight), of comps(node, root)."""
+    sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
+    sized = comps.join(sizes, "root").select(F.col("node").alias("rid"), F.col("root").alias("comp"), "n")
+    whole = sized.where(F.col("n") <= BLOCK).select("rid", "comp", F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+
+    large = sized.where(F.col("n") > BLOCK).join(sets, "rid")
+    heads = large.where("rid = comp").select("comp", F.col("shingles").alias("head")).dropDuplicates(["comp"])
+    both = F.size(F.array_intersect("shingles", "head"))
+    away = 1 - both / (F.size("shingles") + F.size("head") - both)
+    wide = 1 - THRESHOLD[0] / THRESHOLD[1]
+    ringed = materialize(spark, large.join(heads, "comp").select("rid", "comp", F.floor(away * (RINGS / wide) + 1e-9).cast("int").alias("ring")).distinct(), "rings")
+    split = ringed.groupBy("comp", "ring").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+    dealt = materialize(spark, ringed.join(split, ["comp", "ring"]).select("rid", "comp", "ring", (F.shiftleft("ring", 24) + part).alias("block")), "blocks")
+    blocks = dealt.groupBy("comp", "block").agg(F.first("ring").alias("ring"), F.count("*").alias("size"))
+    other = blocks.select(F.col("comp").alias("comp2"), F.col("block").alias("other"), F.col("ring").alias("ring2"), F.col("size").alias("size2"))
+    pairs = blocks.join(other, F.col("comp") == F.col("comp2")).where(F.abs(F.col("ring") - F.col("ring2")) <= RINGS)
+    linked = F.col("ring") + F.col("ring2") + 2 <= RINGS  # the outer edges of both rings
+    doubt = pairs.where(~linked).select("comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    open_pairs = dealt.join(doubt, ["comp", "block"]).select("rid", "comp", "block", "i", "j")
+
+    # a certain link's similarity is known to its rings: the least that it can be stands for it
+    least = 1 - (F.col("ring") + F.col("ring2") + 2) * (wide / RINGS)
+    one = 1 / (1 - F.pow(1 - F.pow(least, depth), TREES))
+    own = (F.col("block") == F.col("other")).cast("int")
+    sums = pairs.where(linked).groupBy("comp", "block").agg(F.sum(F.col("size2") - own).alias("n_links"), F.sum((F.col("size2") - own) * one).alias("weight"))
+    sure = dealt.join(sums, ["comp", "block"]).select("rid", F.col("comp").alias("root"), "n_links", "weight")
+    return whole.union(open_pairs), sure
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, depths: tuple = DEPTHS, target: float = TARGET) -> tuple[DataFrame, DataFrame]:
     """Texts (rid, t1, t2, text_id, n_copies), and classes (rid, root, n_links) of the texts that have links."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -208,25 +248,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, depths: tuple = DEPTHS
     by_text = signatures(keyed).groupBy("t1", "t2").agg(F.min("doc_id").alias("text_id"), F.count("*").alias("n_copies"), F.first("sig").alias("sig"))
     reps = materialize(spark, by_text.withColumn("rid", F.monotonically_increasing_id()), "texts")
 
-    # the shingles of all texts that meet another at the shortest depth; longer prefixes meet fewer
-    widest = materialize(spark, node_edges(reps, depths[-1]), "node-edges")
-    asked = widest.select(F.col("u").alias("rid")).union(widest.select("v")).distinct()
-    asked = materialize(spark, asked.join(reps.select("rid", "t1", "t2", "text_id"), "rid"), "asked")
-    # one document of each text: the one whose id names it (null ids only where there is no other)
-    # a sort-merge join whatever the size, so that the texts' one shuffle is the same share of any input
-    own = keyed.join(asked.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("text_id"))).select("rid", "text")
-    sets = materialize(spark, shingle_sets(own), "shingles")
-
+    sets = None
     for depth in depths:
-        edges = widest if depth == depths[-1] else node_edges(reps, depth)
-        comps = materialize(spark, components(spark, edges), "candidates")
-        sizes = comps.groupBy("root").agg(F.count("*").alias("n"))
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        placed = comps.join(sizes, "root").select(F.col("node").alias("rid"), F.col("root").alias("comp"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-        placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        placed = placed.select("rid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        comps = materialize(spark, components(spark, node_edges(reps, depth)), "candidates")
+        asked = comps.select(F.col("node").alias("rid"))
+        asked = asked if sets is None else asked.join(sets.select("rid"), "rid", "left_anti")
+        asked = materialize(spark, asked.join(reps.select("rid", "t1", "t2", "text_id"), "rid"), "asked")
+        # one document of each text: the one whose id names it (null ids only where there is no other)
+        # a sort-merge join whatever the size, so that the texts' one shuffle is the same share of any input
+        own = keyed.join(asked.hint("merge"), ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("text_id"))).select("rid", "text")
+        more = materialize(spark, shingle_sets(own), "shingles")
+        sets = more if sets is None else sets.union(more)
+        placed, sure = place(spark, comps, sets, depth)
         rows = placed.join(sets, "rid").repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "rid")
-        found = materialize(spark, verify(rows, depth), "links")
+        found = materialize(spark, verify(rows, depth).union(sure), "links")
         n, all_links = found.agg(F.sum("n_links"), F.sum("weight")).first()
         if not n or n / all_links >= target:
             break
