@@ -13,15 +13,19 @@ program over (length, spare documents) finds the reachable sum next to what rema
 works on (source, length, count): the lengths of a source are at most sqrt(2 * its words), and no
 document row meets another of its group.
 
-Choice. Which documents of a length are taken is decided by rank of a seeded hash of doc_id.
-Documents are counted in slices of the hash range, so that ranks are taken inside a slice, never
-over all documents of a length: a length that a third of all rows share is spread over all slices.
+Choice. Which documents of a length are taken is decided by a seeded hash of doc_id and text: those
+up to a limit, the hash of the last one that is taken. Documents are counted in slices of the hash
+range; only the slice with the limit is looked into, row by row counted by hash, so no task sees
+all documents of a length. The limits (source, length, hash) are a small table, and each row is
+decided on by itself: texts are never shuffled, but for rows that share a limit's hash (repeated
+rows) of which a part is taken.
 Results depend on the seed alone, not on the number of slices or partitions.
 
-Edge cases: a null text has 0 words; a document of 0 words is not taken; a null source is a source of
-its own, last; a source without words has target 0; repeated rows are documents of their own
-(rows with equal doc_id, source and length take turns in no particular order, they are alike);
-an empty table gives an empty result; other columns are ignored or kept as they are.
+Edge cases: a null text has 0 words, whatever its length else; a document of 0 words is not taken; a
+null source is a source of its own, last; a source without words has target 0; repeated rows are
+documents of their own (those equal in doc_id, source and text are alike, any of them is taken);
+a null doc_id is hashed by its text alone; an empty table gives an empty result; other columns are
+ignored or kept as they are. A very long text is counted by the JVM's own regular expressions.
 """
 
 from __future__ import annotations
@@ -114,18 +118,26 @@ def quotas(lengths: np.ndarray, counts: np.ndarray, rest: int, dp_words: int = D
     return take
 
 
-def choose(spark: SparkSession, sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """sized(doc_id, source, size, ...) with source_size, target and copies (how often the mix takes the row).
+KEY = ["no_source", "src", "size"]
 
-    sized is read several times; it should be a written table without texts.
+
+def measured(docs: DataFrame, *more: Column, seed: int = SEED) -> DataFrame:
+    """no_source, src, size and h, the hash that decides, of each row of docs, and more columns."""
+    h = F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")
+    return docs.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), n_words(F.col("text")).alias("size"), h, *more)
+
+
+def choose(spark: SparkSession, sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP) -> tuple[DataFrame, DataFrame]:
+    """Sources (no_source, src, source_size, target), and limits (no_source, src, size, passes, star, part) of sized(no_source, src, size, h).
+
+    Rows of a source and size are taken passes times, those with h < star once more, and part of those with h = star;
+    part is null where all of them are taken. star is null where none is. sized is read twice; it should be a written table.
     """
     slices = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
-    named = sized.withColumn("no_source", F.col("source").isNull()).withColumn("src", F.coalesce("source", F.lit("")))
     # the hash's range from least to largest in equal slices
-    named = named.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("slice", F.floor((F.col("h") / 2.0**64 + 0.5) * slices).cast("int"))
-    key = ["no_source", "src", "size"]
-    counted = materialize(spark, named.groupBy(*key, "slice").agg(F.count("*").alias("n")), "slices")
-    by_length = counted.groupBy(*key).agg(F.sum("n").alias("n"))
+    named = sized.withColumn("slice", F.floor((F.col("h") / 2.0**64 + 0.5) * slices).cast("int"))
+    counted = materialize(spark, named.groupBy(*KEY, "slice").agg(F.count("*").alias("n")), "slices")
+    by_length = counted.groupBy(*KEY).agg(F.sum("n").alias("n"))
     per_source = by_length.groupBy("no_source", "src").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
     aimed = targets(per_source.select(F.when(~F.col("no_source"), F.col("src")).alias("source"), "source_size"), weights, share, cap)
     aimed = aimed.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target")
@@ -141,38 +153,42 @@ def choose(spark: SparkSession, sized: DataFrame, weights: tuple = WEIGHTS, shar
 
     # a group's rows are the distinct lengths of one source
     planned = by_length.join(aimed, ["no_source", "src"]).groupBy("no_source", "src").applyInPandas(plan, "no_source boolean, src string, size long, passes int, extra long")
-    ahead = F.sum("n").over(Window.partitionBy(*key).orderBy("slice")) - F.col("n")
-    cut = counted.withColumn("ahead", ahead).join(planned, key).select(*key, "slice", "passes", (F.col("extra") - F.col("ahead")).alias("open"))
-    rank = F.row_number().over(Window.partitionBy(*key, "slice").orderBy("h", "doc_id"))
-    ranked = named.withColumn("rank", rank).join(cut, [*key, "slice"]).join(aimed, ["no_source", "src"])
-    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("rank") <= F.col("open")).cast("int")).otherwise(0)
-    return ranked.withColumn("copies", copies).select(*sized.columns, "source_size", "target", "copies")
+    planned = materialize(spark, planned.where("size > 0"), "plan")
+    ahead = F.sum("n").over(Window.partitionBy(*KEY).orderBy("slice")) - F.col("n")
+    cut = counted.withColumn("ahead", ahead).join(planned.where("extra > 0"), KEY).where("ahead < extra and extra <= ahead + n")
+    near = named.join(cut.select(*KEY, "slice", (F.col("extra") - F.col("ahead")).alias("open")), [*KEY, "slice"])
+    alike = near.groupBy(*KEY, "open", "h").agg(F.count("*").alias("m"))
+    below = alike.withColumn("below", F.sum("m").over(Window.partitionBy(*KEY).orderBy("h")) - F.col("m"))
+    last = below.where("below < open and open <= below + m")
+    stars = last.select(*KEY, F.col("h").alias("star"), F.when(F.col("open") < F.col("below") + F.col("m"), F.col("open") - F.col("below")).alias("part"))
+    limits = planned.drop("extra").join(stars, KEY, "left").where("passes > 0 or star is not null")
+    return aimed, materialize(spark, limits, "limits")
+
+
+def dealt(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    """rows(no_source, src, size, h, ...) with copies, how often the mix takes the row."""
+    found = rows.join(limits, KEY, "left")
+    split = F.coalesce((F.col("h") == F.col("star")) & F.col("part").isNotNull(), F.lit(False))
+    more = F.coalesce(F.col("h") <= F.col("star"), F.lit(False)).cast("int")
+    clear = found.where(~split).withColumn("copies", F.coalesce("passes", F.lit(0)) + more)
+    nth = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.lit(0)))  # rows that are alike
+    tied = found.where(split).withColumn("copies", F.col("passes") + (nth <= F.col("part")).cast("int"))
+    return clear.union(tied).drop("passes", "star", "part")
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words taken, repeats counted) of each row of docs."""
-    sized = materialize(spark, docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "sizes")
-    return choose(spark, sized).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    sized = materialize(spark, measured(docs, F.col("doc_id")), "sizes")
+    aimed, limits = choose(spark, sized)
+    out = dealt(sized, limits).join(aimed, ["no_source", "src"])
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_rows(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of the mix, a document taken twice as two rows, with the columns of docs.
-
-    Rows of one doc_id, source and length are alike for the choice and are numbered, so that each gets its own.
-    """
-    twin = ["doc_id", "source", "size"]
-    tagged = docs.select(whole_row(docs).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    sized = materialize(spark, tagged.drop("row"), "sizes")
-    chosen = choose(spark, sized).where("copies > 0")
-    times = chosen.groupBy(*twin, "text_hash").agg(F.sum("copies").alias("copies"))
-    # rows alike in all four share their copies: the first rows get one more where they do not divide
-    alike = Window.partitionBy(*twin, "text_hash")
-    on = [tagged[c].eqNullSafe(times[c]) for c in [*twin, "text_hash"]]
-    joined = tagged.join(times, on).select("row", *(tagged[c] for c in [*twin, "text_hash"]), times["copies"])
-    place = F.row_number().over(alike.orderBy(F.lit(0))) - 1
-    rows = F.count("*").over(alike)
-    own = F.floor((F.col("copies") - place + rows - 1) / rows).cast("int")
-    return joined.withColumn("own", own).where("own > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*")
+    """The rows of the mix, a document taken twice as two rows, with the columns of docs."""
+    _, limits = choose(spark, materialize(spark, measured(docs), "sizes"))
+    out = dealt(measured(docs, whole_row(docs).alias("row")), limits).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
