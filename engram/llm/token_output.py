@@ -10,8 +10,9 @@ by task, so a lost executor costs its unfinished tasks only.
 Elias-Fano (Elias 1974, Fano 1971): of n ascending numbers below u, the low
 l = floor(log2(u / n)) bits are packed; the high parts are a bit string with bit
 (value >> l) + i set for the i-th number: 2 + l bits a number, no table of 64-bit offsets.
-select1 finds the i-th set bit through counts kept for each 512 bits. The ids of a segment's
-documents (doc_id) are coded the same way, as distances from the least.
+select finds the i-th set bit through rank samples, the set bits before each BLOCK bits, which are
+stored beside the bit string in 32 bits each (a sixteenth of it). The ids of a segment's documents
+(doc_id) are coded the same way, as distances from the least. Documents are read back by select.
 
 The number of ids in all earlier partitions is summed from one number per partition.
 
@@ -43,7 +44,7 @@ MEMO_PARTS = 1_500_000
 PIECE_BYTES = 1_000_000
 BLOCK = 512
 
-SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_l int, docs_low binary, docs_high binary, docs_l int"
+SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_ranks binary, ends_l int, docs_low binary, docs_high binary, docs_ranks binary, docs_l int"
 
 
 # ---------------------------------------------------------------- Elias-Fano
@@ -51,19 +52,20 @@ SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null i
 
 @dataclass
 class EliasFano:
-    """n ascending numbers (ties allowed). low: packed low bits; high: bit string of the high parts."""
+    """n ascending numbers (ties allowed). low: packed low bits; high: bit string of the high parts; ranks: its rank samples."""
 
     n: int
     l: int
     low: bytes
     high: bytes
+    ranks: bytes
 
     @staticmethod
     def encode(values: np.ndarray) -> "EliasFano":
         v = np.asarray(values, np.uint64)
         n = len(v)
         if not n:
-            return EliasFano(0, 0, b"", b"")
+            return EliasFano(0, 0, b"", b"", b"")
         bound = int(v[-1]) + 1
         l = max(0, (bound // n).bit_length() - 1)  # noqa: E741
         low = b""
@@ -73,44 +75,37 @@ class EliasFano:
         at = (v >> np.uint64(l)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(at[-1]) + 1, np.uint8)
         high[at] = 1
-        return EliasFano(n, l, low, np.packbits(high, bitorder="little").tobytes())
-
-    def _index(self) -> np.ndarray:
-        """Set bits before each block of BLOCK bits."""
-        if not hasattr(self, "_ranks"):
-            raw = np.frombuffer(self.high, np.uint8)
-            raw = np.pad(raw, (0, -len(raw) % (BLOCK // 8)))
-            ones = np.unpackbits(raw.reshape(-1, BLOCK // 8), axis=1).sum(1, dtype=np.int64)
-            self._ranks = np.concatenate([[0], np.cumsum(ones)])
-        return self._ranks
-
-    def select(self, i: int) -> int:
-        """The i-th number (from 0), from one block of the bit string."""
-        if not 0 <= i < self.n:
+        before = np.searchsorted(at, np.arange(0, len(high), BLOCK))
+        return EliasFano(n, l, low, np.packbits(high, bitorder="little").tobytes(), before.astype("<u4").tobytes())
+
+    def select(self, i: np.ndarray | int) -> np.ndarray:
+        """The i-th numbers (from 0), from the blocks of the bit string that hold them."""
+        i = np.asarray(i, np.int64)
+        if i.size and not 0 <= i.min() <= i.max() < self.n:
             raise IndexError(i)
-        ranks = self._index()
-        block = int(np.searchsorted(ranks, i, "right")) - 1
-        part = np.frombuffer(self.high, np.uint8)[block * BLOCK // 8 : (block + 1) * BLOCK // 8]
-        at = block * BLOCK + int(np.flatnonzero(np.unpackbits(part, bitorder="little"))[i - ranks[block]])
+        ranks = np.frombuffer(self.ranks, "<u4").astype(np.int64)
+        block = np.searchsorted(ranks, i, "right") - 1
+        asked, back = np.unique(block, return_inverse=True)
+        raw = np.frombuffer(self.high, np.uint8)
+        rows = np.pad(raw, (0, -len(raw) % (BLOCK // 8))).reshape(-1, BLOCK // 8)[asked]
+        row, bit = np.nonzero(np.unpackbits(rows, axis=1, bitorder="little"))
+        first = np.searchsorted(row, np.arange(len(asked)))
+        at = block * BLOCK + bit[first[back.reshape(i.shape)] + i - ranks[block]] if i.size else i
         return (at - i) << self.l | self._low(i)
 
-    def _low(self, i: int) -> int:
-        if not self.l:
-            return 0
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the i-th numbers, each from the nine bytes from its first bit's on."""
+        if not self.l or not i.size:
+            return np.zeros_like(i)
+        raw = np.frombuffer(self.low + bytes(9), np.uint8)
         first = i * self.l
-        raw = int.from_bytes(self.low[first // 8 : (first + self.l + 7) // 8], "little")
-        return raw >> first % 8 & (1 << self.l) - 1
-
-    def decode(self) -> np.ndarray:
-        """All numbers."""
-        if not self.n:
-            return np.zeros(0, np.int64)
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (at - np.arange(self.n)) << self.l
-        if self.l:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.l].reshape(self.n, self.l)
-            out |= (bits.astype(np.int64) << np.arange(self.l)).sum(1)
-        return out
+        byte, shift = first // 8, (first % 8).astype(np.uint64)
+        out = np.zeros(i.shape, np.uint64)
+        for k in range(8):
+            out |= raw[byte + k].astype(np.uint64) << np.uint64(8 * k)
+        out >>= shift
+        out |= np.where(shift > 0, raw[byte + 8].astype(np.uint64) << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
+        return (out & np.uint64((1 << self.l) - 1)).astype(np.int64)
 
 
 # ---------------------------------------------------------------- tokens
@@ -216,7 +211,7 @@ def _segment(part: int, seg: int, at: int, ids: list[int | None], tokens: list[b
     docs = EliasFano.encode((known - base).astype(np.uint64))
     return {
         "part": part, "seg": seg, "part_offset": at, "n_docs": len(ids), "n_ids": sum(map(len, tokens)) // width, "n_null": len(ids) - len(known), "width": width, "base_id": base,
-        "ids": b"".join(tokens), "ends_low": ends.low, "ends_high": ends.high, "ends_l": ends.l, "docs_low": docs.low, "docs_high": docs.high, "docs_l": docs.l,
+        "ids": b"".join(tokens), "ends_low": ends.low, "ends_high": ends.high, "ends_ranks": ends.ranks, "ends_l": ends.l, "docs_low": docs.low, "docs_high": docs.high, "docs_ranks": docs.ranks, "docs_l": docs.l,
     }
 
 
@@ -253,12 +248,13 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
 
 def read_segment(row: dict, offset: int) -> Iterator[tuple[int | None, int, int, bytes]]:
     """(doc_id, start, n_tokens, ids as little-endian 32-bit) of each document of a segment that begins at offset."""
-    ends = EliasFano(row["n_docs"], row["ends_l"], row["ends_low"], row["ends_high"]).decode()
-    docs = EliasFano(row["n_docs"] - row["n_null"], row["docs_l"], row["docs_low"], row["docs_high"]).decode() + row["base_id"]
+    n, nulls = row["n_docs"], row["n_null"]
+    ends = EliasFano(n, row["ends_l"], row["ends_low"], row["ends_high"], row["ends_ranks"]).select(np.arange(n))
+    docs = EliasFano(n - nulls, row["docs_l"], row["docs_low"], row["docs_high"], row["docs_ranks"]).select(np.arange(n - nulls)) + row["base_id"]
     ids = np.frombuffer(row["ids"], f"<u{row['width']}")
     start = 0
     for i, end in enumerate(ends.tolist()):
-        yield (None if i < row["n_null"] else int(docs[i - row["n_null"]])), offset + start, end - start, ids[start:end].astype("<u4").tobytes()
+        yield (None if i < nulls else int(docs[i - nulls])), offset + start, end - start, ids[start:end].astype("<u4").tobytes()
         start = end
 
 
