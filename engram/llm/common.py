@@ -54,11 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends at durable files."""
+def materialize(spark: SparkSession, df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: its lineage ends at durable files.
+
+    light: rows of a few numbers, whose last step is cheap: a task for each core of the cluster writes them, and no more.
+    """
     lean(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(spark.sparkContext.defaultParallelism) if light else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,10 +32,10 @@ def _mark(edges: DataFrame) -> tuple:
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges(u, v), u != v; root is the least node of its component."""
-    edges = materialize(spark, _small(edges), "edges")
+    edges = materialize(spark, _small(edges), "edges", light=True)
     mark = _mark(edges)
     while mark[0]:
-        edges = materialize(spark, _small(_large(edges)), "edges")
+        edges = materialize(spark, _small(_large(edges)), "edges", light=True)
         new = _mark(edges)
         if new == mark:
             break
