@@ -155,6 +155,38 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
+_BACK = U64(pow(int(_BASE), -1, 1 << 64))
+_LOW_BITS = 16
+
+
+def _ladder(base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """Powers base ** i for i below 2 ** _LOW_BITS, and base ** (i << _LOW_BITS) for as many i."""
+    out = []
+    for b in (int(base), pow(int(base), 1 << _LOW_BITS, 1 << 64)):
+        p = np.full(1 << _LOW_BITS, b, U64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=U64))
+    return out[0], out[1]
+
+
+_UP, _DOWN = _ladder(_BASE), _ladder(_BACK)
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each span that span_hashes gives, for any spans of data, from prefix sums."""
+    low, high = _UP
+    total = np.zeros(len(data) + 1, U64)
+    for at in range(0, len(data), 1 << _LOW_BITS):
+        part = _BYTE_VALUES[data[at : at + (1 << _LOW_BITS)]]
+        part *= low[: len(part)]
+        part *= high[at >> _LOW_BITS]
+        np.cumsum(part, out=total[at + 1 : at + 1 + len(part)])
+        total[at + 1 : at + 1 + len(part)] += total[at]
+    low, high = _DOWN
+    h = (total[ends] - total[starts]) * low[starts & (1 << _LOW_BITS) - 1] * high[starts >> _LOW_BITS]
+    return mix(h + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span; the spans follow each other and make up all of data."""
     if not len(starts):
@@ -211,10 +243,7 @@ class Words:
         """A 64-bit hash of each word's bytes."""
         if not self.n:
             return np.zeros(0, U64)
-        lens = self.ends - self.starts
-        at = np.zeros(self.n, np.int64)
-        np.cumsum(lens[:-1], out=at[1:])
-        return span_hashes(self.data[self.inside], at, lens)
+        return prefix_hashes(self.data, self.starts, self.ends)
 
     def windows(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k consecutive words of a document, and the number of the first word of each."""
