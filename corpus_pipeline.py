@@ -3,16 +3,19 @@
 Each stage works on all rows that its predecessor kept. A stage's result is written as Parquet to
 the shared folder and read again as the next one's input, so an executor lost in one stage never
 costs the work of another. All stages but the last return the columns of documents.
+
+Edge cases, of every stage (its operator's docstring says more): a null or empty text has no words,
+so the quality rules reject it; a null lang is a language, a null source a source of its own; a null
+doc_id is carried; repeated rows are copies, of which one stays; further columns are carried; texts
+are taken whole, however long; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 
 from engram.llm import decontamination, mixture, near_duplicates, quality_rules, token_output
-from engram.llm.common import collect_garbage, materialize, table
+from engram.llm.common import materialize, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,23 +43,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_output.read_back(token_output.token_output(spark, docs, token_output.default_tokenizer()))
 
 
-def after_garbage(stage):
-    """stage, which begins with the executors' heaps shrunk."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        collect_garbage(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    ("quality_rules", after_garbage(good_documents)),
-    ("near_duplicates", after_garbage(distinct_documents)),
-    ("decontamination", after_garbage(clean_documents)),
-    ("source_mixing", after_garbage(mixed_documents)),
-    ("token_output", after_garbage(tokens)),
+    ("quality_rules", good_documents),
+    ("near_duplicates", distinct_documents),
+    ("decontamination", clean_documents),
+    ("source_mixing", mixed_documents),
+    ("token_output", tokens),
 ]
 
 #: SQL expresses neither the smoothed perplexity nor the tokenizer; tests hold the pipeline against brute force.
