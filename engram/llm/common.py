@@ -90,15 +90,6 @@ def tidied(scan):
     return run
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Have the executors' JVMs collect garbage and shrink their heaps, between long stages of one application.
-
-    A heap that one stage has grown is otherwise kept at its limit, beside the Python workers of the next.
-    """
-    n = 2 * spark.sparkContext.defaultParallelism
-    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct: further columns cannot clash with theirs."""
     return F.struct(*(F.col(f"`{c}`") for c in df.columns))
