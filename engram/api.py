@@ -22,7 +22,7 @@ from engram.sources.readers import Embedder, HashEmbedder, embed
 
 TABLES = {
     "memories": schema.MEMORIES, "edges": schema.EDGES, "mentions": schema.MENTIONS, "sessions": schema.SESSIONS,
-    "includes": "session_id string, memory_id string", "timeline": schema.TIMELINE,
+    "includes": "session_id string, memory_id string", "timeline": schema.TIMELINE, "follows": schema.FOLLOWS,
 }
 MAX_BULK = 500
 
@@ -46,8 +46,15 @@ class MemoryStore:
         return writepath.Tables(**{n: self.table(n) for n in TABLES})
 
     def _commit(self, t: writepath.Tables, names: list[str]) -> None:
-        for n in names:
-            self._tables[n].write(getattr(t, n))
+        """Write the named tables, all or none: all are drafted before the first is published, and what was published is taken back if a later one fails."""
+        drafts, done = {n: self._tables[n].draft(getattr(t, n)) for n in names}, []
+        try:
+            for n, draft in drafts.items():
+                done.append((n, self._tables[n].publish(draft)))
+        except Exception:
+            for n, version in reversed(done):
+                self._tables[n].drop(version)
+            raise
 
     def _rows(self, items: list[dict]) -> DataFrame:
         """Item dicts as rows of the memories schema with vectors; unknown keys go to extra, keys with _ are dropped."""
@@ -104,7 +111,8 @@ class MemoryStore:
         t.sessions = partial_update(t.sessions, session, ["session_id"])
         t.timeline = t.timeline.unionByName(made["timeline"].select(*t.timeline.columns))
         t.includes = t.includes.unionByName(row.select("session_id", "memory_id")).distinct()
-        self._commit(t, ["memories", "sessions", "timeline", "includes"])
+        t.follows = t.follows.unionByName(made["follows"]).distinct()
+        self._commit(t, ["memories", "sessions", "timeline", "includes", "follows"])
         return made["memory"].first().memory_id
 
     # ------------------------------------------------------------ reads
@@ -125,6 +133,15 @@ class MemoryStore:
     def session_timeline(self, session_id: str, limit: int = 100) -> DataFrame:
         return T.session_timeline(self.table("includes"), self.table("memories").drop("embedding"), session_id, clamp(limit, 1, 100))
 
+    def session_chain(self, session_id: str, depth: int = 5) -> DataFrame:
+        """A session and those before it, by distance."""
+        starts = self.spark.createDataFrame([(session_id,)], "start string")
+        return G.session_chain(self.table("follows"), starts, clamp(depth, 1, 20)).select("session_id", "distance")
+
+    def decisions(self, query: str, limit: int = 10) -> DataFrame:
+        """Decisions that hold the query's first words, each with up to three neighbors."""
+        return G.decisions(self.table("memories").drop("embedding"), self.table("edges"), query, clamp(limit, 1, 50))
+
     def last_checkpoint(self, project: str | None = None, thread_id: str | None = None) -> DataFrame:
         rows = self.table("memories").drop("embedding").where("memory_type = 'checkpoint'").where(T.recent_filter(project, thread_id))
         return rows.orderBy(F.desc("event_seq")).limit(1)
@@ -151,7 +168,12 @@ class MemoryStore:
     # ------------------------------------------------------------ batch jobs
 
     def backfill(self, kind: str, run_id: str, now: Column | None = None, dry_run: bool = False) -> dict:
-        """Recompute one kind of edges over all items: similarity, temporal, cooccurrence or causal; edges found and, unless dry_run, merged."""
+        """Recompute one kind of edges over all items: similarity, temporal, cooccurrence, causal, entities, promotion or compaction.
+
+        Returns the edges found, also by project; unless dry_run they are merged. Promotions and compactions are read from
+        extra: promoted_from_id, and compacted_from, a JSON list of ids. The same backfill again adds nothing, so one
+        that was broken off is run again.
+        """
         tag, t, when = L.run_tag(run_id), self.tables(), F.current_timestamp() if now is None else now
         from engram.operators.vectors import neighbors
 
@@ -161,18 +183,31 @@ class MemoryStore:
             "cooccurrence": lambda: L.edge_rows(L.cooccurrence_edges(t.mentions), "CO_OCCURS", "backfill", tag, when, weight=F.col("weight")),
             "causal": lambda: L.edge_rows(L.causal_edges(t.memories.where("memory_type = 'bug_fix'"), t.memories.where("memory_type = 'task_failed'")), "CAUSED_BY", "backfill", tag, when),
         }
-        new = E.with_endpoints(makers[kind](), t.memories)
+        marks = lambda: t.memories.select(
+            "memory_id", F.col("extra.promoted_from_id").alias("promoted_from_id"), F.lit(None).cast("struct<old_id:string,from_layer:string,to_layer:string>").alias("promoted_from"),
+            F.from_json("extra.compacted_from", "array<string>").alias("compacted_from"),
+        )
+        makers |= {"promotion": lambda: L.promotions(marks(), tag, when), "compaction": lambda: L.compactions(marks(), tag, when)}
+        if kind == "entities":
+            new = writepath.mention_rows(t.memories, when, tag, "backfill").join(t.mentions, ["memory_id", "project", "name"], "left_anti")
+            merged, table = E.merge_mentions(t.mentions, new), "mentions"
+        else:
+            new = E.with_endpoints(makers[kind](), t.memories)
+            merged, table = E.merge(t.edges, new), "edges"
+        by = new.join(t.memories.select(F.col("memory_id").alias("__id"), F.col("project").alias("__project")), F.col("memory_id" if kind == "entities" else "source_id") == F.col("__id"))
+        counts = {r[0]: r[1] for r in by.groupBy(F.coalesce("__project", F.lit(""))).count().collect()}
         if not dry_run:
-            t.edges = E.merge(t.edges, new)
-            self._commit(t, ["edges"])
-        return {"kind": kind, "run_id": tag, "found": new.count(), "dry_run": dry_run}
+            setattr(t, table, merged)
+            self._commit(t, [table])
+        return {"kind": kind, "run_id": tag, "found": sum(counts.values()), "by_project": counts, "dry_run": dry_run}
 
     def rollback(self, run_id: str, dry_run: bool = False) -> dict[str, int]:
-        """Edges of a run by type; removed unless dry_run."""
+        """Edges of a run by type, mentions as MENTIONS; removed unless dry_run."""
         t = self.tables()
         kept, removed = E.rollback(t.edges, run_id)
-        counts = {r.edge_type: r.removed for r in removed.collect()}
+        unmentioned, mentioned = E.rollback(t.mentions.withColumn("edge_type", F.lit("MENTIONS")), run_id)
+        counts = {r.edge_type: r.removed for r in removed.unionByName(mentioned).groupBy("edge_type").agg(F.sum("removed").alias("removed")).collect()}
         if not dry_run and counts:
-            t.edges = kept
-            self._commit(t, ["edges"])
+            t.edges, t.mentions = kept, unmentioned.drop("edge_type")
+            self._commit(t, ["edges", "mentions"])
         return counts

@@ -33,12 +33,18 @@ def hops(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def multihop(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20, max_starts: int = 50) -> DataFrame:
-    """(node, distance, graph_score): nodes near any start, without the starts; score = 1 / (1 + distance)."""
+def multihop(edges: DataFrame, starts: DataFrame, depth: int = 2, limit: int = 20, max_starts: int = 50, seqs: DataFrame | None = None) -> DataFrame:
+    """(node, distance, graph_score): nodes near any start, without the starts; score = 1 / (1 + distance).
+
+    Ties go to the later event_seq of seqs(node, event_seq), if given, then to the greater id.
+    """
     first = starts.select("node").distinct().orderBy("node").limit(max_starts)
     near = hops(edges, first, max(1, min(depth, 3))).where("distance > 0").groupBy("node").agg(F.min("distance").alias("distance"))
     found = near.join(first, "node", "left_anti").withColumn("graph_score", 1.0 / (1 + F.col("distance")))
-    return found.orderBy(F.desc("graph_score"), F.desc("node")).limit(limit)
+    if seqs is None:
+        return found.orderBy(F.desc("graph_score"), F.desc("node")).limit(limit)
+    dated = found.join(seqs.select("node", "event_seq"), "node", "left")
+    return dated.orderBy(F.desc("graph_score"), F.desc_nulls_last("event_seq"), F.desc("node")).limit(limit).drop("event_seq")
 
 
 def _class_neighbors(edges: DataFrame, nodes: DataFrame, mentions: DataFrame | None, types: tuple, settings: Settings) -> DataFrame:
@@ -117,6 +123,17 @@ def ego(edges: DataFrame, start, depth: int = 2, max_nodes: int = 200, max_edges
     return nodes, own
 
 
+def ego_summary(edges: DataFrame, start, depth: int = 2, max_nodes: int = 200, max_edges: int = 400) -> DataFrame:
+    """(n_nodes, n_edges, truncated) of ego(): truncated if a cap left nodes or edges out."""
+    kind = dict(edges.dtypes)["source_id"]
+    near = hops(edges, edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node")), max(1, min(depth, 3))).select("node")
+    own = edges.join(near.withColumnRenamed("node", "source_id"), "source_id", "left_semi").join(near.withColumnRenamed("node", "target_id"), "target_id", "left_semi")
+    links = own.select("source_id", "target_id", "edge_type").distinct()
+    # single-row totals
+    both = near.agg(F.count("*").alias("n")).join(links.agg(F.count("*").alias("m")))
+    return both.select(F.least("n", F.lit(max_nodes)).alias("n_nodes"), F.least("m", F.lit(max_edges)).alias("n_edges"), ((F.col("n") > max_nodes) | (F.col("m") > max_edges)).alias("truncated"))
+
+
 def shortest_path(edges: DataFrame, start, goal, max_depth: int = 4) -> DataFrame:
     """(path, length): a shortest undirected path, the least one by ids; no row if there is none.
 
@@ -142,6 +159,9 @@ def provenance(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tupl
     chain: (start, node, edge_type, depth), each ancestor at its least depth. summary: (start,
     original_sources, depth, depth_limited); sources are ancestors that go no further inside the
     traversal, depth is the longest walk. A walk that comes back to one of its own nodes ends.
+
+    Of the walks of one length to a node only the least one goes on, so rows grow with nodes times
+    depth, never with paths. Without cycles that loses nothing; on a cycle the least walk decides.
     """
     depth = max(1, min(max_depth, 10))
     rows = edges.where(F.col("edge_type").isin(*PROVENANCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "edge_type")
@@ -151,7 +171,8 @@ def provenance(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tupl
         step = walk.join(rows.withColumnRenamed("edge_type", "t"), "node").where(~F.array_contains("path", F.col("next")))
         gone = step.select("start", "node").distinct()
         left = gone if left is None else left.unionByName(gone)
-        walk = settle(step.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.lit(d).alias("depth"), F.col("t").alias("edge_type")))
+        to = step.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.col("t").alias("edge_type"))
+        walk = settle(to.groupBy("start", "node").agg(F.min("path").alias("path"), F.lit(d).alias("depth"), F.min("edge_type").alias("edge_type")))
         if walk.isEmpty():
             break
         every = every.unionByName(walk)

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder: later plans start from its files, which all executors share.
 
-    Only where the session names no folder (local runs) one of this machine is set.
+    Only where a local session names no folder one of this machine is set.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
+        if not (sc.getConf().get("spark.checkpoint.dir") or sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("a cluster's session needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="engram-"))
     return df.checkpoint(eager=True)

@@ -48,18 +48,23 @@ def shared_entity_neighbors(mentions: DataFrame, hub: int = DEFAULTS.hub_degree,
     return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap: int = DEFAULTS.per_entity_cap, least: int = DEFAULTS.min_shared) -> DataFrame:
+def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap: int = DEFAULTS.per_entity_cap, least: int = DEFAULTS.min_shared, latest: bool = False) -> DataFrame:
     """(source_id, target_id, shared, weight): pairs of items with several common entities, weighted by rarity.
 
-    From each item the first `cap` others of an entity count; a pair is decided from its smaller
+    From each item the first `cap` others of an entity count, by id or, with latest, those seen last; a pair is decided from its smaller
     id, or from the other one if that side has too few. weight = sum of ln(max degree / degree)
     over the shared entities, / 10, within 0.01 and 1, to 4 places.
     """
     kept = without_hubs(mentions, hub).withColumn("top_degree", F.max("degree").over(W.partitionBy("project", "memory_id")))
-    right = kept.select("project", "name", F.col("memory_id").alias("other_id"))
+    order = ["memory_id"]
+    if latest:
+        seen = mentions.groupBy("project", "name", "memory_id").agg(F.max("last_seen_at").alias("seen"))
+        kept, order = kept.join(seen, ["project", "name", "memory_id"]), [F.desc("seen"), "memory_id"]
+    # an entity's members in order: the first `cap` others of each are among its first cap + 1, so no pairs are ranked
+    kept = kept.withColumn("place", F.row_number().over(W.partitionBy("project", "name").orderBy(*order)))
+    right = kept.where(F.col("place") <= cap + 1).select("project", "name", F.col("memory_id").alias("other_id"), F.col("place").alias("other_place"))
     pairs = kept.join(right, ["project", "name"]).where("memory_id != other_id")
-    nth = F.row_number().over(W.partitionBy("project", "memory_id", "name").orderBy("other_id"))
-    pairs = pairs.withColumn("nth", nth).where(F.col("nth") <= cap)
+    pairs = pairs.where(F.col("other_place") - (F.col("place") < F.col("other_place")).cast("int") <= cap)
     weight = F.sum(F.log(F.greatest(F.col("top_degree") / F.col("degree"), F.lit(1.0)))) / 10
     by_side = pairs.groupBy("memory_id", "other_id").agg(F.count("*").alias("shared"), weight.alias("w")).where(F.col("shared") >= least)
     ends = by_side.select(F.least("memory_id", "other_id").alias("source_id"), F.greatest("memory_id", "other_id").alias("target_id"), "memory_id", "shared", "w")
@@ -97,10 +102,16 @@ def promotions(items: DataFrame, run_id: str, now: Column) -> DataFrame:
     return edge_rows(rows.select(F.col("memory_id").alias("source_id"), old.alias("target_id"), "promoted_from"), "PROMOTED_FROM", "promotion", run_id, now, metadata=layers)
 
 
+# Columns that name what an item was compacted from, the first that is set counts.
+MARKS = ("compacted_from", "_compacted_from", "source_ids")
+
+
 def compactions(items: DataFrame, run_id: str, now: Column) -> DataFrame:
-    """An edge to each source of items(memory_id, compacted_from array<string>); a list with a blank id makes none."""
-    good = F.coalesce((F.size("compacted_from") > 0) & F.forall("compacted_from", lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(False))
-    rows = items.where(good).select(F.col("memory_id").alias("source_id"), F.explode(F.array_distinct("compacted_from")).alias("target_id"))
+    """An edge to each source of items(memory_id, and any of MARKS as array<string>): the first mark counts; a list with a blank id makes none."""
+    given = [F.col(c) for c in MARKS if c in items.columns]
+    rows = items.withColumn("marked", F.coalesce(*given))
+    good = F.coalesce((F.size("marked") > 0) & F.forall("marked", lambda x: F.trim(F.coalesce(x, F.lit(""))) != ""), F.lit(False))
+    rows = rows.where(good).select(F.col("memory_id").alias("source_id"), F.explode(F.array_distinct("marked")).alias("target_id"))
     return edge_rows(rows, "COMPACTED_FROM", "compaction", run_id, now)
 
 

@@ -49,15 +49,23 @@ def reciprocal_rank_fusion(lists: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFra
 
 
 def rerank(candidates: DataFrame, scorers: list[Scorer] | None = None, top: int = DEFAULTS.top_k_final) -> DataFrame:
-    """The best `top` by the first scorer, else by the fused score. Scorers drop rows of blank text."""
+    """The best `top` of each query by the first scorer that scores any of its rows, else by the fused score.
+
+    A scorer that gives a query nothing but nulls has failed there, and the next one is asked; one that
+    works drops rows of blank text and rows that it gives no score. reranker_used names it.
+    """
+    rows = candidates.withColumn("rerank_score", F.lit(None).cast("double")).withColumn("reranker_used", F.lit("rrf_only"))
     if scorers:
-        rows = candidates.where(F.trim("text") != "").withColumn("rerank_score", scorers[0](F.col("query"), F.col("text")))
-        name, score = "scorer", F.col("rerank_score")
-    else:
-        rows = candidates.withColumn("rerank_score", F.lit(None).cast("double"))
-        name, score = "rrf_only", F.col("rrf_score")
-    ranked = with_rank(rows, F.desc(score) if isinstance(score, str) else score.desc(), F.col("memory_id"), name="prev_rank")
-    return ranked.where(F.col("prev_rank") <= top).withColumn("reranker_used", F.lit(name))
+        by_query = W.partitionBy("query_id")  # a query's candidates are a bounded list
+        scores = F.array(*(F.when(F.trim("text") != "", s(F.col("query"), F.col("text"))).cast("double") for s in scorers))
+        rows = candidates.withColumn("__scores", scores)
+        worked = F.coalesce(*(F.when(F.max(F.get("__scores", F.lit(i))).over(by_query).isNotNull(), F.lit(i)) for i in range(len(scorers))))
+        rows = rows.withColumn("__tier", worked).withColumn("rerank_score", F.get("__scores", F.col("__tier")))
+        rows = rows.where(F.col("__tier").isNull() | F.col("rerank_score").isNotNull())
+        name = F.when(F.col("__tier").isNull(), "rrf_only").when(F.col("__tier") == 0, "scorer").otherwise(F.concat(F.lit("scorer_"), (F.col("__tier") + 1).cast("string")))
+        rows = rows.withColumn("reranker_used", name).drop("__scores", "__tier")
+    ranked = with_rank(rows, F.coalesce("rerank_score", "rrf_score").desc(), F.col("memory_id"), name="prev_rank")
+    return ranked.where(F.col("prev_rank") <= top)
 
 
 def time_weighted(rows: DataFrame, now: Column, settings: Settings = DEFAULTS) -> DataFrame:
@@ -75,8 +83,12 @@ def time_weighted(rows: DataFrame, now: Column, settings: Settings = DEFAULTS) -
 
 def first_of_each_text(rows: DataFrame, *order: Column, group: list[str] | None = None) -> DataFrame:
     """One row of each md5 of text, the first in order."""
-    hashed = rows.withColumn("text_hash", F.md5(F.coalesce("text", F.lit(""))))
-    return hashed.withColumn("nth", F.row_number().over(W.partitionBy(*(group or []), "text_hash").orderBy(*order))).where("nth = 1").drop("nth")
+    # a partial minimum: of each text a task hands on one row
+    keys, rows = group or [], rows.drop("text_hash")
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("first")
+    found = rows.groupBy(*keys, F.md5(F.coalesce("text", F.lit(""))).alias("text_hash")).agg(first)
+    return found.select(*(F.col(c) if c in keys else F.col(f"first.{c}") for c in rows.columns), "text_hash")
 
 
 def merge_expansion(seeds: DataFrame, expansion: DataFrame, threshold: float = 0.0, keep: int = DEFAULTS.expansion_kept, top: int = DEFAULTS.top_k_final) -> DataFrame:

@@ -40,15 +40,16 @@ def keyset_page(rows: DataFrame, after, size: int, key: str = "memory_id") -> Da
 
 
 class Versioned:
-    """A table as a folder of versions and a pointer: readers see a version whole, writers never touch it.
+    """A table as a folder of versions v=1, v=2, ...: readers see the greatest one whole, writers never touch it.
 
-    Both are written through Spark's own file system layer, so the folder may lie in any store
-    that Spark writes to. The pointer is a one-row JSON table of its own version number; the
-    greatest complete one counts.
+    Files are written by Spark, and all else goes through its own file system layer, so the folder
+    may lie in any store that Spark writes to. A version is written under a draft name; its number
+    is claimed by a file that only one writer can create, and the draft is renamed. A writer whose
+    table was changed since it read it is refused.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.seen = spark, path.rstrip("/"), None
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
@@ -65,17 +66,39 @@ class Versioned:
 
     def read(self) -> DataFrame | None:
         v = self.versions()
+        self.seen = v[-1] if v else 0
         return self.spark.read.parquet(f"{self.path}/v={v[-1]}") if v else None
 
+    def draft(self, df: DataFrame) -> str:
+        """Write df where no reader looks; the folder's name."""
+        name = f"{self.path}/.draft-{uuid.uuid4().hex}"
+        df.write.parquet(name)
+        return name
+
+    def publish(self, draft: str) -> int:
+        """Make a draft the next version; its number."""
+        jvm, fs, p = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        last = (self.versions() or [0])[-1]
+        if self.seen is not None and last != self.seen:
+            raise OSError(f"{self.path} was written by another since version {self.seen} was read")
+        claims = [s.getPath().getName() for s in fs.listStatus(p)]
+        # a claim without a version is one of a writer that was lost
+        version = max([last, *(int(n[7:]) for n in claims if n.startswith(".claim-"))]) + 1
+        if not fs.createNewFile(path(f"{self.path}/.claim-{version}")) or not fs.rename(path(draft), path(f"{self.path}/v={version}")):
+            raise OSError(f"version {version} of {self.path} was written by another")
+        self.seen = version
+        return version
+
     def write(self, df: DataFrame) -> int:
         """Write df as the next version: under a name of its own, then by one rename."""
+        return self.publish(self.draft(df))
+
+    def drop(self, version: int) -> None:
+        """Take a version back."""
         jvm, fs, _ = self._fs()
-        version = (self.versions() or [0])[-1] + 1
-        draft = f"{self.path}/.draft-{uuid.uuid4().hex}"
-        df.write.parquet(draft)
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")):
-            raise OSError(f"version {version} of {self.path} was written by another")
-        return version
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}"), True)
+        self.seen = None
 
 
 def latest_days(snapshots: DataFrame, keep: int = 7) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engram.operators.lineage import settle
+from engram.operators.store import keyset_page
+
 
 def scoped(events: DataFrame, project: str = "project") -> DataFrame:
     """Each event in its project's scope and in the global one, once where they are the same."""
@@ -47,14 +50,22 @@ def predecessors(events: DataFrame, session: str = "session_id") -> DataFrame:
 def sequenced(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """event_seq = start + 1, 2, ... in the given order, without holes.
 
-    Rows are range-partitioned and numbered within their partition; only one count a partition is
-    summed on the way, so no task sees all rows.
+    Rows are range-partitioned, sorted and numbered within their partition, and settled so: a range
+    partitioning that is computed again need not be the same. Only one count a partition is summed
+    on the way, so no task sees all rows.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    local = dealt.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
+    place = F.monotonically_increasing_id()  # the partition's number from bit 33 on, the row's place below
+    dealt = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", place))
+    local = dealt.withColumn("__p", F.shiftright("__at", 33)).withColumn("__i", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = local.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
-    return local.join(before, "__p").withColumn("event_seq", F.lit(start) + F.col("__before") + F.col("__i")).drop("__p", "__i", "__before")
+    # a row a partition
+    before = settle(sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before")))
+    return local.join(before, "__p").withColumn("event_seq", F.lit(start) + F.col("__before") + F.col("__i") + 1).drop("__at", "__p", "__i", "__before")
+
+
+def session_page(events: DataFrame, after=None, size: int = 100, session: str = "session_id") -> DataFrame:
+    """The next distinct sessions after one, in order; events without a session are left out."""
+    return keyset_page(events.where(F.col(session).isNotNull()).select(session).distinct(), after, size, session)
 
 
 def chronology(rows: DataFrame, now: Column) -> DataFrame:

@@ -46,15 +46,22 @@ def unit(df: DataFrame, keep: list[str]) -> DataFrame:
     return n.select(*keep, scaled.alias("u"))
 
 
-def neighbors(vectors: DataFrame, threshold: float = DEFAULTS.similar_threshold, pool: int = DEFAULTS.similar_pool, top: int = DEFAULTS.similar_top, blocks: int = 4) -> DataFrame:
-    """(project, source_id, target_id, score): each row's nearest in its project at or above the threshold.
+#: Rows of a project that one task compares others with.
+BLOCK_ROWS = 2048
+
+
+def neighbors(vectors: DataFrame, threshold: float = DEFAULTS.similar_threshold, pool: int = DEFAULTS.similar_pool, top: int = DEFAULTS.similar_top, asked: DataFrame | None = None) -> DataFrame:
+    """(project, source_id, target_id, score): each row's nearest in its project at or above the threshold; of the rows of asked(memory_id) only, if given.
 
     An equi-join on (project, block): every row is sent to each of the project's blocks once, the
-    other side to its own block, so that a project that holds many rows is spread over blocks.
-    The best `pool` of each block and then of all are kept by partial top-k, `top` at last.
+    other side to its own block of BLOCK_ROWS rows or so, so that a project that holds many rows is
+    spread over blocks. Exact, and so quadratic in a project's rows where all are asked;
+    signature_neighbors is for projects too large for that.
     """
-    rows = unit(vectors, ["memory_id", "project"]).withColumn("block", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)))
-    left = rows.select(F.col("memory_id").alias("source_id"), F.col("u").alias("a"), "project", F.explode(F.array(*(F.lit(i).cast("long") for i in range(blocks)))).alias("block"))
+    sizes = vectors.groupBy("project").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    rows = unit(vectors, ["memory_id", "project"]).join(sizes, "project").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")))
+    left = rows if asked is None else rows.join(asked.select("memory_id"), "memory_id", "left_semi")
+    left = left.select(F.col("memory_id").alias("source_id"), F.col("u").alias("a"), "project", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     right = rows.select(F.col("memory_id").alias("target_id"), F.col("u").alias("b"), "project", "block")
     scored = left.join(right, ["project", "block"]).where("source_id != target_id").select("project", "block", "source_id", "target_id", dot(F.col("a"), F.col("b")).alias("score"))
     scored = scored.where(F.col("score") >= threshold)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from engram.operators import edges as E
@@ -32,7 +34,7 @@ def multihop_entities(spark, d):
     r as (select *, row_number() over (partition by s order by score desc, t) as n from p where score >= 0.25),
     e as (select least(s, t) as a, greatest(s, t) as b, max(score) as w from r where n <= 10 group by 1, 2), w2 as (select a as node, b as other, w from e union all select b, a, w from e),
     nb as (select * from (select *, row_number() over (partition by node order by w desc, other) as n from w2) where n <= 5),
-    seeds as (select memory_id as node, 1.0 / (1 + memory_id)::DOUBLE as score from vectors where memory_id < 20),
+    q as (select embedding as q from vectors where memory_id = 0), seeds as (select memory_id as node, {cos('embedding', 'q')} as score from vectors, q order by 2 desc, 1 limit 20),
     h1 as (select other as node, max(score * w * 0.5) as score from seeds join nb using (node) where other not in (select node from seeds) group by 1),
     h2 as (select other as node, max(score * w * 0.5) as score from h1 join nb using (node) where other not in (select node from seeds) and other not in (select node from h1) group by 1),
     u as (select *, 1 as hop from h1 union all select *, 2 from h2) select node, round(score, 6) as expansion_score, hop from u order by score desc, node limit 20""", longs="hop")
@@ -43,7 +45,7 @@ def graph_expansion(spark, d):
 
     rows = A.vectors(spark, d)
     edges = V.similarity_edges(rows, threshold=0.25).withColumn("edge_type", F.lit("SIMILAR_TO")).withColumn("created_at", F.lit("2024-01-01").cast("timestamp"))
-    seeds = rows.where("memory_id < 20").select(F.col("memory_id").alias("node"), (1.0 / (1 + F.col("memory_id"))).alias("score"))
+    seeds = V.top_k(rows, A.first_vector(spark, d), 20).select(F.col("memory_id").alias("node"), "score")
     out = G.expand(edges, seeds, settings=replace(DEFAULTS, min_edge_weight=0.25))
     return out.select("node", F.round("expansion_score", 6).alias("expansion_score"), "hop")
 
@@ -69,9 +71,12 @@ def ego_subgraph(spark, d):
 
 @query(
     "shortest_path_len",
-    f"""with recursive {A.PLACES_SQL}, h(node, dist) as (select 's1', 0 union select other, dist + 1 from h join ways using (node) where dist < 6) select min(dist) as length from h where node = 's2' having min(dist) is not null""", longs="length")
+    f"""with recursive {A.PLACES_SQL}, h(node, dist) as (select 's1', 0 union select other, dist + 1 from h join ways using (node) where dist < 6)
+    select 'n' || nation.n_nationkey as goal, min(dist) as length from h, nation where node = 'n' || nation.n_nationkey and n_nationkey < 5 group by 1""", longs="length")
 def shortest_path_len(spark, d):
-    return G.shortest_path(A.places(spark, d), "s1", "s2", 6).select("length")
+    places, goals = A.places(spark, d), [f"n{i}" for i in range(5)]
+    parts = [G.shortest_path(places, "s1", g, 6).select(F.lit(g).alias("goal"), "length") for g in goals]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 PROV = [("A", "B", "SUPERSEDES"), ("A", "C", "PROMOTED_FROM"), ("C", "D", "COMPACTED_FROM"), ("X", "Y", "SUPERSEDES"), ("Y", "X", "SUPERSEDES"), ("A", "Z", "SIMILAR_TO")]
@@ -93,12 +98,12 @@ def provenance_sources(spark, d):
     return _prov(spark)[1].select("start", F.array_join("original_sources", ",").alias("sources"), "depth", "depth_limited")
 
 
-@query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations where conv_id % 10 = 0) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c", longs="distance")
+@query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c", longs="distance")
 def session_chain(spark, d):
     from engram.operators import timeline as T
 
     sessions = A.table(spark, d, "conversations").groupBy(F.col("conv_id").alias("session_id")).agg(F.max("conv_id").alias("last_event_seq")).withColumn("project", F.lit("p")).withColumn("thread_id", F.lit("t"))
-    return G.session_chain(T.follows(sessions), sessions.where("session_id % 10 = 0").select(F.col("session_id").alias("start")), 5)
+    return G.session_chain(T.follows(sessions), sessions.select(F.col("session_id").alias("start")), 5)
 
 
 @query("node_exists", "select id, id in (select vec_id from embeddings) as found from (values (1), (2), (100000000)) t(id)", longs="id")

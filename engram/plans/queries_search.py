@@ -50,37 +50,22 @@ def similarity_edges(spark, d):
     return V.similarity_edges(A.vectors(spark, d), threshold=0.25).select("source_id", "target_id", F.round("weight", 6).alias("weight"))
 
 
-PROBE = f"""with {A.VECTORS_SQL}, p as (select a.memory_id as new_id, b.memory_id, {cos('a.embedding', 'b.embedding')} as score from vectors a join vectors b on a.memory_id % 10 = 0 and b.memory_id % 10 <> 0 {{kind}}),
+# every fiftieth row is asked, against all rows; ranks come before the row itself is left out
+PROBE = f"""with {A.VECTORS_SQL}, p as (select a.memory_id as new_id, b.memory_id, {cos('a.embedding', 'b.embedding')} as score from vectors a join vectors b on a.memory_id % 50 = 0 {{kind}}),
     r as (select *, row_number() over (partition by new_id order by score desc, memory_id) as n from p)"""
+CONFLICTS = PROBE.format(kind="and b.memory_type = 'decision'") + " select new_id, memory_id, round(score, 6) as score from r where n <= 5 and score >= 0.25 and score < 0.35 and new_id <> memory_id"
 
 
-@query("dedup_probe", PROBE.format(kind="") + " select new_id, arg_min(memory_id, n) as memory_id, round(arg_min(score, n), 6) as score from r where n <= 3 and score >= 0.3 group by new_id")
+@query("dedup_probe", PROBE.format(kind="") + " select new_id, arg_min(memory_id, n) as memory_id, round(arg_min(score, n), 6) as score from r where n <= 3 and score >= 0.3 and new_id <> memory_id group by new_id")
 def dedup_probe(spark, d):
     rows = A.vectors(spark, d)
-    return V.duplicates(rows.where("memory_id % 10 = 0"), rows.where("memory_id % 10 != 0"), threshold=0.3).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+    return V.duplicates(rows.where("memory_id % 50 = 0"), rows, threshold=0.3).select("new_id", "memory_id", F.round("score", 6).alias("score"))
 
 
-@query("conflict_band", PROBE.format(kind="and b.memory_type = 'decision'") + " select new_id, memory_id, round(score, 6) as score from r where n <= 5 and score >= 0.25 and score < 0.35")
+@query("conflict_band", CONFLICTS)
 def conflict_band(spark, d):
     rows = A.vectors(spark, d)
-    return V.conflicts(rows.where("memory_id % 10 = 0"), rows.where("memory_id % 10 != 0"), 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
-
-
-# the same over all rows against all rows; ranks come before the row itself is left out
-PROBE_ALL = f"""with {A.VECTORS_SQL}, p as (select a.memory_id as new_id, b.memory_id, {cos('a.embedding', 'b.embedding')} as score from vectors a cross join vectors b {{kind}}),
-    r as (select *, row_number() over (partition by new_id order by score desc, memory_id) as n from p)"""
-
-
-@query("dedup_probe_all", PROBE_ALL.format(kind="") + " select new_id, arg_min(memory_id, n) as memory_id, round(arg_min(score, n), 6) as score from r where n <= 3 and score >= 0.3 and new_id <> memory_id group by new_id")
-def dedup_probe_all(spark, d):
-    rows = A.vectors(spark, d)
-    return V.duplicates(rows, rows, threshold=0.3).select("new_id", "memory_id", F.round("score", 6).alias("score"))
-
-
-@query("conflict_band_all", PROBE_ALL.format(kind="where b.memory_type = 'decision'") + " select new_id, memory_id, round(score, 6) as score from r where n <= 5 and score >= 0.25 and score < 0.35 and new_id <> memory_id")
-def conflict_band_all(spark, d):
-    rows = A.vectors(spark, d)
-    return V.conflicts(rows, rows, 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+    return V.conflicts(rows.where("memory_id % 50 = 0"), rows, 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -134,34 +119,47 @@ def fused_ranked(spark, d):
     return out.select("memory_id", F.col("semantic_score_normalized").alias("semantic_score"), "temporal_score", "composite_score", "final_rank")
 
 
-@query("mmr_select")
+@query(
+    "mmr_select",
+    f"""with recursive {A.VECTORS_SQL}, q as (select embedding as e from vectors where memory_id = 0),
+    c as (select memory_id, embedding, {cos('embedding', 'e')} as score, row_number() over (order by {cos('embedding', 'e')} desc, memory_id) as prev_rank from vectors, q qualify prev_rank <= 50),
+    n as (select *, (score - min(score) over ()) / (max(score) over () - min(score) over ()) as rel from c),
+    near as (select a.memory_id as a, b.memory_id as b, {cos('a.embedding', 'b.embedding')} as c from n a, n b),
+    pick(step, chosen) as (select 1, [(select memory_id from n order by rel desc, prev_rank limit 1)] union all select step + 1, list_append(chosen, (select arg_max(v.memory_id, (v.value, -v.prev_rank)) from
+      (select n.memory_id, n.prev_rank, 0.7 * n.rel - 0.3 * max(near.c) as value from n join near on near.a = n.memory_id and list_contains(chosen, near.b) where not list_contains(chosen, n.memory_id) group by n.memory_id, n.prev_rank, n.rel) v)) from pick where step < 15)
+    select unnest(chosen) as memory_id, generate_subscripts(chosen, 1) as mmr_rank from pick where step = 15""",
+)
 def mmr_select(spark, d):
     near = V.top_k(A.vectors(spark, d), A.first_vector(spark, d), 50).withColumn("query_id", F.lit(1))
     ranked = Q.with_rank(near, F.desc("score"), F.col("memory_id"), name="prev_rank").withColumnRenamed("score", "relevance")
     return V.mmr(ranked).select("memory_id", "mmr_rank")
 
 
+NEAREST = f"q as (select embedding as e from vectors where memory_id = 0), z as (select memory_id, {cos('embedding', 'e')} as score, row_number() over (order by {cos('embedding', 'e')} desc, memory_id) as n from vectors, q)"
+
+
 @query(
     "expansion_merge",
-    f"""with {A.VECTORS_SQL}, s as (select memory_id, (memory_id % 97) / 97.0::DOUBLE as composite_score, false as is_expansion from vectors where memory_id < 20),
-    x as (select memory_id, case when memory_id % 3 = 0 then null else (memory_id % 7 - 3) / 3.0::DOUBLE end as rerank_score, (memory_id % 11) / 11.0::DOUBLE as expansion_score from vectors where memory_id between 100 and 160),
+    f"""with {A.VECTORS_SQL}, {NEAREST}, s as (select memory_id, (memory_id % 97) / 97.0::DOUBLE as composite_score, false as is_expansion from z where n <= 20),
+    x as (select memory_id, case when memory_id % 3 = 0 then null else (memory_id % 7 - 3) / 3.0::DOUBLE end as rerank_score, (memory_id % 11) / 11.0::DOUBLE as expansion_score from z where n between 21 and 81),
     g as (select memory_id, coalesce(rerank_score, expansion_score) as composite_score, true as is_expansion from x where rerank_score is null or rerank_score >= 0),
     b as (select * from (select *, row_number() over (order by composite_score desc, memory_id) as n from g) where n <= 3), u as (select * from s union all select memory_id, composite_score, is_expansion from b)
     select memory_id, round(composite_score, 6) as composite_score, is_expansion, final_rank from (select *, row_number() over (order by composite_score desc, is_expansion, memory_id) as final_rank from u) where final_rank <= 15""",
 )
 def expansion_merge(spark, d):
-    rows = A.vectors(spark, d).select("memory_id").withColumn("query_id", F.lit(1))
-    seeds = rows.where("memory_id < 20").withColumn("composite_score", F.col("memory_id") % 97 / F.lit(97.0))
-    x = rows.where("memory_id between 100 and 160").withColumn("composite_score", F.lit(None).cast("double")).withColumn("expansion_score", F.col("memory_id") % 11 / F.lit(11.0))
+    near = V.top_k(A.vectors(spark, d), A.first_vector(spark, d), 81).select("memory_id", "score").withColumn("query_id", F.lit(1))
+    rows = Q.with_rank(near, F.desc("score"), F.col("memory_id"), name="n").drop("score")
+    seeds = rows.where("n <= 20").drop("n").withColumn("composite_score", F.col("memory_id") % 97 / F.lit(97.0))
+    x = rows.where("n > 20").drop("n").withColumn("composite_score", F.lit(None).cast("double")).withColumn("expansion_score", F.col("memory_id") % 11 / F.lit(11.0))
     x = x.withColumn("rerank_score", F.when(F.col("memory_id") % 3 != 0, (F.col("memory_id") % 7 - 3) / F.lit(3.0)))
     return Q.merge_expansion(seeds, x).select("memory_id", F.round("composite_score", 6).alias("composite_score"), "is_expansion", "final_rank")
 
 
 @query("exact_dedup", "select text_hash, doc_id from (select md5(text) as text_hash, doc_id, row_number() over (partition by md5(text) order by doc_id) as n from documents) where n = 1")
 def exact_dedup(spark, d):
-    # the first of each text by a partial minimum: no texts are shuffled
-    docs = A.table(spark, d, "documents")
-    return docs.groupBy(F.md5(F.coalesce("text", F.lit(""))).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"))
+    # the text itself is not carried on: one row a text and task is shuffled
+    docs = A.table(spark, d, "documents").select("doc_id", "text")
+    return Q.first_of_each_text(docs, F.col("doc_id")).select("text_hash", "doc_id")
 
 
 QUERIES = [

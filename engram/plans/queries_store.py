@@ -126,7 +126,7 @@ def bulk_validate(spark, d):
     return O.bulk_summary(O.validate_items(rows))
 
 
-@query("catalog_counts", "select 'documents' as table_name, 5 as n_columns, count(*) as n, 0 as duplicate_keys from documents union all select 'conversations', 4, count(*), 0 from conversations", longs="n_columns duplicate_keys")
+@query("catalog_counts", "select 'documents' as table_name, (select count(*) from duckdb_columns() where table_name = 'documents') as n_columns, sum(c) as n, count(*) filter (where c > 1) as duplicate_keys from (select count(*) as c from documents group by doc_id) union all select 'conversations', (select count(*) from duckdb_columns() where table_name = 'conversations'), sum(c), count(*) filter (where c > 1) from (select count(*) as c from conversations group by conv_id, turn)", longs="n_columns n duplicate_keys")
 def catalog_counts(spark, d):
     return O.catalog({t: A.table(spark, d, t) for t in ("documents", "conversations")}, {"documents": ["doc_id"], "conversations": ["conv_id", "turn"]})
 
@@ -137,7 +137,7 @@ def fallback_branches(spark, d):
     return first_branch(rows.where("lang = 'es'").drop("lang"), rows.where("lang = 'fr'").drop("lang"), group="source").select("source", "doc_id", "branch")
 
 
-@query("context_build")
+@query("context_build", r"""with w as (select source, doc_id, text, case when trim(text) = '' then 0 else len(string_split_regex(trim(text, e' \t\n\r'), '\s+')) end as n_words from documents), r as (select *, sum(n_words) over (partition by source order by doc_id rows unbounded preceding) as so_far from w), c as (select source, string_agg(text, chr(10) order by doc_id) as context from r where so_far <= 3000 group by 1) select source, md5(context) as context_md5, length(context) as n_chars from c""")
 def context_build(spark, d):
     rows = A.table(spark, d, "documents").select("source", "doc_id", "text")
     return context(within_budget(rows, group="source", order="doc_id"), group="source", order="doc_id").select("source", F.md5("context").alias("context_md5"), F.length("context").alias("n_chars"))
@@ -247,13 +247,16 @@ def causal_link(spark, d):
     return L.causal_edges(fixes, rows.where("memory_type = 'error'"))
 
 
-@query("mentions_merge", "select l_orderkey as memory_id, l_partkey as name, max(l_shipdate) as last_seen_at from lineitem group by 1, 2")
+@query("mentions_merge", "with m as (select l_orderkey as memory_id, l_partkey as name, l_shipdate as seen, case when l_linenumber <= 2 then 0 else 1 end as batch from lineitem) select memory_id, name, max(seen) as last_seen_at, arg_min(seen, (batch, seen)) as created_at, min(batch) = 0 as was_stored from m group by 1, 2")
 def mentions_merge(spark, d):
-    rows = A.mentions(spark, d).withColumn("weight", F.lit(1.0)).withColumn("created_at", F.col("last_seen_at"))
-    return E.merge_mentions(rows.limit(0), rows).select("memory_id", "name", "last_seen_at")
+    lines = A.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("memory_id"), F.lit("all").alias("project"), F.col("l_partkey").alias("name"), F.col("l_shipdate").alias("last_seen_at"), "l_linenumber")
+    rows = lines.withColumn("created_at", F.col("last_seen_at")).withColumn("created_by", F.when(F.col("l_linenumber") <= 2, "stored").otherwise("new"))
+    stored = E.merge_mentions(rows.limit(0).drop("l_linenumber"), rows.where("l_linenumber <= 2").drop("l_linenumber"))
+    out = E.merge_mentions(stored, rows.where("l_linenumber > 2").drop("l_linenumber"))
+    return out.select("memory_id", "name", "last_seen_at", "created_at", (F.col("created_by") == "stored").alias("was_stored"))
 
 
-@query("provenance_writers")
+@query("provenance_writers", f"with {A.TURNS_SQL}, m as (select memory_id::VARCHAR as id, event_seq from turns) select id as source_id, 'm' || id as target_id, 'PROMOTED_FROM' as edge_type, 1.0::DOUBLE as weight, 'run' as run_id from m where event_seq % 3 = 0 union all select id, x || id, 'COMPACTED_FROM', 1.0, 'run' from m, (values ('a'), ('b')) v(x) where event_seq % 2 = 0")
 def provenance_writers(spark, d):
     rows = A.turns(spark, d).select(F.col("memory_id").cast("string").alias("memory_id"), "event_seq")
     marks = rows.withColumn("promoted_from_id", F.when(F.col("event_seq") % 3 == 0, F.concat(F.lit("m"), "memory_id"))).withColumn("promoted_from", F.lit(None).cast("struct<old_id:string,from_layer:string,to_layer:string>"))
@@ -295,7 +298,7 @@ def daily_deviation(spark, d):
     return r.withColumn("day", F.col("day").cast("string")).withColumn("delta", F.col("delta").cast("double"))
 
 
-@query("compaction_audit", f"with {A.EDGES_SQL}, c as (select * from edges where edge_type = 'COMPACTED_FROM') select count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') as recent, count(*) as total, 'ok' as status from c")
+@query("compaction_audit", f"with {A.EDGES_SQL}, c as (select * from edges where edge_type = 'COMPACTED_FROM') select count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') as recent, count(*) as total, case when count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') > 0 then 'ok' when count(*) > 0 then 'alert_regression' else 'alert_dead_letter' end as status from c")
 def compaction_audit(spark, d):
     return O.compaction_audit(A.edges(spark, d), F.lit("1998-01-01 00:00:00").cast("timestamp")).select("recent", "total", "status")
 

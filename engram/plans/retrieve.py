@@ -58,7 +58,8 @@ def semantic(src: Sources, vector: list[float], now: Column, names: list[str] |
     lists = near.unionByName(graph)
     if names and src.edges is not None:
         starts = slim.where(Q.named_in(F.col("text"), F.col("memory_id"), names)).select(F.col("memory_id").alias("node"))
-        far = G.multihop(src.edges, starts, 2, min(20, s.top_k_vector)).select(F.col("node").alias("memory_id"), F.col("graph_score").alias("score"))
+        seqs = slim.select(F.col("memory_id").alias("node"), "event_seq")
+        far = G.multihop(src.edges, starts, 2, min(20, s.top_k_vector), seqs=seqs).select(F.col("node").alias("memory_id"), F.col("graph_score").alias("score"))
         more = Q.with_rank(far.join(slim, "memory_id").withColumn("query_id", F.lit(1)), F.desc("score"), F.desc("memory_id")).withColumn("rank", F.col("rank") + s.top_k_vector)
         lists = lists.unionByName(more.withColumn("source", F.lit("graph")))
     fused = Q.reciprocal_rank_fusion(lists, s.rrf_k).withColumn("query", F.lit(query))
@@ -84,10 +85,14 @@ def answer(src: Sources, query: str, vector: list[float], now: Column, top: int
         out = semantic(src, vector, now, names, None if low is None else F.col("event_seq") >= low, query, top)
     elif mode in MODE_TYPES:
         kinds = F.col("memory_type").isin(*MODE_TYPES[mode])
-        # the plain search where there is no item of these types
-        found = not src.memories.where(kinds).limit(1).isEmpty()
-        part = Sources(src.memories.where(kinds), src.edges, src.mentions, settings=s) if found else src
-        out = semantic(part, vector, now, names, None, query, top)
+        # items of these types that have a vector; else decisions by the query's words; else the plain search
+        found = not src.memories.where(kinds & V.non_zero(F.col("embedding"))).limit(1).isEmpty()
+        named = G.decisions(src.memories.drop("embedding"), src.edges, query, top) if mode == "DECISION" and src.edges is not None and not found else None
+        if named is not None and not named.limit(1).isEmpty():
+            out = Q.with_rank(named.withColumn("query_id", F.lit(1)), F.desc_nulls_last("event_seq"), F.col("memory_id"), name="answer_rank")
+        else:
+            part = Sources(src.memories.where(kinds), src.edges, src.mentions, settings=s) if found else src
+            out = semantic(part, vector, now, names, None, query, top)
     else:
         out = semantic(src, vector, now, names, None, query, top)
     out = out.withColumn("routing_mode", F.lit(mode))

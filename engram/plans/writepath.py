@@ -26,6 +26,7 @@ class Tables:
     sessions: DataFrame
     includes: DataFrame
     timeline: DataFrame
+    follows: DataFrame
 
 
 def prepare(batch: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
@@ -50,6 +51,13 @@ def decide(rows: DataFrame, stored: DataFrame, settings: Settings = DEFAULTS) ->
     return out.withColumn("action", action).withColumn("write_id", F.when(F.col("action") == "update", F.coalesce("duplicate_of", "memory_id")).otherwise(F.col("memory_id")))
 
 
+def mention_rows(rows: DataFrame, now: Column, run_id: str, created_by: str = "entity_linker") -> DataFrame:
+    """Mentions of the entities of rows(memory_id, project, entities), names trimmed and in small letters."""
+    own = rows.select("memory_id", "project", F.explode("entities").alias("name")).withColumn("name", F.lower(F.trim("name"))).where("name != '' and project is not null").distinct()
+    at = now.cast("timestamp")
+    return own.select("memory_id", "project", "name", F.lit(1.0).alias("weight"), at.alias("created_at"), at.alias("last_seen_at"), F.lit(created_by).alias("created_by"), F.lit(run_id).alias("run_id"), F.lit(1).alias("edge_version"))
+
+
 def write(batch: DataFrame, t: Tables, now: Column, run_id: str, settings: Settings = DEFAULTS) -> Tables:
     """All tables after a batch, linkers included; the same batch again changes no edge."""
     rows = decide(prepare(batch, t.memories, now), t.memories, settings).where("action != 'skip'")
@@ -58,17 +66,18 @@ def write(batch: DataFrame, t: Tables, now: Column, run_id: str, settings: Setti
     memories = S.upsert(t.memories, rows, ["memory_id"])
     decided = rows.where(X.category_of(F.col("category"), F.col("memory_type")) == "decision")
     edges = E.merge(t.edges, E.with_endpoints(_links(rows, decided, memories, t, now, run_id, settings), memories))
-    own = rows.select("memory_id", "project", F.explode("entities").alias("name")).withColumn("name", F.lower(F.trim("name"))).where("name != '' and project is not null").distinct()
-    mentions = own.select("memory_id", "project", "name", F.lit(1.0).alias("weight"), now.cast("timestamp").alias("created_at"), now.cast("timestamp").alias("last_seen_at"), F.lit("entity_linker").alias("created_by"), F.lit(run_id).alias("run_id"), F.lit(1).alias("edge_version"))
+    mentions = mention_rows(rows, now, run_id)
     sessions, includes = T.link_sessions(t.sessions, rows.where("session_id is not null").select("session_id", "memory_id"), memories)
     scopes = T.scoped(rows).select(*t.timeline.columns)
-    return Tables(memories, edges, E.merge_mentions(t.mentions, mentions), sessions, t.includes.unionByName(includes).distinct(), S.upsert(t.timeline, scopes, ["scope", "memory_id"]))
+    return Tables(memories, edges, E.merge_mentions(t.mentions, mentions), sessions, t.includes.unionByName(includes).distinct(), S.upsert(t.timeline, scopes, ["scope", "memory_id"]), t.follows)
 
 
 def _links(rows: DataFrame, decided: DataFrame, memories: DataFrame, t: Tables, now: Column, run_id: str, settings: Settings) -> DataFrame:
     ids = rows.select("memory_id")
-    similar = V.neighbors(memories.where(F.col("project").isNotNull()), settings.similar_threshold, settings.similar_pool, settings.similar_top).join(ids, F.col("source_id") == F.col("memory_id"), "left_semi")
-    follows = T.predecessors(memories).join(ids, F.col("source_id") == F.col("memory_id"), "left_semi")
+    # only the new rows look for neighbors, and only sessions with new rows are ordered again
+    similar = V.neighbors(memories.where(F.col("project").isNotNull()), settings.similar_threshold, settings.similar_pool, settings.similar_top, asked=ids)
+    touched = memories.join(rows.select("session_id").distinct(), "session_id", "left_semi")
+    follows = T.predecessors(touched).join(ids, F.col("source_id") == F.col("memory_id"), "left_semi")
     conflicts = V.conflicts(decided, t.memories, settings.conflict_low, settings.duplicate_threshold)
     fixes = L.causal_edges(rows.where("memory_type = 'bug_fix' and fixes_task_id is not null"), memories.where("memory_type = 'task_failed'"), settings.causal_days)
     out = L.edge_rows(similar, "SIMILAR_TO", "similarity_linker", run_id, now, weight=X.clamp(F.col("score")))
@@ -82,10 +91,10 @@ def write_many(batch: DataFrame, t: Tables, now: Column) -> Tables:
     rows = S.upsert(rows.limit(0), rows, ["memory_id"], "event_seq")
     memories = S.upsert(t.memories, rows, ["memory_id"])
     sessions, includes = T.link_sessions(t.sessions, rows.where("session_id is not null").select("session_id", "memory_id"), memories)
-    return Tables(memories, t.edges, t.mentions, sessions, t.includes.unionByName(includes).distinct(), S.upsert(t.timeline, T.scoped(rows).select(*t.timeline.columns), ["scope", "memory_id"]))
+    return Tables(memories, t.edges, t.mentions, sessions, t.includes.unionByName(includes).distinct(), S.upsert(t.timeline, T.scoped(rows).select(*t.timeline.columns), ["scope", "memory_id"]), t.follows)
 
 
 def delete(t: Tables, gone: DataFrame) -> Tables:
     """All tables without the given items and what touches them."""
     out = lambda df: df.join(gone.select("memory_id").distinct(), "memory_id", "left_anti")
-    return Tables(out(t.memories), E.without_nodes(t.edges, gone), out(t.mentions), t.sessions, out(t.includes), out(t.timeline))
+    return Tables(out(t.memories), E.without_nodes(t.edges, gone), out(t.mentions), t.sessions, out(t.includes), out(t.timeline), t.follows)

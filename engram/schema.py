@@ -11,6 +11,7 @@ EDGES = (
 )
 MENTIONS = "memory_id string, project string, name string, weight double, created_at timestamp, last_seen_at timestamp, created_by string, run_id string, edge_version int"
 SESSIONS = "session_id string, started_at timestamp, ended_at timestamp, last_event_seq long, summary string, project string, thread_id string"
+FOLLOWS = "session_id string, prev_session_id string"
 TIMELINE = "scope string, event_seq long, memory_id string, memory_type string, project string, session_id string"
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]

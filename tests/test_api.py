@@ -53,6 +53,48 @@ def test_sessions_and_checkpoints(store):
     assert store.last_checkpoint("p").first().memory_id == mark
 
 
+def test_sessions_follow_each_other(store):
+    store.create_checkpoint("s1", "begun", "p")
+    store.create_checkpoint("s2", "went on", "p")
+    assert [(r.session_id, r.distance) for r in store.session_chain("s2").orderBy("distance").collect()][:2] == [("s2", 0), ("s1", 1)]
+
+
+def test_rollback_takes_mentions(store):
+    store.upsert("quite another matter of ships", "ships", {"project": "q", "entities": ["Harbour"]}, NOW(), run_id="run-7")
+    assert store.entity_memories("harbour", "q").count() == 1
+    assert store.rollback("run-7", dry_run=True)["MENTIONS"] == 1 and store.entity_memories("harbour", "q").count() == 1
+    assert store.rollback("run-7")["MENTIONS"] == 1 and store.entity_memories("harbour", "q").count() == 0
+    assert store.rollback("run-7") == {}
+    found = store.backfill("entities", "again", NOW())
+    assert found["found"] >= 1 and found["by_project"]["q"] == 1 and store.entity_memories("harbour", "q").count() == 1
+    assert store.backfill("entities", "again", NOW())["found"] == 0
+    with pytest.raises(ValueError):
+        store.rollback("*")
+
+
+def test_promotions_and_compactions_from_marks(store):
+    store.upsert("a summary of both items", "sum", {"project": "p", "compacted_from": ["m0", "m1"], "promoted_from_id": "m2"}, NOW())
+    assert store.backfill("compaction", "c1", NOW())["found"] == 2 and store.backfill("promotion", "c1", NOW())["found"] == 1
+    assert store.provenance("sum")[1].first().original_sources == ["m0", "m1", "m2"]
+
+
+def test_decisions(store):
+    store.upsert("We keep all tables in versioned folders", "d1", {"project": "p", "memory_type": "decision"}, NOW())
+    assert [r.memory_id for r in store.decisions("  keep ALL tables ").collect()] == ["d1"]
+
+
+def test_a_failed_commit_changes_nothing(store, monkeypatch):
+    before = store.health()
+    real = store._tables["edges"].publish
+    monkeypatch.setattr(store._tables["edges"], "publish", lambda draft: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.upsert("a text that never arrives", "lost", {"project": "p", "entities": ["x"]}, NOW())
+    monkeypatch.setattr(store._tables["edges"], "publish", real)
+    assert store.health() == before and store.table("memories").where("memory_id = 'lost'").isEmpty()
+    store.upsert("a text that arrives", "found", {"project": "p"}, NOW())
+    assert store.health()["memories"] == before["memories"] + 1
+
+
 def test_backfill_and_rollback(store):
     assert store.backfill("temporal", "one", NOW(), dry_run=True)["found"] >= 3
     assert store.backfill("temporal", "one", NOW())["run_id"] == "backfill-one"

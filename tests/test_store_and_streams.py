@@ -17,6 +17,29 @@ def test_versions(spark, tmp_path):
     assert table.read().count() == 5 and table.versions() == [1, 2]
 
 
+def test_a_table_changed_by_another_is_refused(spark, tmp_path):
+    one, two = (S.Versioned(spark, f"{tmp_path}/t") for _ in range(2))
+    one.write(spark.range(1))
+    one.read(), two.read()
+    assert two.write(spark.range(2)) == 2
+    with pytest.raises(OSError):
+        one.write(spark.range(3))
+    assert one.read().count() == 2 and one.write(spark.range(3)) == 3
+    (tmp_path / "t" / ".claim-4").write_text("")  # of a writer that was lost
+    assert one.write(spark.range(4)) == 5 and one.read().count() == 4
+
+
+def test_provenance_of_diamonds_and_cycles(spark):
+    from engram.operators import graph as G
+
+    rows = [(f"a{i}", f"{x}{i}", "SUPERSEDES") for i in range(8) for x in "bc"] + [(f"{x}{i}", f"a{i + 1}", "PROMOTED_FROM") for i in range(8) for x in "bc"] + [("x", "y", "SUPERSEDES"), ("y", "x", "SUPERSEDES")]
+    edges = spark.createDataFrame(rows, "source_id string, target_id string, edge_type string")
+    chain, summary = G.provenance(edges, spark.createDataFrame([("a0",), ("a5",), ("x",)], "start string"))
+    got = {r.start: (r.depth, r.original_sources, r.depth_limited) for r in summary.collect()}
+    assert got["a5"] == (6, ["a8"], False) and got["x"] == (1, ["y"], False) and got["a0"][0] == 10 and got["a0"][2]
+    assert chain.where("start = 'a0'").count() == 15  # each node once, whatever the number of walks
+
+
 def test_upsert_and_partial_update(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, extra string")
     assert sorted(map(tuple, S.upsert(old, spark.createDataFrame([(2, "c", None)], old.schema), ["id"]).collect())) == [(1, "a", "x"), (2, "c", None)]
