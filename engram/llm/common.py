@@ -44,11 +44,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's spark.checkpoint.dir.
 
-    Only where the session has none (local runs, tests) a folder of this machine is set.
+    Only where a local session has none (tests) a folder of this machine is set.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not (sc.master.startswith("local[") or sc.master == "local"):
+            raise ValueError("a cluster's session needs spark.checkpoint.dir, a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="engram-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -77,11 +79,33 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def tidied(scan):
-    """scan, a function from batches to batches, with tidy() at its end."""
+_kept: tuple = (None, None)
+
+
+def kept_by_worker(name: str, make):
+    """What make() gave for a name: a worker keeps it between tasks, until it is asked for another or runs a scan that keeps nothing."""
+    global _kept
+    if _kept[0] != name:
+        release()
+        _kept = name, make()
+    return _kept[1]
+
+
+def release() -> None:
+    """Drop what this worker keeps."""
+    global _kept
+    if _kept[0] is not None:
+        _kept = None, None
+        tidy()
+
+
+def tidied(scan, keeps: bool = False):
+    """scan, a function from batches to batches, with tidy() at its end; unless it keeps something between tasks, what others kept is dropped."""
 
     @functools.wraps(scan)
     def run(batches):
+        if not keeps:
+            release()
         try:
             yield from scan(batches)
         finally:

@@ -292,6 +292,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return kept.withColumn("nth", first).where("nth = 1").select("row.*")
 
 
+ORACLE = r"""
+with recursive t as (select text, min(doc_id) as text_id, count(*) as n_copies from documents group by text),
+w as (select text_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from t),
+s as (select distinct text_id, array_to_string(w[i:i + 4], ' ') as g from w, unnest(range(1, greatest(len(w) - 3, 2))) as r(i) where len(w) > 0),
+n as (select text_id, count(*) as c from s group by 1),
+p as (select a.text_id as a, b.text_id as b, count(*) as both_have from s a join s b on a.g = b.g and a.text_id <> b.text_id group by 1, 2),
+l as (select a, b from p join n x on x.text_id = a join n y on y.text_id = b where 5 * both_have >= 4 * (x.c + y.c - both_have)),
+r(node, other) as (select a, a from l union select node, b from r join l on a = other),
+c as (select node, min(other) as least_id from r group by 1), k as (select a as node, count(*) as n_links from l group by 1)
+select d.doc_id, least(coalesce(c.least_id, t.text_id), t.text_id) as class_id, t.text_id, t.n_copies, coalesce(k.n_links, 0) as n_links
+from documents d join t on t.text is not distinct from d.text left join c on c.node = t.text_id left join k on k.node = t.text_id
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     keyed = docs.select("doc_id", *text_key())

@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op4_near_duplicates": near_duplicates.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
 }

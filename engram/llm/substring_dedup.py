@@ -190,5 +190,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     return strip(keyed.join(spans, ["k", "k2"], "left"), window)
 
 
+ORACLE = r"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+p as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) as win from d, unnest(range(1, len(w) - 33)) as t(i) where len(w) >= 35),
+c as (select win from p group by win having count(*) > 1),
+gone as (select distinct rid, i + k as pos from p join c using (win), unnest(range(0, 35)) as o(k)),
+x as (select rid, pos, w[pos] as word from d, unnest(range(1, len(w) + 1)) as t(pos)),
+k as (select x.rid, count(gone.pos) as n_removed, string_agg(x.word, ' ' order by x.pos) filter (where gone.pos is null) as kept from x left join gone on gone.rid = x.rid and gone.pos = x.pos group by x.rid)
+select d.doc_id, len(d.w)::BIGINT as n_words, coalesce(k.n_removed, 0)::BIGINT as n_removed, sha256(coalesce(k.kept, '')) as kept_sha256 from d left join k using (rid)
+"""
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark, table(spark, sf_dir, "documents")).drop("kept_text")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import HashMemo, Piece, byte_class, materialize, pieces, room, span_hashes, table, tidied
+from engram.llm.common import HashMemo, Piece, byte_class, kept_by_worker, materialize, pieces, room, span_hashes, table, tidied
 
 #: A segment closes once it has so many ids.
 SEGMENT_IDS = 1 << 20
@@ -191,14 +191,9 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder: what one task has encoded serves the next."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept_by_worker(f"encoder {path}", lambda: Encoder(path))
 
 
 # ---------------------------------------------------------------- writing and reading
@@ -243,7 +238,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
 
     tie = F.xxhash64("text")
     dealt = docs.select("doc_id", "text").repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first(), tie)
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(tidied(encode), SEGMENT)
+    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie).mapInArrow(tidied(encode, keeps=True), SEGMENT)
 
 
 def read_segment(row: dict, offset: int) -> Iterator[tuple[int | None, int, int, bytes]]:

@@ -347,6 +347,43 @@ def test_mixing(spark, docs, rows):
     assert Counter((r.doc_id, len(words(r.text))) for r in rows_out.collect()) == +per_doc
 
 
+def test_mixing_of_rows_that_are_alike(spark):
+    """Of repeated rows, without ids too, a part is taken where the rest of a target asks for it."""
+    rows = [(None, "one two three", "a")] * 50 + [(7, "one two three", "a")] * 30 + [(i, f"w{i} x y", "b") for i in range(100, 140)] + [(8, "z " * 9, "a")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixture.mix_documents(spark, docs)
+    got = {(r.source_size, r.target): r.t for r in out.groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()}
+    assert out.count() == len(rows) and all(abs(t - target) <= 3 for (_, target), t in got.items()) and len(got) == 2
+    mixed = mixture.mixed_rows(spark, docs)
+    assert mixed.agg(F.sum(mixture.n_words(F.col("text")))).first()[0] == sum(got.values())
+    assert bag(mixture.mixed_rows(spark, docs.repartition(7)), *docs.columns) == bag(mixed, *docs.columns)
+
+
+def test_many_equal_rows_share_their_spans(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.range(1).select(F.explode(F.array_repeat(F.lit(5).cast("long"), 10_000)).alias("doc_id"), F.lit(text).alias("text"))
+    keyed = docs.select("text", *common.doc_key())
+    spans = substring_dedup.repeats(spark, keyed).collect()
+    assert len(spans) == 1 and len(spans[0].spans) < 60
+    assert substring_dedup.substring_dedup(spark, docs).where("n_removed = 60").count() == 10_000
+
+
+def test_a_large_component_of_unlike_texts(spark):
+    """Candidates chained to one component far above the block size: all links between near copies, none between others."""
+    rng = np.random.default_rng(1)
+    common_part = [f"c{i}" for i in range(40)]
+    rows = []
+    for g in range(30):
+        own = [f"g{g}_{i}" for i in range(45)]
+        for i in range(40):
+            w = common_part + list(own)
+            w[int(rng.integers(len(w)))] = f"x{g}_{i}"
+            rows.append((g * 100 + i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = df.select("doc_id", *near_duplicates.text_key()).join(near_duplicates.class_rows(spark, df), ["t1", "t2"])
+    assert bag(out, "doc_id", "class_id", "text_id", "n_copies", "n_links") == brute_classes(rows)
+
+
 def test_subset_sums():
     rng = np.random.default_rng(0)
     for _ in range(60):
@@ -656,6 +693,28 @@ def test_earlier_counts():
         assert context_mixing.earlier(context_mixing.stable_order(keys), keys).tolist() == want
 
 
+def test_scores_mean_the_same_at_every_sample(spark):
+    """The share of texts called good hardly moves when the labelled rows are cut to equal numbers."""
+    docs = table_of(spark, "documents")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    shares = []
+    for sample in (3000, 60):
+        model = compression_quality.fit(docs, labels, sample=sample)
+        shares.append(docs.select(F.avg((compression_quality.score(spark, model)("text") >= 0.7).cast("int"))).first()[0])
+    assert abs(shares[0] - shares[1]) < 0.06
+
+
+def table_of(spark, name):
+    return spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+
+
+def test_repeated_ids_train_with_their_least_text(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "x" * 100), (2, "c"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (4, 0), (None, 1)], "doc_id long, quality int")
+    rows, counts = compression_quality.training_rows(docs, labels, "quality", 10, 50)
+    assert [tuple(r) for r in rows] == [(1, "a", 0), (2, "c", 1)] and counts == {0: 1, 1: 1}
+
+
 # ---------------------------------------------------------------- empty tables
 
 

@@ -35,6 +35,17 @@ def test_stages(spark, tmp_path, docs):
     assert Counter(tuple(r) for r in again.collect()) == Counter(tuple(r) for r in kept.collect())
 
 
+def test_empty_tables_and_further_columns(spark, tmp_path, docs, no_docs):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    kept = docs  # with columns whose names the operators use inside
+    for name, stage in corpus_pipeline.STAGES:
+        kept = materialize(spark, stage(spark, kept, str(tmp_path)), name)
+        assert name == corpus_pipeline.STAGES[-1][0] or kept.columns == docs.columns
+    assert kept.count() > 0
+
+
 def test_registry():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
