@@ -147,6 +147,11 @@ def is_recall(query: Column) -> Column:
     return flag
 
 
+def recall_category(query: Column, category: Column) -> Column:
+    """The category that the older search looks at first: a question about the past asks for past conversations."""
+    return F.when(is_recall(query), "past_conversation").otherwise(category)
+
+
 def boosted(query: Column, topic: str, boosts: list[str]) -> Column:
     """The query with the boost words after it, if it names the topic and none of them."""
     text = F.lower(query)

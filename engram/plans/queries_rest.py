@@ -81,6 +81,11 @@ def recall_questions(spark, d):
     return rows.select("conv_id", "turn", X.is_recall(F.col("text")).alias("is_recall"), X.boosted(F.col("text"), "the", ["harbour", "tide"]).alias("boosted"))
 
 
+@query("recall_categories", "select conv_id, turn, case when regexp_matches(lower(text), 'remember|recall|memory|past|previous|do you know|do you have|heard of|familiar with|know anything about|tell me about|what about|know of') then 'past_conversation' else role end as category from conversations", longs="conv_id turn")
+def recall_categories(spark, d):
+    return A.table(spark, d, "conversations").select("conv_id", "turn", X.recall_category(F.col("text"), F.col("role")).alias("category"))
+
+
 @query("candidate_texts", "select doc_id, md5(substr(coalesce(case when doc_id % 3 = 0 and trim(text) <> '' then text end, case when doc_id % 3 = 2 then source || ': ' || text end, 'all of ' || doc_id), 1, 1000)) as text_md5 from documents")
 def candidate_texts(spark, d):
     content = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise("  ")
@@ -115,6 +120,20 @@ def supersedes_edges(spark, d):
     return L.supersedes(found, "run", A.now()).select("source_id", "target_id", "edge_type", "weight", "created_by", "metadata")
 
 
+@query("item_entities", "with m as (select distinct l_orderkey as o, l_partkey as p from lineitem), d as (select p, count(*) as degree from m group by 1) select o as memory_id, p as name, degree, row_number() over (partition by o order by degree desc, p) as rank from m join d using (p)")
+def item_entities(spark, d):
+    return L.entities_of(A.mentions(spark, d)).select("memory_id", "name", "degree", "rank")
+
+
+@query("promotion_layers", """select doc_id::VARCHAR as source_id, 'old' || doc_id as target_id, case when doc_id % 4 = 0 then '{"from_layer":"a","to_layer":"b"}' else '{}' end as metadata from documents where doc_id % 4 in (0, 2)""")
+def promotion_layers(spark, d):
+    """Both layers make a promotion, and none; half a pair makes none."""
+    layer = lambda name, *kinds: F.when((F.col("doc_id") % 4).isin(*kinds), name).cast("string").alias(f"{'from' if name == 'a' else 'to'}_layer")
+    old = F.concat(F.lit("old"), "doc_id")
+    rows = _documents(spark, d).select(F.col("doc_id").cast("string").alias("memory_id"), F.when(F.col("doc_id") % 4 != 0, old).alias("promoted_from_id"), F.struct(F.when(F.col("doc_id") % 4 == 0, old).alias("old_id"), layer("a", 0, 1), layer("b", 0, 3)).alias("promoted_from"))
+    return L.promotions(rows, "run", A.now()).select("source_id", "target_id", "metadata")
+
+
 @query("edge_delete_from", f"with {A.EDGES_SQL} select edge_type, count(*) as removed from edges where target_id = 'p11' and edge_type in ('CO_OCCURS', 'SIMILAR_TO') group by 1")
 def edge_delete_from(spark, d):
     rows = A.edges(spark, d)

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import router as R
-from engram.functions import scalars as X
 from engram.operators import graph as G
 from engram.operators import retrieval as Q
 from engram.operators import timeline as T
@@ -108,8 +107,3 @@ def answer(src: Sources, query: str, vector: list[float], now: Column, top: int
 def plain_score(rows: DataFrame) -> Column:
     """The score of the plain interface: rerank, else fused, else 0."""
     return F.coalesce(*(F.col(c) for c in ("rerank_score", "rrf_score") if c in rows.columns), F.lit(0.0))
-
-
-def recall_query(query: str, category: str, spark) -> str:
-    """The category that the older search looks at first."""
-    return "past_conversation" if spark.range(1).select(X.is_recall(F.lit(query)).alias("r")).first().r else category
