@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import HashMemo, Piece, byte_class, kept_by_worker, materialize, pieces, room, span_hashes, table, tidied
+from engram.llm.common import HashMemo, Piece, byte_class, kept_by_worker, materialize, pieces, room, span_hashes, table, tidied, tidy
 
 #: A segment closes once it has so many ids.
 SEGMENT_IDS = 1 << 20
@@ -42,6 +42,8 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Distinct parts of texts whose ids a worker remembers (some 40 bytes each); beyond, it starts anew.
 MEMO_PARTS = 1_500_000
 PIECE_BYTES = 1_000_000
+#: New parts that the tokenizer is given at a time: what it returns takes some 600 bytes a part.
+CALL_PARTS = 1 << 13
 BLOCK = 512
 
 SEGMENT = "part int, seg int, part_offset long, n_docs int, n_ids long, n_null int, width int, base_id long, ids binary, ends_low binary, ends_high binary, ends_ranks binary, ends_l int, docs_low binary, docs_high binary, docs_ranks binary, docs_l int"
@@ -174,10 +176,11 @@ class Encoder:
         number = self.memo.find(distinct)
         new = np.flatnonzero(number < 0)
         raw = data.tobytes()
-        if len(new):
-            at = starts[sample[new]]
-            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), (at + lens[sample[new]]).tolist(), strict=True)]
-            number[new] = self._add(distinct[new], parts)
+        for low in range(0, len(new), CALL_PARTS):
+            some = new[low : low + CALL_PARTS]
+            at = starts[sample[some]]
+            parts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(at.tolist(), (at + lens[sample[some]]).tolist(), strict=True)]
+            number[some] = self._add(distinct[some], parts)
         size, first = self.lens[number][back].astype(np.int64), self.starts[number][back]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)].tobytes()
@@ -233,6 +236,7 @@ def write_segments(docs: DataFrame, tokenizer_path: str, n_parts: int, segment_i
                     if size >= segment_ids:
                         yield close()
                         at, ids, tokens, size, seg = at + size, [], [], 0, seg + 1
+                        tidy()
         if ids:
             yield close()
 
