@@ -15,7 +15,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -304,6 +303,8 @@ def pieces(col: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of keys by distinct value, in the order of their first places, and these places."""
+    import pandas as pd  # some 40 MB of a worker's memory, which few of them need
+
     codes, values = pd.factorize(keys)
     first = np.zeros(len(values), np.int64)
     first[codes[::-1]] = np.arange(len(keys) - 1, -1, -1)

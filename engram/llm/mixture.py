@@ -31,7 +31,6 @@ ignored or kept as they are. A very long text is counted by the JVM's own regula
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -143,7 +142,9 @@ def choose(spark: SparkSession, sized: DataFrame, weights: tuple = WEIGHTS, shar
     aimed = aimed.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("src"), "source_size", "target")
     aimed = materialize(spark, aimed, "targets")
 
-    def plan(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def plan(key, rows):
+        import pandas as pd
+
         whole, target = int(rows.source_size.iloc[0]), float(rows.target.iloc[0])
         passes = min(int(target // whole), int(cap)) if whole else 0
         rest = int(round(target - passes * whole)) if passes < int(cap) else 0
