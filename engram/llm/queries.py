@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import compression_quality, context_mixing, decontamination, license_scan, mixture, near_duplicates, quality_rules, substring_dedup, token_output, toxicity
+from engram.llm import collocations, compression_quality, context_mixing, decontamination, license_scan, mixture, near_duplicates, packing, quality_rules, substring_dedup, token_output, toxicity, whitening
 
 QUERIES = {
     "op1_compression_quality": compression_quality.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_toxicity": toxicity.query,
     "op10_token_output": token_output.query,
+    "op11_whitening": whitening.query,
+    "op12_collocations": collocations.query,
+    "op13_packing": packing.query,
 }
 
 ORACLES: dict[str, str] = {
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_near_duplicates": near_duplicates.ORACLE,
     "op8_decontamination": decontamination.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }

@@ -47,5 +47,5 @@ def test_empty_tables_and_further_columns(spark, tmp_path, docs, no_docs):
 
 
 def test_registry():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
