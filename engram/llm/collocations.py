@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import LOWER, U64, Piece, Words, byte_class, materialize, mix, pieces, prefix_hashes, table, tidied
+from engram.llm.common import LOWER, U64, Piece, Words, byte_class, materialize, mix, pieces, prefix_hashes, table, tidied, tidy
 
 #: A shard ends at the first text that brings it to so many places.
 SHARD_WORDS = 1 << 20
@@ -49,6 +49,8 @@ RUN_ENTRIES = 1 << 16
 LEAST = 10
 MOST_WORDS = 3
 TOP = 2000
+#: Parts of a language that are ranked apart before they are ranked together.
+RANK_PARTS = 16
 NO_LANG = "und"
 #: A word is made of bytes that neither end a piece (.,;:!? and 0A to 0D) nor separate words (20, 09).
 _ENDS = byte_class("2E-2E 2C-2C 3B-3B 3A-3A 21-21 3F-3F 0A-0D")
@@ -180,7 +182,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def count_words(docs: DataFrame, shard_words: int = SHARD_WORDS, weak_bits: int = 64) -> DataFrame:
+def count_words(docs: DataFrame, weak_bits: int = 64) -> DataFrame:
     """(lang, word, id, id2, n) of all words, n over all shards."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +288,7 @@ def count_phrases(docs: DataFrame, size: int, tables: list[np.ndarray], clash: n
                 shard.add(ids, gap)
                 if shard.next >= shard_words:
                     yield from count(shard, tables)
+                    tidy()
         if shard.next:
             yield from count(shard, tables)
 
@@ -298,8 +301,7 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, most_
 
     options: shard_words, run_entries and weak_bits of the scans, which change no result.
     """
-    counting = {k: v for k, v in options.items() if k != "run_entries"}
-    words = materialize(spark, count_words(docs, **counting), "words")
+    words = materialize(spark, count_words(docs, options.get("weak_bits", 64)), "words")
     words, clash = renumbered(words)
     totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
     vocabulary = materialize(spark, words.where(F.col("n") >= least).select(F.col("id").alias("w0"), "lang", "word", "n"), "frequent-words")
@@ -314,8 +316,11 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = LEAST, most_
         part = _scored(levels, size, inside_percent)
         part = _spelled(part, vocabulary, size)
         out = part if out is None else out.unionByName(part)
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    order = F.desc("score"), F.desc("a"), "phrase"
+    # the first of each lang are among the first of its parts, so at most RANK_PARTS * top rows of a lang meet
+    out = out.withColumn("part", F.pmod(F.hash("phrase"), F.lit(RANK_PARTS)))
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
 
 
