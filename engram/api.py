@@ -1,6 +1,7 @@
-"""The store as a whole: a folder of versioned tables, and the calls that users make.
+"""The store as a whole: a folder of snapshots of all tables, and the calls that users make.
 
-Reads return DataFrames. A write makes new versions of the tables that it changes.
+Reads return DataFrames. A write commits what it changes, all tables in one snapshot; it is refused (Conflict)
+if another was committed since it read the store.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from engram.operators import linkers as L
 from engram.operators import ops as O
 from engram.operators import retrieval as Q
 from engram.operators import timeline as T
-from engram.operators.store import Versioned, partial_update
+from engram.operators.snapshots import Change, SnapshotStore
+from engram.operators.store import partial_update
 from engram.plans import retrieve, writepath
 from engram.settings import DEFAULTS, Settings
 from engram.sources.readers import Embedder, HashEmbedder, embed
@@ -34,27 +36,22 @@ def clamp(n: int, low: int, high: int) -> int:
 class MemoryStore:
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS):
         self.spark, self.path, self.embedder, self.settings = spark, path.rstrip("/"), embedder or HashEmbedder(), settings
-        self._tables = {name: Versioned(spark, f"{self.path}/{name}") for name in TABLES}
+        self._store = SnapshotStore(spark, self.path, {n: (s, writepath.KEYS[n]) for n, s in TABLES.items()})
 
     # ------------------------------------------------------------ tables
 
     def table(self, name: str) -> DataFrame:
-        found = self._tables[name].read()
-        return self.spark.createDataFrame([], TABLES[name]) if found is None else found
+        return self._store.snapshot().table(name)
 
     def tables(self) -> writepath.Tables:
-        return writepath.Tables(**{n: self.table(n) for n in TABLES})
-
-    def _commit(self, t: writepath.Tables, names: list[str]) -> None:
-        """Write the named tables, all or none: all are drafted before the first is published, and what was published is taken back if a later one fails."""
-        drafts, done = {n: self._tables[n].draft(getattr(t, n)) for n in names}, []
-        try:
-            for n, draft in drafts.items():
-                done.append((n, self._tables[n].publish(draft)))
-        except Exception:
-            for n, version in reversed(done):
-                self._tables[n].drop(version)
-            raise
+        """All tables of one snapshot."""
+        snapshot = self._store.snapshot()
+        return writepath.Tables(**{n: snapshot.table(n) for n in TABLES}, snapshot=snapshot)
+
+    def _commit(self, changes: dict[str, Change], t: writepath.Tables) -> None:
+        """Commit changes that were computed from t."""
+        self._store.commit(changes, t.snapshot)
+        self._store.compact()
 
     def _rows(self, items: list[dict]) -> DataFrame:
         """Item dicts as rows of the memories schema with vectors; unknown keys go to extra, keys with _ are dropped."""
@@ -79,8 +76,8 @@ class MemoryStore:
 
         if not content or not content.strip():
             raise ValueError("content is empty")
-        t = writepath.write(self._rows([{"content": content, "id": id, "metadata": metadata}]), self.tables(), F.current_timestamp() if now is None else now, run_id, self.settings)
-        self._commit(t, list(TABLES))
+        t = self.tables()
+        self._commit(writepath.write(self._rows([{"content": content, "id": id, "metadata": metadata}]), t, F.current_timestamp() if now is None else now, run_id, self.settings), t)
         return id or md5(content.encode()).hexdigest()
 
     def bulk_upsert(self, items: list[dict], now: Column | None = None) -> dict:
@@ -91,28 +88,30 @@ class MemoryStore:
         errors = {r.item_index: r.error for r in checked.where("error is not null").collect()}
         good = [x for i, x in enumerate(items) if i not in errors]
         if good:
-            self._commit(writepath.write_many(self._rows(good), self.tables(), F.current_timestamp() if now is None else now), ["memories", "sessions", "includes", "timeline"])
+            t = self.tables()
+            self._commit(writepath.write_many(self._rows(good), t, F.current_timestamp() if now is None else now), t)
         return O.bulk_summary(checked).first().asDict() | {"errors": errors}
 
     def delete(self, id: str) -> bool:  # noqa: A002
         """Whether the item was there; it and all that touches it go."""
-        gone = self.spark.createDataFrame([(id,)], "memory_id string")
-        if self.table("memories").join(gone, "memory_id", "left_semi").isEmpty():
+        gone, t = self.spark.createDataFrame([(id,)], "memory_id string"), self.tables()
+        if t.memories.join(gone, "memory_id", "left_semi").isEmpty():
             return False
-        self._commit(writepath.delete(self.tables(), gone), ["memories", "edges", "mentions", "includes", "timeline"])
+        self._commit(writepath.delete(t, gone, F.current_timestamp(), settings=self.settings), t)
         return True
 
     def create_checkpoint(self, session_id: str, summary: str, project: str | None = None, thread_id: str | None = None) -> str:
         t = self.tables()
         made = T.make_checkpoint(t.memories, t.sessions, session_id, summary, project, thread_id)
         row = made["memory"].drop("last_event_seq").withColumn("embedding", embed(F.col("text"), self.embedder)).withColumn("event_time", F.current_timestamp())
-        t.memories = t.memories.unionByName(row, allowMissingColumns=True).select(*t.memories.columns)
+        row = t.memories.limit(0).unionByName(row, allowMissingColumns=True).select(*t.memories.columns)
         session = made["session"].withColumn("last_event_seq", F.col("last_event_seq") + 1)
-        t.sessions = partial_update(t.sessions, session, ["session_id"])
-        t.timeline = t.timeline.unionByName(made["timeline"].select(*t.timeline.columns))
-        t.includes = t.includes.unionByName(row.select("session_id", "memory_id")).distinct()
-        t.follows = t.follows.unionByName(made["follows"]).distinct()
-        self._commit(t, ["memories", "sessions", "timeline", "includes", "follows"])
+        known = t.sessions.join(session.select("session_id"), "session_id", "left_semi").select(*t.sessions.columns)
+        changes = {
+            "memories": row, "sessions": partial_update(known, session, ["session_id"]), "timeline": made["timeline"].select(*t.timeline.columns),
+            "includes": row.select("session_id", "memory_id"), "follows": made["follows"].distinct(),
+        }
+        self._commit({n: Change(df) for n, df in changes.items()}, t)
         return made["memory"].first().memory_id
 
     # ------------------------------------------------------------ reads
@@ -163,7 +162,8 @@ class MemoryStore:
 
     def health(self) -> dict[str, int]:
         """Rows of each table."""
-        return {n: self.table(n).count() for n in TABLES}
+        t = self.tables()
+        return {n: getattr(t, n).count() for n in TABLES}
 
     # ------------------------------------------------------------ batch jobs
 
@@ -183,31 +183,26 @@ class MemoryStore:
             "cooccurrence": lambda: L.edge_rows(L.cooccurrence_edges(t.mentions), "CO_OCCURS", "backfill", tag, when, weight=F.col("weight")),
             "causal": lambda: L.edge_rows(L.causal_edges(t.memories.where("memory_type = 'bug_fix'"), t.memories.where("memory_type = 'task_failed'")), "CAUSED_BY", "backfill", tag, when),
         }
-        marks = lambda: t.memories.select(
-            "memory_id", F.col("extra.promoted_from_id").alias("promoted_from_id"), F.lit(None).cast("struct<old_id:string,from_layer:string,to_layer:string>").alias("promoted_from"),
-            F.from_json("extra.compacted_from", "array<string>").alias("compacted_from"),
-        )
-        makers |= {"promotion": lambda: L.promotions(marks(), tag, when), "compaction": lambda: L.compactions(marks(), tag, when)}
+        makers |= {"promotion": lambda: L.promotions(writepath.marks(t.memories), tag, when), "compaction": lambda: L.compactions(writepath.marks(t.memories), tag, when)}
         if kind == "entities":
             new = writepath.mention_rows(t.memories, when, tag, "backfill").join(t.mentions, ["memory_id", "project", "name"], "left_anti")
-            merged, table = E.merge_mentions(t.mentions, new), "mentions"
+            merged, table = writepath.merged_mentions(t.mentions, new), "mentions"
         else:
             new = E.with_endpoints(makers[kind](), t.memories)
-            merged, table = E.merge(t.edges, new), "edges"
+            merged, table = writepath.merged_edges(t.edges, new), "edges"
         by = new.join(t.memories.select(F.col("memory_id").alias("__id"), F.col("project").alias("__project")), F.col("memory_id" if kind == "entities" else "source_id") == F.col("__id"))
         counts = {r[0]: r[1] for r in by.groupBy(F.coalesce("__project", F.lit(""))).count().collect()}
         if not dry_run:
-            setattr(t, table, merged)
-            self._commit(t, [table])
+            self._commit({table: Change(merged)}, t)
         return {"kind": kind, "run_id": tag, "found": sum(counts.values()), "by_project": counts, "dry_run": dry_run}
 
     def rollback(self, run_id: str, dry_run: bool = False) -> dict[str, int]:
         """Edges of a run by type, mentions as MENTIONS; removed unless dry_run."""
         t = self.tables()
-        kept, removed = E.rollback(t.edges, run_id)
-        unmentioned, mentioned = E.rollback(t.mentions.withColumn("edge_type", F.lit("MENTIONS")), run_id)
+        _, removed = E.rollback(t.edges, run_id)
+        _, mentioned = E.rollback(t.mentions.withColumn("edge_type", F.lit("MENTIONS")), run_id)
         counts = {r.edge_type: r.removed for r in removed.unionByName(mentioned).groupBy("edge_type").agg(F.sum("removed").alias("removed")).collect()}
         if not dry_run and counts:
-            t.edges, t.mentions = kept, unmentioned.drop("edge_type")
-            self._commit(t, ["edges", "mentions"])
+            own = lambda name: Change(deletes=getattr(t, name).where(E.matching(run_id=run_id.strip())).select(*writepath.KEYS[name]))
+            self._commit({"edges": own("edges"), "mentions": own("mentions")}, t)
         return counts

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engram.operators.lineage import settle
 from engram.settings import DEFAULTS
 
 
@@ -72,6 +73,30 @@ def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap:
     return one.select("source_id", "target_id", "shared", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.01), F.col("w"))), 4).alias("weight"))
 
 
+def touched_pairs(before: DataFrame, after: DataFrame, touched: DataFrame, hub: int = DEFAULTS.hub_degree, **how) -> tuple[DataFrame, DataFrame]:
+    """(items, edges): the items whose pairs may differ between the mentions before and after, and all of their pairs after, as cooccurrence_edges gives them.
+
+    touched: (project, name) of the entities whose mentions changed. What a pair weighs depends on the entities
+    of its ends alone, so the items are the members of touched entities (not of those that were hubs and still are);
+    pairs are made from the entities of these items and of their partners, each with all its
+    mentions, so degrees and hub crossings are exact. Rows grow with the change, the hub bound and the cap.
+    """
+    key, ids = ["project", "name"], ["project", "memory_id"]
+    touched = touched.select(*key).distinct()
+    old, new = (m.select(*key, "memory_id").distinct().join(touched, key, "left_semi") for m in (before, after))
+    small = lambda m: m.join(degrees(m).where(F.col("degree") <= hub), key, "left_semi").select(*ids)
+    items = settle(small(old).unionByName(small(new)).distinct())
+    own = after.select(*key, "memory_id").distinct()
+    first = own.join(items, ids, "left_semi").select(*key).distinct()
+    light = degrees(own.join(first, key, "left_semi")).where(F.col("degree") <= hub).select(*key)
+    partners = own.join(light, key, "left_semi").select(*ids).distinct()
+    second = own.join(partners.unionByName(items).distinct(), ids, "left_semi").select(*key).distinct()
+    pairs = cooccurrence_edges(after.join(second, key, "left_semi"), hub, **how)
+    ends = items.select(F.col("memory_id").alias("__item")).distinct()
+    near = pairs.join(ends, pairs.source_id == ends.__item, "left_semi").unionByName(pairs.join(ends, pairs.target_id == ends.__item, "left_semi")).distinct()
+    return items.select("memory_id").distinct(), near
+
+
 def causal_edges(fixes: DataFrame, failures: DataFrame, days: int = DEFAULTS.causal_days) -> DataFrame:
     """(source_id, target_id): a fix and the failure it names, in one project, 0 < time between < days."""
     f = failures.select(F.col("memory_id").alias("target_id"), F.col("project").alias("p"), F.col("event_time").alias("failed_at"))

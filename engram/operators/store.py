@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ def upsert(stored: DataFrame, new: DataFrame, key: list[str], order: str | None
     return both.withColumn("__n", F.row_number().over(W.partitionBy(*key).orderBy(*rank))).where("__n = 1").drop("__n", "__batch")
 
 
+def overlay(stored: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """stored with rows, one a key, in place of those of the same keys: the small side of the join is rows, stored is not shuffled for it."""
+    return stored.join(rows.select(*key), key, "left_anti").select(*stored.columns).unionByName(rows.select(*stored.columns))
+
+
 def partial_update(stored: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """stored with the columns that new gives; nulls and absent columns keep the old value."""
     given = [c for c in new.columns if c not in key]
@@ -43,9 +49,10 @@ class Versioned:
     """A table as a folder of versions v=1, v=2, ...: readers see the greatest one whole, writers never touch it.
 
     Files are written by Spark, and all else goes through its own file system layer, so the folder
-    may lie in any store that Spark writes to. A version is written under a draft name; its number
-    is claimed by a file that only one writer can create, and the draft is renamed. A writer whose
-    table was changed since it read it is refused.
+    may lie in any store that Spark writes to. A version is written under a draft name; its number,
+    the one after that which the writer has read, is claimed by a file that only one writer can create, and the
+    draft is renamed. A writer whose table was changed since it read it, or is being changed, is
+    refused. A claim of a writer that was lost stays until release() takes it, by its age.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -77,29 +84,31 @@ class Versioned:
 
     def publish(self, draft: str) -> int:
         """Make a draft the next version; its number."""
-        jvm, fs, p = self._fs()
+        jvm, fs, _ = self._fs()
         path = jvm.org.apache.hadoop.fs.Path
         last = (self.versions() or [0])[-1]
-        if self.seen is not None and last != self.seen:
-            raise OSError(f"{self.path} was written by another since version {self.seen} was read")
-        claims = [s.getPath().getName() for s in fs.listStatus(p)]
-        # a claim without a version is one of a writer that was lost
-        version = max([last, *(int(n[7:]) for n in claims if n.startswith(".claim-"))]) + 1
-        if not fs.createNewFile(path(f"{self.path}/.claim-{version}")) or not fs.rename(path(draft), path(f"{self.path}/v={version}")):
-            raise OSError(f"version {version} of {self.path} was written by another")
+        version = (last if self.seen is None else self.seen) + 1
+        if last >= version or not fs.createNewFile(path(f"{self.path}/.claim-{version}")):
+            raise OSError(f"version {version} of {self.path} is written by another")
+        if not fs.rename(path(draft), path(f"{self.path}/v={version}")):
+            raise OSError(f"version {version} of {self.path} could not be published")
         self.seen = version
         return version
 
+    def release(self, older_than: float = 3600.0) -> list[int]:
+        """Take away claims without a version that are older (seconds): their writers were lost. The numbers."""
+        jvm, fs, p = self._fs()
+        done, limit, out = set(self.versions()), (time.time() - older_than) * 1000, []
+        for s in fs.listStatus(p) if fs.exists(p) else []:
+            name = s.getPath().getName()
+            if name.startswith(".claim-") and int(name[7:]) not in done and s.getModificationTime() <= limit and fs.delete(s.getPath(), False):
+                out.append(int(name[7:]))
+        return sorted(out)
+
     def write(self, df: DataFrame) -> int:
         """Write df as the next version: under a name of its own, then by one rename."""
         return self.publish(self.draft(df))
 
-    def drop(self, version: int) -> None:
-        """Take a version back."""
-        jvm, fs, _ = self._fs()
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}"), True)
-        self.seen = None
-
 
 def latest_days(snapshots: DataFrame, keep: int = 7) -> DataFrame:
     """The last row of each date, of the last `keep` dates."""

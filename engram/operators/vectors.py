@@ -58,6 +58,8 @@ def neighbors(vectors: DataFrame, threshold: float = DEFAULTS.similar_threshold,
     spread over blocks. Exact, and so quadratic in a project's rows where all are asked;
     signature_neighbors is for projects too large for that.
     """
+    if asked is not None:  # other projects have no part in it
+        vectors = vectors.join(vectors.join(asked.select("memory_id"), "memory_id", "left_semi").select("project").distinct(), "project", "left_semi")
     sizes = vectors.groupBy("project").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
     rows = unit(vectors, ["memory_id", "project"]).join(sizes, "project").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")))
     left = rows if asked is None else rows.join(asked.select("memory_id"), "memory_id", "left_semi")

@@ -363,7 +363,8 @@ def bulk_write(spark, d):
     )
     empty = {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
     batch = empty["memories"].unionByName(rows, allowMissingColumns=True).select(*(c.split()[0] for c in schema.MEMORIES.split(", ")))
-    t = writepath.write_many(batch, writepath.Tables(**empty), A.now())
+    t = writepath.Tables(**empty)
+    t = writepath.applied(t, writepath.write_many(batch, t, A.now()))
     one = t.memories.agg(F.count("*").alias("memories"), F.max("event_seq").alias("last_seq"))
     # single-row totals
     return one.join(t.sessions.agg(F.count("*").alias("sessions"))).join(t.timeline.agg(F.count("*").alias("timeline_rows")))

@@ -85,11 +85,10 @@ def test_decisions(store):
 
 def test_a_failed_commit_changes_nothing(store, monkeypatch):
     before = store.health()
-    real = store._tables["edges"].publish
-    monkeypatch.setattr(store._tables["edges"], "publish", lambda draft: (_ for _ in ()).throw(OSError("lost")))
+    monkeypatch.setattr(store._store, "_rename_new", lambda old, new: (_ for _ in ()).throw(OSError("lost")))
     with pytest.raises(OSError):
         store.upsert("a text that never arrives", "lost", {"project": "p", "entities": ["x"]}, NOW())
-    monkeypatch.setattr(store._tables["edges"], "publish", real)
+    monkeypatch.undo()
     assert store.health() == before and store.table("memories").where("memory_id = 'lost'").isEmpty()
     store.upsert("a text that arrives", "found", {"project": "p"}, NOW())
     assert store.health()["memories"] == before["memories"] + 1

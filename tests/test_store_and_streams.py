@@ -26,7 +26,21 @@ def test_a_table_changed_by_another_is_refused(spark, tmp_path):
         one.write(spark.range(3))
     assert one.read().count() == 2 and one.write(spark.range(3)) == 3
     (tmp_path / "t" / ".claim-4").write_text("")  # of a writer that was lost
-    assert one.write(spark.range(4)) == 5 and one.read().count() == 4
+    with pytest.raises(OSError):
+        one.write(spark.range(4))
+    assert one.release(3600) == [] and one.release(-5) == [4] and one.write(spark.range(4)) == 4 and one.read().count() == 4
+
+
+def test_a_writer_stopped_between_claim_and_rename_loses_nothing(spark, tmp_path):
+    one, two = (S.Versioned(spark, f"{tmp_path}/t") for _ in range(2))
+    one.write(spark.range(1))
+    one.read(), two.read()
+    draft = one.draft(spark.range(2))
+    (tmp_path / "t" / ".claim-2").write_text("")  # one has claimed version 2 and not yet renamed its draft
+    with pytest.raises(OSError):
+        two.write(spark.range(3))
+    (tmp_path / "t" / ".claim-2").unlink()
+    assert one.publish(draft) == 2 and two.read().count() == 2
 
 
 def test_provenance_of_diamonds_and_cycles(spark):
