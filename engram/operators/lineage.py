@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to the session's checkpoint folder: later plans start from its files, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's checkpoint folder.
 
-    Only where a local session names no folder one of this machine is set.
+    Only where a local session names none one of this machine is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         if not (sc.getConf().get("spark.checkpoint.dir") or sc.master.startswith("local[") or sc.master == "local"):
             raise ValueError("a cluster's session needs spark.checkpoint.dir, a folder that all executors share")
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="engram-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder: later plans start from its files, which all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -82,19 +82,21 @@ def touched_pairs(before: DataFrame, after: DataFrame, touched: DataFrame, hub:
     mentions, so degrees and hub crossings are exact. Rows grow with the change, the hub bound and the cap.
     """
     key, ids = ["project", "name"], ["project", "memory_id"]
-    touched = touched.select(*key).distinct()
-    old, new = (m.select(*key, "memory_id").distinct().join(touched, key, "left_semi") for m in (before, after))
-    small = lambda m: m.join(degrees(m).where(F.col("degree") <= hub), key, "left_semi").select(*ids)
-    items = settle(small(old).unionByName(small(new)).distinct())
+    touched, empty = touched.select(*key).distinct(), before.select("memory_id").limit(0)
+    sides = [m.select(*key, "memory_id").distinct().join(touched, key, "left_semi").withColumn("side", F.lit(i)) for i, m in enumerate((before, after))]
+    members = settle(sides[0].unionByName(sides[1]))
+    small = members.groupBy(*key, "side").agg(F.count("*").alias("degree")).where(F.col("degree") <= hub)
+    items = settle(members.join(small, [*key, "side"], "left_semi").select(*ids).distinct())
+    if items.isEmpty():
+        return empty, cooccurrence_edges(before.limit(0), hub, **how)
     own = after.select(*key, "memory_id").distinct()
-    first = own.join(items, ids, "left_semi").select(*key).distinct()
-    light = degrees(own.join(first, key, "left_semi")).where(F.col("degree") <= hub).select(*key)
-    partners = own.join(light, key, "left_semi").select(*ids).distinct()
-    second = own.join(partners.unionByName(items).distinct(), ids, "left_semi").select(*key).distinct()
-    pairs = cooccurrence_edges(after.join(second, key, "left_semi"), hub, **how)
+    first = settle(own.join(own.join(items, ids, "left_semi").select(*key).distinct(), key, "left_semi"))
+    partners = first.join(degrees(first).where(F.col("degree") <= hub), key, "left_semi").select(*ids).unionByName(items).distinct()
+    second = own.join(partners, ids, "left_semi").select(*key).distinct()
+    pairs = cooccurrence_edges(settle(after.join(second, key, "left_semi")), hub, **how)
     ends = items.select(F.col("memory_id").alias("__item")).distinct()
-    near = pairs.join(ends, pairs.source_id == ends.__item, "left_semi").unionByName(pairs.join(ends, pairs.target_id == ends.__item, "left_semi")).distinct()
-    return items.select("memory_id").distinct(), near
+    either = pairs.select("*", F.explode(F.array("source_id", "target_id")).alias("__item")).join(ends, "__item", "left_semi")
+    return items.select("memory_id").distinct(), either.drop("__item").distinct()
 
 
 def causal_edges(fixes: DataFrame, failures: DataFrame, days: int = DEFAULTS.causal_days) -> DataFrame:

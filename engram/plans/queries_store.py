@@ -368,3 +368,37 @@ def bulk_write(spark, d):
     one = t.memories.agg(F.count("*").alias("memories"), F.max("event_seq").alias("last_seq"))
     # single-row totals
     return one.join(t.sessions.agg(F.count("*").alias("sessions"))).join(t.timeline.agg(F.count("*").alias("timeline_rows")))
+
+
+# ---------------------------------------------------------------- snapshots
+
+
+def _customers_store(spark, d):
+    """customer as a base, then an upsert and a deletion as deltas, each of all tables in one commit."""
+    import uuid
+
+    from engram.operators.lineage import shared_folder
+    from engram.operators.snapshots import Change, SnapshotStore
+
+    tables = {"customers": ("c_custkey long, c_nationkey long, total double", ["c_custkey"]), "nations": ("n_nationkey long, customers long", ["n_nationkey"])}
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/customers-{uuid.uuid4().hex}", tables, large=1)
+    customers, orders, nations = A.table(spark, d, "customer"), A.table(spark, d, "orders"), A.table(spark, d, "nation")
+    count = lambda rows: rows.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("customers"))
+    base = customers.select("c_custkey", "c_nationkey", F.lit(0.0).alias("total"))
+    first = store.commit({"customers": Change(base), "nations": Change(count(base))}, store.snapshot())
+    first = store.compact()
+    spent = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    second = store.commit({"customers": Change(base.drop("total").join(spent, "c_custkey"))}, first)
+    gone = second.table("customers").join(nations.where("n_regionkey = 2").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi")
+    return store.commit({"customers": Change(deletes=gone.select("c_custkey")), "nations": Change(deletes=gone.select(F.col("c_nationkey").alias("n_nationkey")))}, second)
+
+
+@query(
+    "snapshot_merge",
+    """select c_custkey, c_nationkey, coalesce(t, 0) as total, n as customers from customer left join (select o_custkey, round(sum(o_totalprice), 2) as t from orders group by 1) on o_custkey = c_custkey
+    join (select c_nationkey as k, count(*) as n from customer group by 1) on k = c_nationkey where c_nationkey not in (select n_nationkey from nation where n_regionkey = 2)""",
+)
+def snapshot_merge(spark, d):
+    """Rows of a base, of deltas over it and without deleted ones, of two tables of one snapshot."""
+    last = _customers_store(spark, d)
+    return last.table("customers").join(last.table("nations").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "c_nationkey", "total", "customers")

@@ -100,7 +100,7 @@ def marks(rows: DataFrame) -> DataFrame:
 
 def merged_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     """The rows of new edges after their merge with stored ones of the same keys."""
-    new = E.canonical(new)
+    new = settle(E.canonical(new))
     return E.merge(stored.join(new.select(*EDGE_KEY).distinct(), EDGE_KEY, "left_semi").select(*stored.columns), new)
 
 
@@ -114,6 +114,8 @@ def pair_changes(stored: DataFrame, before: DataFrame, after: DataFrame, touched
 
     A pair that is there keeps who made it and when; its weight is the new one.
     """
+    if touched.isEmpty():
+        return Change(stored.limit(0), stored.limit(0).select(*EDGE_KEY))
     items, pairs = L.touched_pairs(before, after, touched, settings.hub_degree, cap=settings.per_entity_cap, least=settings.min_shared)
     new = E.with_endpoints(E.canonical(L.edge_rows(pairs, "CO_OCCURS", "cooccurrence_linker", run_id, now, weight=F.col("weight"))), memories)
     new = settle(new.select(*stored.columns))
