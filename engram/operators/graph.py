@@ -153,33 +153,97 @@ def shortest_path(edges: DataFrame, start, goal, max_depth: int = 4) -> DataFram
     return seen.where(F.col("node") == F.lit(goal).cast(kind)).select("path", (F.size("path") - 1).alias("length"))
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of each node of edges(node, next) that lies on a cycle; component is the greatest node of its strongly connected component.
+
+    Nodes without an edge in or out are trimmed until none is left. Then each node takes the greatest node that
+    reaches it as its color; the nodes of a color that reach that node are its component. They are taken out,
+    and what is left is begun anew. Each round is one join and one sum by node, settled.
+    """
+    kind = dict(edges.dtypes)["node"]
+    done = None
+    left = settle(edges.select("node", "next").where("node != next").distinct())
+    while True:
+        n = left.count()
+        while n:  # trim
+            kept = left.join(left.select(F.col("next").alias("node")).distinct(), "node", "left_semi").join(left.select(F.col("node").alias("next")).distinct(), "next", "left_semi").select("node", "next")
+            left, before = settle(kept), n
+            n = left.count()
+            if n == before:
+                break
+        if not n:
+            break
+        color = settle(left.select("node").distinct().withColumn("color", F.col("node")))
+        moved = True
+        while moved:
+            sent = left.join(color, "node").select(F.col("next").alias("node"), F.col("color").alias("got")).groupBy("node").agg(F.max("got").alias("got"))
+            color = settle(color.join(sent, "node", "left").select("node", F.greatest("color", "got").alias("color"), F.coalesce(F.col("got") > F.col("color"), F.lit(False)).alias("moved")))
+            moved = not color.where("moved").isEmpty()
+            color = color.drop("moved")
+        # backwards from each color's own node, inside the color
+        same = left.join(color, "node").join(color.select(F.col("node").alias("next"), F.col("color").alias("other")), "next").where("color = other").select("node", "next")
+        same = settle(same)
+        found = frontier = color.where("node = color").select("node", F.col("color").alias("component"))
+        while not frontier.isEmpty():
+            step = frontier.withColumnRenamed("node", "next").join(same, "next").select("node", "component").distinct()
+            frontier = settle(step.join(found.select("node"), "node", "left_anti").select("node", "component"))
+            found = found.unionByName(frontier)
+        found = settle(found)
+        done = found if done is None else done.unionByName(found)
+        for end in ("node", "next"):
+            left = left.join(found.select(F.col("node").alias(end)), end, "left_anti")
+        left = settle(left.select("node", "next"))
+    if done is None:
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    # a color's node that no one else reaches again is no cycle
+    return done.join(done.groupBy("component").agg(F.count("*").alias("size")).where("size > 1").select("component"), "component", "left_semi").select("node", "component")
+
+
 def provenance(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:
     """(chain, summary) of starts(start).
 
     chain: (start, node, edge_type, depth), each ancestor at its least depth. summary: (start,
-    original_sources, depth, depth_limited); sources are ancestors that go no further inside the
-    traversal, depth is the longest walk. A walk that comes back to one of its own nodes ends.
+    original_sources, depth, depth_limited); sources are ancestors that no walk leaves inside the
+    traversal, depth is the longest walk; no walk comes to one of its own nodes again.
 
-    Of the walks of one length to a node only the least one goes on, so rows grow with nodes times
-    depth, never with paths. Without cycles that loses nothing; on a cycle the least walk decides.
+    A walk that leaves a strongly connected component never returns to it, so a walk has to remember the nodes of
+    its present component only, and outside of cycles nothing: rows are (start, node, nodes
+    seen of the component) by depth. They grow with nodes times depth, and within a component with the sets of
+    its nodes that walks of one length can see, never with the number of walks.
     """
     depth = max(1, min(max_depth, 10))
-    rows = edges.where(F.col("edge_type").isin(*PROVENANCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "edge_type")
-    walk = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type"))
-    every, left = walk, None
+    rows = edges.where(F.col("edge_type").isin(*PROVENANCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "edge_type").where("node != next").distinct()
+    near = frontier = settle(starts.select(F.col("start").alias("node")).distinct())
+    for _ in range(depth):  # the part of the graph that the starts reach
+        step = frontier.join(rows, "node").select(F.col("next").alias("node")).distinct()
+        frontier = settle(step.join(near, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        near = near.unionByName(frontier)
+    rows = settle(rows.join(near, "node", "left_semi").select("node", "next", "edge_type"))
+    comps = settle(strong_components(rows))
+    ways = rows.join(comps.withColumnRenamed("component", "here"), "node", "left").join(comps.select(F.col("node").alias("next"), F.col("component").alias("there")), "next", "left")
+    ways = settle(ways.select("node", "next", F.col("edge_type").alias("t"), F.col("here").eqNullSafe(F.col("there")).alias("inside"), F.col("there").isNotNull().alias("cyclic")))
+    none = F.array().cast(f"array<{dict(rows.dtypes)['node']}>")
+    own = starts.select("start").distinct().join(comps.select(F.col("node").alias("start"), F.lit(True).alias("cyclic")), "start", "left")
+    walk = settle(own.select("start", F.col("start").alias("node"), F.when(F.col("cyclic"), F.array("start")).otherwise(none).alias("seen"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("edge_type")))
+    every, left = None, None
     for d in range(1, depth + 1):
-        step = walk.join(rows.withColumnRenamed("edge_type", "t"), "node").where(~F.array_contains("path", F.col("next")))
+        step = walk.select("start", "node", "seen").join(ways, "node").where(~F.array_contains("seen", F.col("next")))
+        seen = F.when(~F.col("cyclic"), none).when(F.col("inside"), F.array_sort(F.concat("seen", F.array("next")))).otherwise(F.array("next"))
+        step = settle(step.select("start", "node", "next", "t", seen.alias("seen")).groupBy("start", "node", "next", "seen").agg(F.min("t").alias("t")))
+        if step.isEmpty():
+            break
         gone = step.select("start", "node").distinct()
         left = gone if left is None else left.unionByName(gone)
-        to = step.select("start", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"), F.col("t").alias("edge_type"))
-        walk = settle(to.groupBy("start", "node").agg(F.min("path").alias("path"), F.lit(d).alias("depth"), F.min("edge_type").alias("edge_type")))
-        if walk.isEmpty():
-            break
-        every = every.unionByName(walk)
-    reached = every.where("depth > 0")
-    chain = reached.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min_by("edge_type", F.struct("depth", "edge_type")).alias("edge_type"))
+        walk = step.groupBy("start", F.col("next").alias("node"), "seen").agg(F.lit(d).alias("depth"), F.min("t").alias("edge_type"))
+        reached = walk.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min("edge_type").alias("edge_type"))
+        every = reached if every is None else every.unionByName(reached)
+    if every is None:
+        every, left = walk.select("start", "node", "depth", "edge_type").limit(0), walk.select("start", "node").limit(0)
+    chain = every.groupBy("start", "node").agg(F.min("depth").alias("depth"), F.min_by("edge_type", F.struct("depth", "edge_type")).alias("edge_type"))
     sources = chain.join(left.distinct(), ["start", "node"], "left_anti").groupBy("start").agg(F.array_sort(F.collect_set("node")).alias("original_sources"))
-    tops = reached.groupBy("start").agg(F.max("depth").alias("depth"))
+    tops = every.groupBy("start").agg(F.max("depth").alias("depth"))
     summary = starts.select("start").join(tops, "start", "left").join(sources, "start", "left")
     summary = summary.withColumn("depth", F.coalesce("depth", F.lit(0))).withColumn("depth_limited", F.col("depth") >= depth)
     return chain, summary

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from engram.operators import edges as E
@@ -79,23 +80,35 @@ def shortest_path_len(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-PROV = [("A", "B", "SUPERSEDES"), ("A", "C", "PROMOTED_FROM"), ("C", "D", "COMPACTED_FROM"), ("X", "Y", "SUPERSEDES"), ("Y", "X", "SUPERSEDES"), ("A", "Z", "SIMILAR_TO")]
-PROV_SQL = "p(s, t, k) as (values " + ", ".join(f"('{a}', '{b}', '{k}')" for a, b, k in PROV) + "), e as (select * from p where k in ('SUPERSEDES', 'PROMOTED_FROM', 'COMPACTED_FROM'))"
+# customers of a nation as versions: each comes from the next one, every fifth also from the one before and from the third one after, so there are cycles
+VERSIONS_SQL = """v as (select c_custkey as s, c_nationkey as g, row_number() over (partition by c_nationkey order by c_custkey) as i from customer),
+e as (select v.s, w.s as t, case when w.i > v.i then case when w.i = v.i + 1 then 'SUPERSEDES' else 'COMPACTED_FROM' end else 'PROMOTED_FROM' end as k from v join v w on w.g = v.g and (w.i = v.i + 1 or (v.s % 5 = 0 and w.i in (v.i - 1, v.i + 3)))),
+w(start, node, k, depth, path) as (select s, t, k, 1, [s, t] from e where s % 50 = 0 union all select start, t, e.k, depth + 1, list_append(path, t) from w join e on s = node where depth < 6 and not list_contains(path, t))"""
 
 
-def _prov(spark):
-    rows = spark.createDataFrame(PROV, "source_id string, target_id string, edge_type string")
-    return G.provenance(rows, spark.createDataFrame([("A",), ("C",), ("D",)], "start string"))
+def versions(spark, d):
+    """Provenance edges among customers, and those with a key divisible by 50 as starts."""
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    v = A.table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_nationkey").alias("g"), place.alias("i"))
+    steps = F.when(F.col("source_id") % 5 == 0, F.array(F.lit(1), F.lit(-1), F.lit(3))).otherwise(F.array(F.lit(1)))
+    kind = F.when(F.col("step") == 1, "SUPERSEDES").when(F.col("step") == 3, "COMPACTED_FROM").otherwise("PROMOTED_FROM")
+    asked = v.select("source_id", "g", "i", F.explode(steps).alias("step")).withColumn("edge_type", kind).withColumn("i", F.col("i") + F.col("step"))
+    edges = asked.join(v.select(F.col("source_id").alias("target_id"), "g", "i"), ["g", "i"]).select("source_id", "target_id", "edge_type")
+    return edges, v.where("source_id % 50 = 0").select(F.col("source_id").alias("start"))
 
 
-@query("provenance_closure", f"with recursive {PROV_SQL}, w(start, node, k, depth) as (select s, t, k, 1 from e where s in ('A', 'C', 'D') union all select start, t, e.k, depth + 1 from w join e on s = node where depth < 10) select start, node, min(depth) as depth, arg_min(k, depth) as edge_type from w group by 1, 2", longs="depth")
+@query("provenance_closure", f"with recursive {VERSIONS_SQL} select start, node, min(depth) as depth, min(k) filter (depth = least) as edge_type from (select *, min(depth) over (partition by start, node) as least from w) group by 1, 2", longs="depth")
 def provenance_closure(spark, d):
-    return _prov(spark)[0].select("start", "node", "depth", "edge_type")
+    return G.provenance(*versions(spark, d), 6)[0].select("start", "node", "depth", "edge_type")
 
 
-@query("provenance_sources", "select * from (values ('A', 'B,D', 2, false), ('C', 'D', 1, false), ('D', null, 0, false)) t(start, sources, depth, depth_limited)", longs="depth")
+@query(
+    "provenance_sources",
+    f"""with recursive {VERSIONS_SQL}, gone as (select distinct start, path[len(path) - 1] as node from w), a as (select distinct start, node from w),
+    sources as (select start, string_agg(node::varchar, ',' order by node) as sources from a anti join gone using (start, node) group by 1)
+    select s as start, sources, coalesce(max(depth), 0) as depth, coalesce(max(depth), 0) >= 6 as depth_limited from v left join w on w.start = s left join sources on sources.start = s where s % 50 = 0 group by 1, 2""", longs="depth")
 def provenance_sources(spark, d):
-    return _prov(spark)[1].select("start", F.array_join("original_sources", ",").alias("sources"), "depth", "depth_limited")
+    return G.provenance(*versions(spark, d), 6)[1].select("start", F.array_join("original_sources", ",").alias("sources"), "depth", "depth_limited")
 
 
 @query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c", longs="distance")

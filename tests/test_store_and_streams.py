@@ -54,6 +54,52 @@ def test_provenance_of_diamonds_and_cycles(spark):
     assert chain.where("start = 'a0'").count() == 15  # each node once, whatever the number of walks
 
 
+def walks(edges, start, depth):
+    """Every walk without a repeated node, by brute force."""
+    out, todo = [], [[start]]
+    while todo:
+        path = todo.pop()
+        for s, t, k in edges:
+            if s == path[-1] and t not in path and len(path) <= depth:
+                out.append(([*path, t], k))
+                todo.append([*path, t])
+    return out
+
+
+@pytest.mark.parametrize("seed, nodes, n, depth", [(1, 7, 12, 10), (2, 6, 14, 4), (3, 9, 15, 6), (4, 5, 5, 10)])
+def test_provenance_on_cycles_matches_all_walks(spark, seed, nodes, n, depth):
+    import random
+
+    from engram.operators import graph as G
+
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(nodes)}", f"n{rng.randrange(nodes)}", rng.choice(["SUPERSEDES", "PROMOTED_FROM", "COMPACTED_FROM"])) for _ in range(n)]
+    edges = [*{e for e in edges if e[0] != e[1]}] + ([("A", "B", "SUPERSEDES"), ("A", "C", "SUPERSEDES"), ("B", "D", "SUPERSEDES"), ("C", "D", "SUPERSEDES"), ("D", "B", "SUPERSEDES"), ("B", "E", "SUPERSEDES")] if seed == 4 else [])
+    starts = sorted({x for e in edges for x in e[:2]})
+    chain, summary = G.provenance(spark.createDataFrame(edges, "source_id string, target_id string, edge_type string"), spark.createDataFrame([(x,) for x in starts], "start string"), depth)
+    got = {r.start: (r.depth, r.original_sources or [], r.depth_limited) for r in summary.collect()}
+    near = {(r.start, r.node): (r.depth, r.edge_type) for r in chain.collect()}
+    want, least = {}, {}
+    for x in starts:
+        own = walks(edges, x, depth)
+        longest = max((len(p) - 1 for p, _ in own), default=0)
+        want[x] = (longest, sorted({p[-1] for p, _ in own} - {p[-2] for p, _ in own}), longest >= depth)
+        for p, k in own:
+            least[x, p[-1]] = min(least.get((x, p[-1]), (99, "")), (len(p) - 1, k))
+    assert got == want and near == least
+    if seed == 4:
+        assert got["A"] == (4, ["E"], False)
+
+
+def test_strong_components(spark):
+    from engram.operators import graph as G
+
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (6, 7), (0, 1), (8, 8), (9, 10), (10, 11), (11, 9), (11, 4)]
+    got = {r.node: r.component for r in G.strong_components(spark.createDataFrame(edges, "node long, next long")).collect()}
+    assert got == {1: 3, 2: 3, 3: 3, 4: 5, 5: 5, 9: 11, 10: 11, 11: 11}
+    assert G.strong_components(spark.createDataFrame([(1, 2)], "node long, next long")).count() == 0
+
+
 def test_upsert_and_partial_update(spark):
     old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, name string, extra string")
     assert sorted(map(tuple, S.upsert(old, spark.createDataFrame([(2, "c", None)], old.schema), ["id"]).collect())) == [(1, "a", "x"), (2, "c", None)]
