@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from engram.operators.index import block_scores, scaled
 from engram.settings import DEFAULTS
 
 
@@ -39,36 +40,19 @@ def top_k(vectors: DataFrame, query: list[float], k: int, condition: Column | No
     return rows.withColumn("score", cosine(F.col("embedding"), q)).orderBy(F.desc("score"), "memory_id").limit(k)
 
 
-def unit(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns and u: the vector over its norm (zeros where it has none), so a pair's cosine is one inner product."""
-    n = df.withColumn("__n", norm(F.col("embedding")))
-    scaled = F.transform("embedding", lambda x: F.when(F.col("__n") < 1e-10, F.lit(0.0)).otherwise(x.cast("double") / F.col("__n")))
-    return n.select(*keep, scaled.alias("u"))
-
-
-#: Rows of a project that one task compares others with.
-BLOCK_ROWS = 2048
-
-
 def neighbors(vectors: DataFrame, threshold: float = DEFAULTS.similar_threshold, pool: int = DEFAULTS.similar_pool, top: int = DEFAULTS.similar_top, asked: DataFrame | None = None) -> DataFrame:
-    """(project, source_id, target_id, score): each row's nearest in its project at or above the threshold; of the rows of asked(memory_id) only, if given.
+    """(project, source_id, target_id, score, rank): each row's nearest in its project at or above the threshold; of the rows of asked(memory_id) only, if given.
 
-    An equi-join on (project, block): every row is sent to each of the project's blocks once, the
-    other side to its own block of BLOCK_ROWS rows or so, so that a project that holds many rows is
-    spread over blocks. Exact, and so quadratic in a project's rows where all are asked;
-    signature_neighbors is for projects too large for that.
+    Exact, and so quadratic in a project's rows where all are asked: both sides lie in counted blocks of a
+    project, a pair of blocks is one matrix product. VectorIndex is for projects too large for that.
     """
     if asked is not None:  # other projects have no part in it
         vectors = vectors.join(vectors.join(asked.select("memory_id"), "memory_id", "left_semi").select("project").distinct(), "project", "left_semi")
-    sizes = vectors.groupBy("project").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
-    rows = unit(vectors, ["memory_id", "project"]).join(sizes, "project").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.col("blocks")))
+    rows = scaled(vectors, ["memory_id", "project"]).withColumn("cell", F.lit(0))
     left = rows if asked is None else rows.join(asked.select("memory_id"), "memory_id", "left_semi")
-    left = left.select(F.col("memory_id").alias("source_id"), F.col("u").alias("a"), "project", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    right = rows.select(F.col("memory_id").alias("target_id"), F.col("u").alias("b"), "project", "block")
-    scored = left.join(right, ["project", "block"]).where("source_id != target_id").select("project", "block", "source_id", "target_id", dot(F.col("a"), F.col("b")).alias("score"))
-    scored = scored.where(F.col("score") >= threshold)
-    order = (F.desc("score"), F.col("target_id"))
-    rank = F.row_number().over(W.partitionBy("source_id").orderBy(*order))
+    right = rows.withColumnRenamed("memory_id", "target_id")
+    scored = block_scores(left.withColumnRenamed("memory_id", "source_id"), right, threshold, min(pool, top) + 1).where("source_id != target_id")
+    rank = F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= min(pool, top)).select("project", "source_id", "target_id", "score", "rank")
 
 
@@ -78,36 +62,10 @@ def similarity_edges(vectors: DataFrame, **how) -> DataFrame:
     return n.groupBy(F.least("source_id", "target_id").alias("source_id"), F.greatest("source_id", "target_id").alias("target_id")).agg(F.max("score").alias("weight"))
 
 
-def signature_neighbors(vectors: DataFrame, threshold: float = DEFAULTS.similar_threshold, bits: int = 12, tables: int = 16, seed: int = 7, dim: int | None = None) -> DataFrame:
-    """As neighbors(), with candidates from random-hyperplane signatures instead of whole projects, verified exactly.
-
-    For large projects: two rows meet if they agree on all bits of one table. At cosine c they do
-    with probability 1 - (1 - (1 - acos(c) / pi) ** bits) ** tables (0.99 at 0.92 with the defaults).
-    """
-    dim = dim or len(vectors.first()["embedding"])
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim)).round(6)
-    rows = unit(vectors, ["memory_id", "project"])
-
-    def key(t: int) -> Column:
-        signs = [F.when(dot(F.col("u"), F.array(*map(F.lit, planes[t * bits + i].tolist()))) >= 0, F.lit(1 << i)).otherwise(F.lit(0)) for i in range(bits)]
-        return F.struct(F.lit(t).alias("t"), sum(signs[1:], signs[0]).alias("k"))
-
-    keyed = rows.select("memory_id", "project", "u", F.explode(F.array(*(key(t) for t in range(tables)))).alias("cell"))
-    a = keyed.select(F.col("memory_id").alias("source_id"), F.col("u").alias("a"), "project", "cell")
-    b = keyed.select(F.col("memory_id").alias("target_id"), F.col("u").alias("b"), "project", "cell")
-    met = a.join(b, ["project", "cell"]).where("source_id < target_id").select("project", "source_id", "target_id", dot(F.col("a"), F.col("b")).alias("score"))
-    return met.where(F.col("score") >= threshold).distinct()
-
-
-def probe(new: DataFrame, stored: DataFrame, k: int, blocks: int = 16) -> DataFrame:
-    """(new_id, memory_id, score, rank): the k stored rows nearest each new row. Ranks come before any exclusion.
-
-    Stored rows lie in blocks by a hash of their id; each new row is sent to every block.
-    """
-    every = F.explode(F.array(*(F.lit(i).cast("long") for i in range(blocks)))).alias("block")
-    a = unit(new, ["memory_id"]).select(F.col("memory_id").alias("new_id"), F.col("u").alias("a"), every)
-    b = unit(stored, ["memory_id", "memory_type"]).withColumnRenamed("u", "b").withColumn("block", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)))
-    scored = b.join(a, "block").select("new_id", "memory_id", "memory_type", dot(F.col("a"), F.col("b")).alias("score"))
+def probe(new: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """(new_id, memory_id, score, rank): the k stored rows nearest each new row. Ranks come before any exclusion."""
+    one = lambda rows, name: scaled(rows, ["memory_id"]).select(F.lit(0).alias("project"), F.lit(0).alias("cell"), F.col("memory_id").alias(name), "u")
+    scored = block_scores(one(new, "source_id"), one(stored, "target_id"), float("-inf"), k).select(F.col("source_id").alias("new_id"), F.col("target_id").alias("memory_id"), "score")
     rank = F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -9,6 +9,7 @@ from engram.functions import router as R
 from engram.functions import scalars as X
 from engram.operators import retrieval as Q
 from engram.operators import vectors as V
+from engram.operators.index import VectorIndex
 from engram.plans import adapters as A
 from engram.plans.base import query
 
@@ -68,6 +69,41 @@ def conflict_band(spark, d):
     return V.conflicts(rows.where("memory_id % 50 = 0"), rows, 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
 
 
+# the same with all rows asked
+PROBE_ALL = f"""with {A.VECTORS_SQL}, p as (select a.memory_id as new_id, b.memory_id, {cos('a.embedding', 'b.embedding')} as score from vectors a join vectors b on true {{kind}}),
+    r as (select *, row_number() over (partition by new_id order by score desc, memory_id) as n from p)"""
+
+
+@query("dedup_probe_all", PROBE_ALL.format(kind="") + " select new_id, arg_min(memory_id, n) as memory_id, round(arg_min(score, n), 6) as score from r where n <= 3 and score >= 0.3 and new_id <> memory_id group by new_id")
+def dedup_probe_all(spark, d):
+    rows = A.vectors(spark, d)
+    return V.duplicates(rows, rows, threshold=0.3).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query("conflict_band_all", PROBE_ALL.format(kind="and b.memory_type = 'decision'") + " select new_id, memory_id, round(score, 6) as score from r where n <= 5 and score >= 0.25 and score < 0.35 and new_id <> memory_id")
+def conflict_band_all(spark, d):
+    rows = A.vectors(spark, d)
+    return V.conflicts(rows, rows, 0.25, 0.35).select("new_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "index_recall",
+    f"""with {A.VECTORS_SQL}, p as (select a.memory_id as s, b.memory_id as t, {cos('a.embedding', 'b.embedding')} as score from vectors a join vectors b on a.memory_id % 50 = 0 and a.memory_id <> b.memory_id),
+    r as (select *, row_number() over (partition by s order by score desc, t) as n from p where score >= 0.25)
+    select count(*) as neighbors, true as recall_reached, 0 as wrong from r where n <= 10""", longs="wrong")
+def index_recall(spark, d):
+    """Every row indexed as one project; every fiftieth asked: its exact neighbors, whether 0.9 of them are found, and how many others are."""
+    rows = A.vectors(spark, d).withColumn("project", F.lit(1))
+    asked = rows.where("memory_id % 50 = 0")
+    index = VectorIndex.build(rows, 0.25)
+    exact = V.neighbors(rows, 0.25, asked=asked).select("source_id", "target_id", F.lit(True).alias("exact"))
+    found = exact.limit(0).drop("exact").withColumn("found", F.lit(True)) if index is None else index.search(asked, 0.25).select("source_id", "target_id", "score", F.lit(True).alias("found"))
+    both = exact.join(found, ["source_id", "target_id"], "full")
+    # what the index finds besides is a neighbor too, of a rank that one missed has left
+    hit = F.count_if(F.col("exact") & F.col("found"))
+    return both.agg(F.count("exact").alias("neighbors"), (hit >= 0.9 * F.count("exact")).alias("recall_reached"), F.count_if(F.col("exact").isNull() & ~(F.col("score") >= 0.25)).alias("wrong"))
+
+
 @query(
     "semantic_cache",
     f"""with {A.VECTORS_SQL}, q as (select embedding as e from vectors where memory_id = 0), s as (select memory_id, list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1] - z[2]) ** 2)) as dist from vectors, q)

@@ -188,13 +188,3 @@ def test_filters(spark):
     assert ids(df.where(Q.compile_filter({"id": {"$gte": 2}, "category": "x"}))) == [3]
     with pytest.raises(ValueError):
         Q.compile_filter({"id": {"$near": 2}})
-
-
-def test_hyperplane_neighbors_find_close_pairs(spark):
-    rng = np.random.default_rng(0)
-    base = rng.standard_normal((40, 16))
-    rows = [(i, v.tolist(), "p") for i, v in enumerate(base)] + [(100 + i, (v + 0.05 * rng.standard_normal(16)).tolist(), "p") for i, v in enumerate(base)]
-    df = spark.createDataFrame(rows, "memory_id long, embedding array<double>, project string")
-    exact = {(r.source_id, r.target_id) for r in V.similarity_edges(df, threshold=0.95).collect()}
-    found = {(r.source_id, r.target_id) for r in V.signature_neighbors(df, 0.95).collect()}
-    assert len(exact) >= 40 and found <= exact and len(found) >= 0.9 * len(exact)
