@@ -1,6 +1,6 @@
 """A stored nearest-neighbor index: inverted lists over trained centroids, probed several at a time, checked exactly.
 
-Vectors are scaled to unit length. Centroids come from spherical k-means over a sample of at most SAMPLE
+Vectors are compared at unit length. Centroids come from spherical k-means over a sample of at most SAMPLE
 vectors (fitting only: every vector is indexed). A list holds the vectors next to its centroid. A search
 looks into the lists of the `probes` centroids next to the query; `probes` is measured when the index is built: for
 sampled vectors and random directions at exactly the cosine that matters, it is the rank that
@@ -12,8 +12,9 @@ each one matrix product; the blocks of a list are counted, so a list that holds
 spread over tasks. Equal vectors are one entry with the first ids of their class, so a group of copies
 costs one entry, not the square of its rows.
 
-Work grows with rows times probes times rows a list; with the square root of the rows as the number of lists, up to MOST_LISTS.
-Beyond MOST_LISTS ** 2 rows lists grow longer than there are lists, and a second level of centroids would be due.
+A query is sent to each list that it probes, so what is shuffled grows with rows times probes, and what is multiplied
+with rows times probes times rows a list. Few long lists need fewer probes: there are a quarter of the square root of the rows of them, up
+to MOST_LISTS; beyond 16 * MOST_LISTS ** 2 rows lists grow with the table, and a second level of centroids would be due.
 """
 
 from __future__ import annotations
@@ -102,7 +103,7 @@ def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int)
     kinds = dict(left.dtypes) | dict(right.dtypes)
 
     def score(one: pa.Table, two: pa.Table) -> pa.Table:
-        near = matrix(one["u"]) @ matrix(two["v"]).T if len(one) and len(two) else np.zeros((len(one), len(two)))
+        near = units(matrix(one["u"])) @ units(matrix(two["v"])).T if len(one) and len(two) else np.zeros((len(one), len(two)))
         order = np.array(two["target_id"].to_pylist(), dtype=object).argsort(kind="stable") if len(two) else np.zeros(0, int)
         near = near[:, order]  # by id, so that a stable sort leaves ties in order of ids
         rows, cols = np.nonzero(near >= threshold)
@@ -120,21 +121,13 @@ def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int)
 
 
 def scaled(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns and u, the embedding as a unit vector."""
-    kinds = dict(rows.dtypes)
-
-    def run(batches):
-        for batch in batches:
-            u = units(matrix(batch.column(0))) if len(batch) else np.zeros((0, 1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(u) + 1) * u.shape[1], pa.int32()), pa.array(u.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*keep, "u"])
-
-    return rows.where("embedding is not null").select("embedding", *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "u array<double>"]))
+    """keep columns and u, the embedding as it is stored: tasks scale it, so that no wider type is shuffled."""
+    return rows.where("embedding is not null").select(*keep, F.col("embedding").alias("u"))
 
 
 @dataclass
 class VectorIndex:
-    """Lists over centroids. entries: (project, cell, memory_id, ids, u), an entry a distinct vector of a project; ids: the first of its rows."""
+    """Lists over centroids. entries: (project, cell, memory_id, ids, u), an entry a distinct vector u of a project; ids: the first of its rows."""
 
     centroids: np.ndarray
     probes: int
@@ -148,7 +141,7 @@ class VectorIndex:
         n = vectors.where("embedding is not null").count()
         if not n:
             return None
-        lists = lists or max(1, min(MOST_LISTS, round(n**0.5)))
+        lists = lists or max(1, min(MOST_LISTS, round(n**0.5 / 4)))
         # a bounded number of rows for fitting, by hash
         some = vectors.where("embedding is not null").select("embedding").where(F.pmod(F.xxhash64("memory_id", F.lit(5)), F.lit(max(1, n // sample))) == 0).limit(sample)
         x = units(matrix(some.toArrow()["embedding"]))
@@ -165,11 +158,11 @@ class VectorIndex:
 
         def run(batches):
             for batch in batches:
-                cells = nearest(matrix(batch.column(0)), held.value, probes)
+                cells = nearest(units(matrix(batch.column(0))), held.value, probes)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], batch.column(0), lists], [*keep, "u", "cells"])
 
-        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "u array<double>", "cells array<int>"])
+        schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"u {kinds['u']}", "cells array<int>"])
         return rows.select("u", *keep).mapInArrow(run, schema).withColumn("cell", F.explode("cells")).drop("cells")
 
     def filed(self, vectors: DataFrame) -> DataFrame:
