@@ -134,6 +134,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Chain:
     names: list[str]
     links: list[Link]
+    #: What is added to a category's logit where it is reported; later links get the probability without it, as in training.
+    shift: float = 0.0
 
     @staticmethod
     def fit(bags: Bags, labels: np.ndarray, folds: np.ndarray, names: list[str]) -> "Chain":
@@ -152,10 +154,12 @@ class Chain:
         return Chain(names, links)
 
     def predict(self, bags: Bags) -> np.ndarray:
-        out = np.zeros((bags.n_docs, 0))
+        earlier, out = np.zeros((bags.n_docs, 0)), []
         for link in self.links:
-            out = np.column_stack([out, sigmoid(link.logits(bags.matrix(link.words), out))])
-        return out
+            logits = link.logits(bags.matrix(link.words), earlier)
+            out.append(sigmoid(logits + self.shift))
+            earlier = np.column_stack([earlier, sigmoid(logits)])
+        return np.column_stack(out)
 
 
 def bags_of(texts: pa.Array, words: np.ndarray | None = None):
@@ -198,9 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     y[:, -1] = toxic
     folds = (word_hashes(list(texts)) % U64(FOLDS)).astype(int)
     chain = Chain.fit(bags, y, folds, CHAIN)
-    shift = prior_shift(counts, toxic)
-    for link in chain.links:
-        link.beta[-1] += shift
+    chain.shift = prior_shift(counts, toxic)
     return chain
 
 
