@@ -88,17 +88,23 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, cosine: float, recall:
     return int(np.quantile(rank, recall, method="higher")) + 1
 
 
-def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int) -> DataFrame:
+def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int, one_cell: bool = False) -> DataFrame:
     """(project, source_id, target_id, score) of left(project, cell, source_id, u) and right(project, cell, target_id, u) in equal cells.
 
     Scores at or above the threshold, of each source the `top` best of each block (ties by target_id).
+    one_cell: all rows are of one project and cell, so their numbers are two counts and no join.
     """
     blocks = lambda rows, name: rows.groupBy("project", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
-    sizes = settle(blocks(left, "lefts").join(blocks(right, "rights"), ["project", "cell"]))
+    if one_cell:
+        n = [F.lit(max(1, -(-rows.count() // BLOCK_ROWS))) for rows in (left, right)]
+        sized = lambda rows: rows.withColumns({"lefts": n[0].cast("long"), "rights": n[1].cast("long")})
+    else:
+        sizes = settle(blocks(left, "lefts").join(blocks(right, "rights"), ["project", "cell"]))
+        sized = lambda rows: rows.join(sizes, ["project", "cell"])
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = left.join(sizes, ["project", "cell"]).withColumn("lb", place("source_id", "lefts")).withColumn("rb", every("rights"))
-    b = right.join(sizes, ["project", "cell"]).withColumn("rb", place("target_id", "rights")).withColumn("lb", every("lefts"))
+    a = sized(left).withColumn("lb", place("source_id", "lefts")).withColumn("rb", every("rights"))
+    b = sized(right).withColumn("rb", place("target_id", "rights")).withColumn("lb", every("lefts"))
     key = ["project", "cell", "lb", "rb"]
     kinds = dict(left.dtypes) | dict(right.dtypes)
 

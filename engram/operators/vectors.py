@@ -65,7 +65,7 @@ def similarity_edges(vectors: DataFrame, **how) -> DataFrame:
 def probe(new: DataFrame, stored: DataFrame, k: int) -> DataFrame:
     """(new_id, memory_id, score, rank): the k stored rows nearest each new row. Ranks come before any exclusion."""
     one = lambda rows, name: scaled(rows, ["memory_id"]).select(F.lit(0).alias("project"), F.lit(0).alias("cell"), F.col("memory_id").alias(name), "u")
-    scored = block_scores(one(new, "source_id"), one(stored, "target_id"), float("-inf"), k).select(F.col("source_id").alias("new_id"), F.col("target_id").alias("memory_id"), "score")
+    scored = block_scores(one(new, "source_id"), one(stored, "target_id"), float("-inf"), k, one_cell=True).select(F.col("source_id").alias("new_id"), F.col("target_id").alias("memory_id"), "score")
     rank = F.row_number().over(W.partitionBy("new_id").orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

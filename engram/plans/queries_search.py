@@ -376,3 +376,41 @@ def routed_answers(spark, d):
     asked = ["hello world", "what did we do today", "recent decisions about auth", "how do we deploy", "tell me about the most recent research"]
     parts = [retrieve.answer(retrieve.Sources(rows), q, vector, A.now(), 5).select(F.lit(q).alias("query"), "routing_mode", "memory_id", "answer_rank") for q in asked]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _items(spark, d):
+    docs = A.table(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), "text")
+    return A.vectors(spark, d).join(docs, "memory_id", "left").withColumn("event_seq", F.col("memory_id"))
+
+
+@query(
+    "search_many",
+    f"""with {A.VECTORS_SQL}, items as (select v.*, coalesce(nullif(trim(text), ''), null) as known, text from vectors v left join documents on doc_id = v.memory_id),
+    near as (select a.memory_id as query_id, b.memory_id, 'vector' as source, row_number() over (partition by a.memory_id order by {cos('a.embedding', 'b.embedding')} desc, b.memory_id) as rank from vectors a join vectors b on a.memory_id % 50 = 0 qualify rank <= 50),
+    graph as (select q.memory_id as query_id, g.memory_id, 'graph' as source, g.rank from (select memory_id, row_number() over (order by memory_id) as rank from vectors qualify rank <= 50) g join vectors q on q.memory_id % 50 = 0),
+    lists as (select l.*, i.category, i.event_time, md5(case when i.known is not null then i.text else (case source when 'vector' then 'Vector Result ID: ' else 'Graph Result ID: ' end) || l.memory_id end) as h from (select * from near union all select * from graph) l join items i using (memory_id)),
+    f as (select query_id, h, sum(1.0::DOUBLE / (60 + rank)) as rrf, arg_min(memory_id, (case source when 'vector' then 0 else 1 end) * 1000 + rank) as memory_id, arg_min(category, (case source when 'vector' then 0 else 1 end) * 1000 + rank) as category, arg_min(event_time, (case source when 'vector' then 0 else 1 end) * 1000 + rank) as event_time from lists group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by rrf desc, memory_id) as prev_rank from f qualify prev_rank <= 15),
+    b as (select *, epoch_us(timestamp '2024-02-01 00:00:00') - epoch_us(event_time) as age, case category when 'debug' then 7 when 'context' then 14 when 'research' then 30 when 'decision' then 90 when 'pattern' then 180 else 30 end as life from r),
+    c as (select *, least(greatest(rrf / 0.035, 0), 1) as s, case when age < 0 then 1 else greatest(0.01, exp(-ln(2) * (age / 86400e6) / life)) end as t from b),
+    e as (select *, round(least(greatest(0.55 * s + 0.30 * t + 0.10 * 0.5 + 0.05 * 0.5, 0), 1), 6) as composite_score from c)
+    select query_id, memory_id, composite_score, row_number() over (partition by query_id order by composite_score desc, prev_rank) as final_rank from e""",
+)
+def search_many(spark, d):
+    """Every fiftieth item as a query against all items, in one plan."""
+    from engram.plans import retrieve
+
+    rows = _items(spark, d)
+    queries = rows.where("memory_id % 50 = 0").select(F.col("memory_id").alias("query_id"), F.lit("").alias("query"), "embedding")
+    return retrieve.ranked_many(retrieve.Sources(rows), queries, A.now()).select("query_id", "memory_id", "composite_score", "final_rank")
+
+
+@query("answers_many")
+def answers_many(spark, d):
+    """Every conversation turn as a query, answered by its mode over all items; its vector is that of the item its number names."""
+    from engram.plans import retrieve
+
+    rows = _items(spark, d)
+    turns = A.turns(spark, d).select(F.col("memory_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), (F.col("memory_id") % 500).alias("vec"))
+    queries = turns.join(rows.select(F.col("memory_id").alias("vec"), "embedding"), "vec").drop("vec")
+    return retrieve.answer_many(retrieve.Sources(rows), queries, A.now(), 5).select("query_id", "routing_mode", "memory_id", "answer_rank")

@@ -104,6 +104,72 @@ def answer(src: Sources, query: str, vector: list[float], now: Column, top: int
     return out
 
 
+def for_each(queries: DataFrame, ranked: DataFrame, most: int) -> DataFrame:
+    """The rows of one short list, ranked(rank, ...) with ranks 1 to most, for each of queries(query_id): an equi-join on the rank."""
+    places = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("rank"))
+    return places.join(ranked, "rank")
+
+
+def ranked_many(src: Sources, queries: DataFrame, now: Column, condition: Column | None = None, top: int | None = None, scorers: list | None = None) -> DataFrame:
+    """The search of all of queries(query_id, query, embedding) in one plan up to the time-weighted ranks, as semantic() makes them before diversity.
+
+    Queries and items meet in counted blocks, each one matrix product; what follows is by query_id, over
+    at most twice top_k_vector rows a query. query_ids are unique.
+    """
+    s = src.settings
+    slim = src.memories.drop("embedding")
+    items = src.memories.where(V.non_zero(F.col("embedding")))
+    near = V.probe(queries.select(F.col("query_id").alias("memory_id"), "embedding"), items if condition is None else items.where(condition), s.top_k_vector)
+    near = near.withColumnRenamed("new_id", "query_id").join(slim, "memory_id").withColumn("source", F.lit("vector"))
+    first = Q.with_rank(slim.orderBy("memory_id").limit(s.top_k_vector).withColumn("one", F.lit(1)), F.col("memory_id"), query="one").drop("one")
+    graph = for_each(queries, first, s.top_k_vector).withColumn("score", F.lit(0.5)).withColumn("source", F.lit("graph"))
+    fused = Q.reciprocal_rank_fusion(near.unionByName(graph), s.rrf_k).join(queries.select("query_id", "query"), "query_id")
+    return Q.time_weighted(Q.rerank(fused, scorers, top or s.top_k_final), now, s)
+
+
+def semantic_many(src: Sources, queries: DataFrame, now: Column, condition: Column | None = None, top: int | None = None, scorers: list | None = None) -> DataFrame:
+    """semantic() for all of queries(query_id, query, embedding), without names."""
+    top = top or src.settings.top_k_final
+    return diversify(ranked_many(src, queries, now, condition, top, scorers), src.memories, top, src.settings.mmr_lambda)
+
+
+def answer_many(src: Sources, queries: DataFrame, now: Column, top: int | None = None) -> DataFrame:
+    """answer() for all of queries(query_id, query, embedding), each by its mode: the modes are branches of one plan.
+
+    What a mode looks at is the same for all of its queries: the recent items, the latest session, the items of its types.
+    Decisions without vectors are not looked up by a query's words here; answer() does that for one query.
+    """
+    s = src.settings
+    top = top or s.top_k_final
+    slim = src.memories.drop("embedding")
+    routed = queries.withColumn("routing_mode", R.route(F.col("query")))
+    of = lambda *modes: routed.where(F.col("routing_mode").isin(*modes)).drop("routing_mode")
+    one = lambda rows: Q.with_rank(rows.withColumn("one", F.lit(1)), F.desc("event_seq"), query="one").drop("one")
+    recent, parts = T.recent(slim, top), []
+    parts.append(for_each(of("TEMPORAL"), one(recent), top).withColumnRenamed("rank", "answer_rank"))
+    plain = ["SESSION"] if src.sessions is None or src.includes is None else []
+    if not plain:
+        latest = T.latest_session(src.sessions).select("session_id")
+        own = slim.join(src.includes.join(latest, "session_id", "left_semi").select("memory_id"), "memory_id", "left_semi")
+        rows = one(Q.first_branch(*(b.withColumn("one", F.lit(1)) for b in (own, recent)), group="one")).where(F.col("rank") <= top).drop("branch")
+        parts.append(for_each(of("SESSION"), rows, top).withColumnRenamed("rank", "answer_rank"))
+    low = T.recent(src.memories, s.top_k_vector).agg(F.min("event_seq")).first()[0]
+    parts.append(semantic_many(src, of("TEMPORAL_SEMANTIC"), now, None if low is None else F.col("event_seq") >= low, top))
+    for mode, types in MODE_TYPES.items():
+        kinds = F.col("memory_type").isin(*types)
+        if src.memories.where(kinds & V.non_zero(F.col("embedding"))).limit(1).isEmpty():
+            plain.append(mode)
+        else:
+            parts.append(semantic_many(Sources(src.memories.where(kinds), settings=s), of(mode), now, top=top))
+    handled = ["TEMPORAL", "SESSION", "TEMPORAL_SEMANTIC", *MODE_TYPES]
+    rest = routed.where(~F.col("routing_mode").isin(*(m for m in handled if m not in plain))).drop("routing_mode")
+    parts.append(semantic_many(src, rest, now, top=top))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.drop("query").join(routed.select("query_id", "query", "routing_mode"), "query_id")
+
+
 def plain_score(rows: DataFrame) -> Column:
     """The score of the plain interface: rerank, else fused, else 0."""
     return F.coalesce(*(F.col(c) for c in ("rerank_score", "rrf_score") if c in rows.columns), F.lit(0.0))
