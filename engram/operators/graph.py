@@ -135,22 +135,53 @@ def ego_summary(edges: DataFrame, start, depth: int = 2, max_nodes: int = 200, m
 
 
 def shortest_path(edges: DataFrame, start, goal, max_depth: int = 4) -> DataFrame:
-    """(path, length): a shortest undirected path, the least one by ids; no row if there is none.
+    """(path, length): a shortest undirected path, the least one by ids; no row if there is none."""
+    kind = dict(edges.dtypes)["source_id"]
+    pair = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("start"), F.lit(goal).cast(kind).alias("goal"))
+    return shortest_paths(edges, pair, max_depth).select("path", "length")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
+    """(start, goal, path, length) of pairs(start, goal): a shortest undirected path of each, the least one by ids.
 
-    Each round keeps one parent a node (the least path), so rows are bounded by nodes, not by paths.
+    Pairs without a path of at most max_depth (1 to 10) edges, and those with a null, are left out; a repeated pair
+    counts once; a node reaches itself by no edges. Frontiers grow from both ends in turn, so neither goes
+    further than half of the path, and a pair whose frontiers have met grows no more. A hop keeps
+    pointers to the nodes before, not paths; paths are put together for the nodes on shortest ones only.
     """
-    spark = edges.sparkSession
-    kind = dict(edges.dtypes)["source_id"]
-    pairs = undirected(edges)
-    frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.array(F.lit(start).cast(kind)).alias("path"))
-    seen = frontier
-    for _ in range(max(1, min(max_depth, 10))):
-        step = frontier.join(pairs, "node").select(F.col("other").alias("node"), "path").join(seen, "node", "left_anti")
-        frontier = settle(step.groupBy("node").agg(F.min("path").alias("path")).select("node", F.concat("path", F.array("node")).alias("path")))
-        if frontier.isEmpty():
+    pair, max_depth = ["start", "goal"], max(1, min(max_depth, 10))
+    ways = settle(undirected(edges))
+    asked = settle(pairs.select(*pair).dropna().distinct())
+    ends = [asked.withColumn("node", F.col(c)) for c in pair]  # the frontiers: from the start, from the goal
+    seen, pointers = list(ends), ([], [])
+    met = ends[0].where("start = goal").withColumn("hops", F.lit(0))
+    searching = asked.where("start != goal")
+    for length in range(1, max_depth + 1):
+        side = (length + 1) % 2
+        step = ends[side].join(searching, pair, "left_semi").join(ways, "node").select(*pair, F.col("other").alias("node"), F.col("node").alias("before"))
+        step = settle(step.join(seen[side], [*pair, "node"], "left_anti"))
+        pointers[side].append(step)
+        ends[side] = step.select(*pair, "node").distinct()
+        seen[side] = seen[side].unionByName(ends[side])
+        here = settle(ends[side].join(ends[1 - side], [*pair, "node"], "left_semi"))
+        met = met.unionByName(here.withColumn("hops", F.lit(len(pointers[0]))))
+        searching = settle(searching.join(here, pair, "left_anti"))
+        if searching.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen.where(F.col("node") == F.lit(goal).cast(kind)).select("path", (F.size("path") - 1).alias("length"))
+
+    # from where the frontiers met back to the start: the nodes that lead there, each with its least next one
+    good, onward = None, []
+    for hop in range(len(pointers[0]), 0, -1):
+        here = met.where(F.col("hops") == hop).select(*pair, "node")
+        good = here if good is None else good.unionByName(here)
+        step = settle(pointers[0][hop - 1].join(good, [*pair, "node"], "left_semi").groupBy(*pair, F.col("before").alias("node")).agg(F.min("node").alias("next")))
+        onward.insert(0, step)
+        good = step.select(*pair, "node")
+    back = [p.groupBy(*pair, "node").agg(F.min("before").alias("next")) for p in reversed(pointers[1])]
+    out = met.select(*pair).distinct().withColumn("node", F.col("start")).withColumn("path", F.array("start"))
+    for step in onward + back:
+        out = out.join(step, [*pair, "node"], "left").select(*pair, F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
+    return out.select(*pair, "path", (F.size("path") - 1).alias("length"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

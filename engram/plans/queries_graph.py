@@ -80,6 +80,18 @@ def shortest_path_len(spark, d):
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+@query(
+    "shortest_paths",
+    f"""with recursive {A.EDGES_SQL}, ways as (select source_id as node, target_id as other from edges union select target_id, source_id from edges),
+    q as (select 'o' || o_orderkey as start, 'p' || o_custkey as goal from orders where o_orderkey % 50 = 0),
+    h(start, node, dist) as (select start, start, 0 from q union select start, other, dist + 1 from h join ways using (node) where dist < 5)
+    select start, goal, min(dist) as length from q join h using (start) where node = goal group by 1, 2""", longs="length")
+def shortest_paths(spark, d):
+    """Every fiftieth order to the part that has its customer's number, over all order and part edges."""
+    asked = A.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("start"), F.concat(F.lit("p"), "o_custkey").alias("goal"))
+    return G.shortest_paths(A.edges(spark, d), asked, 5).select("start", "goal", "length")
+
+
 # customers of a nation as versions: each comes from the next one, every fifth also from the one before and from the third one after, so there are cycles
 VERSIONS_SQL = """v as (select c_custkey as s, c_nationkey as g, row_number() over (partition by c_nationkey order by c_custkey) as i from customer),
 e as (select v.s, w.s as t, case when w.i > v.i then case when w.i = v.i + 1 then 'SUPERSEDES' else 'COMPACTED_FROM' end else 'PROMOTED_FROM' end as k from v join v w on w.g = v.g and (w.i = v.i + 1 or (v.s % 5 = 0 and w.i in (v.i - 1, v.i + 3)))),
