@@ -47,6 +47,23 @@ def predecessors(events: DataFrame, session: str = "session_id") -> DataFrame:
     return rows.where("target_id is not null and source_id != target_id")
 
 
+def micros(duration: str) -> int:
+    """A number and a unit, from seconds to weeks, in microseconds."""
+    n, unit = duration.split()
+    return int(float(n) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}[unit.lower().rstrip("s")] * 1_000_000)
+
+
+def predecessors_in_time(events: DataFrame, idle: str = "7 days", session: str = "session_id") -> DataFrame:
+    """(source_id, target_id, session): each event and the one before it in its session by (event_time, event_seq, memory_id), if no longer ago than idle.
+
+    Events without a session, time, event_seq or id are left out.
+    """
+    w = W.partitionBy("__session").orderBy("__at", "event_seq", "memory_id")
+    rows = events.select(F.col(session).alias("__session"), F.unix_micros(F.col("event_time").cast("timestamp")).alias("__at"), "event_seq", "memory_id").dropna()
+    rows = rows.select("__session", "memory_id", F.lag("memory_id").over(w).alias("before"), (F.col("__at") - F.lag("__at").over(w)).alias("gap"))
+    return rows.where((F.col("gap") <= micros(idle)) & (F.col("memory_id") != F.col("before"))).select(F.col("memory_id").alias("source_id"), F.col("before").alias("target_id"), F.col("__session").alias(session))
+
+
 def sequenced(rows: DataFrame, *order: str, start: int = 0) -> DataFrame:
     """event_seq = start + 1, 2, ... in the given order, without holes.
 

@@ -402,3 +402,14 @@ def snapshot_merge(spark, d):
     """Rows of a base, of deltas over it and without deleted ones, of two tables of one snapshot."""
     last = _customers_store(spark, d)
     return last.table("customers").join(last.table("nations").withColumnRenamed("n_nationkey", "c_nationkey"), "c_nationkey").select("c_custkey", "c_nationkey", "total", "customers")
+
+
+@query(
+    "time_predecessors",
+    """select source_id, target_id, session_id from (select event_id as source_id, lag(event_id) over w as target_id, user_id as session_id, ts::timestamp - lag(ts::timestamp) over w as gap
+    from events where user_id is not null and ts is not null window w as (partition by user_id order by ts, event_id)) where gap <= interval 6 hour""",
+)
+def time_predecessors(spark, d):
+    """Events of a user and the ones before them in time, within six hours; a stream gives the same edges."""
+    rows = A.events(spark, d).withColumnRenamed("project", "session_id")
+    return T.predecessors_in_time(rows, "6 hours")

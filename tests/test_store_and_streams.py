@@ -182,14 +182,39 @@ def stream(spark, path):
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).json(f"{path}/*")
 
 
-def test_predecessors_of_a_stream_equal_batch(spark, events, tmp_path):
-    df, path = events
-    q = ST.session_predecessors(stream(spark, path)).writeStream.format("memory").queryName("pred").option("checkpointLocation", f"{tmp_path}/ck1").trigger(availableNow=True).start()
-    q.awaitTermination()
-    want = sorted((r.source_id, r.target_id) for r in T.predecessors(df).collect())
-    got = sorted((r.source_id, r.target_id) for r in spark.table("pred").collect())
-    assert len(got) == len(set(got)) and (got == want or set(got) <= set(want) | {(a, b) for a, b in got})
-    assert len(got) >= 24
+def test_predecessors_of_a_stream_equal_batch(spark, tmp_path):
+    """Events come shuffled within the watermark, in six batches; sessions pause, repeat an instant, and end."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows, at = [], 0
+    for i in range(240):
+        at += int(rng.integers(0, 40)) if i % 60 else 7200  # an hour's pause ends every session
+        rows.append((f"m{i:03d}", f"s{int(rng.integers(0, 5))}" if i % 11 else None, i // 2, at + 1_704_067_200))
+    rows.append((rows[-1][0], rows[-1][1], 500, rows[-1][3]))  # the same item again
+    end = rows[-1][3]
+    shuffled = sorted(rows, key=lambda r: r[3] + int(rng.integers(0, 500)))
+    kind = "memory_id string, session_id string, event_seq long, event_time long"
+    for part in range(6):
+        spark.createDataFrame(shuffled[part * 41 : (part + 1) * 41], kind).withColumn("event_time", F.timestamp_seconds("event_time")).coalesce(1).write.json(f"{tmp_path}/in/{part}")
+    for i in (6, 7):  # two later events take the watermark past all others
+        spark.createDataFrame([(f"z{i}", "end", i, end + 86_400 * i)], kind).withColumn("event_time", F.timestamp_seconds("event_time")).coalesce(1).write.json(f"{tmp_path}/in/{i}")
+    columns = "memory_id string, session_id string, event_seq long, event_time timestamp"
+    source = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(f"{tmp_path}/in/*")
+    with pytest.raises(ValueError):
+        ST.session_predecessors(source)
+    ST.state_store(spark)
+    try:
+        q = ST.session_predecessors(source, "10 minutes", "1 hour").writeStream.format("memory").queryName("pred").option("checkpointLocation", f"{tmp_path}/ck1").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(ST.STATE_STORE)
+    want = T.predecessors_in_time(spark.read.schema(columns).json(f"{tmp_path}/in/*"), "1 hour")
+    want = sorted(tuple(r) for r in want.collect())
+    assert sorted(tuple(r) for r in spark.table("pred").select("source_id", "target_id", "session_id").collect()) == want and 150 < len(want) < 215
+    assert all(int(p["stateOperators"][0]["numRowsDroppedByWatermark"]) == 0 for p in q.recentProgress)
+    states = [int(p["stateOperators"][0]["numRowsTotal"]) for p in q.recentProgress]
+    assert max(states) >= 10 and states[-1] <= 3, list(states)  # lists count as one; what is left is of the last event's own session
 
 
 def test_edges_of_a_stream_merge_once(spark, events, tmp_path):
