@@ -8,6 +8,7 @@ from engram.functions import scalars as X
 from engram.operators import edges as E
 from engram.operators import evaluation as EV
 from engram.operators import linkers as L
+from engram.operators import metrics as M
 from engram.operators import ops as O
 from engram.operators import store as S
 from engram.operators import timeline as T
@@ -280,6 +281,21 @@ def histogram_p95(spark, d):
     return O.histogram_quantile(rows).select("metric", F.round("quantile", 6).alias("p95"))
 
 
+@query(
+    "run_metrics",
+    """with b(le, name) as (values (1.0::DOUBLE, '1'), (5, '5'), (10, '10'), (25, '25'), (50, '50'), (100, '100'), ('inf'::DOUBLE, '+Inf')) select 'event_value' as metric, '_bucket' as suffix, name as le, count(*) filter (where value <= le)::DOUBLE as value from events, b group by name
+    union all select 'event_value', '_count', null, count(value)::DOUBLE from events union all select 'event_value', '_sum', null, round(sum(value), 4) from events
+    union all select 'events', '_total', null, count(*)::DOUBLE from events union all select 'errors', '_total', null, count(*) filter (where event_type = 'error')::DOUBLE from events union all select 'last_id', '', null, max(event_id)::DOUBLE from events""",
+)
+def run_metrics(spark, d):
+    """Counters, a gauge and a histogram of a job that reads all events once."""
+    run = M.RunMetrics()
+    rows = run.histogram(A.events(spark, d), "event_value", F.col("value"), BOUNDS)
+    rows = run.counter(run.counter(rows, "events"), "errors", F.col("memory_type") == "error")
+    run.gauge(rows, "last_id", F.max("memory_id")).write.format("noop").mode("overwrite").save()
+    return run.samples(spark).select("metric", "suffix", F.col("labels")["le"].alias("le"), F.round("value", 4).alias("value"))
+
+
 @query("error_rate", "select user_id, round(sum(case when event_type = 'error' then value else 0 end), 4) as errors, round(sum(value), 4) as total, round(sum(case when event_type = 'error' then value else 0 end) / sum(value), 6) as error_rate from events group by 1")
 def error_rate(spark, d):
     r = O.error_rate(A.events(spark, d).withColumnRenamed("project", "user_id").withColumnRenamed("memory_type", "status"), ["user_id"])
