@@ -16,6 +16,7 @@ from engram.operators import linkers as L
 from engram.operators import ops as O
 from engram.operators import retrieval as Q
 from engram.operators import timeline as T
+from engram.operators.cache import VectorCache
 from engram.operators.snapshots import Change, SnapshotStore
 from engram.operators.store import partial_update
 from engram.plans import retrieve, writepath
@@ -34,9 +35,10 @@ def clamp(n: int, low: int, high: int) -> int:
 
 
 class MemoryStore:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, settings: Settings = DEFAULTS, cache: VectorCache | None = None):
         self.spark, self.path, self.embedder, self.settings = spark, path.rstrip("/"), embedder or HashEmbedder(), settings
-        self._store = SnapshotStore(spark, self.path, {n: (s, writepath.KEYS[n]) for n, s in TABLES.items()})
+        self.cache = cache
+        self._store = SnapshotStore(spark, self.path, {n: (s, writepath.KEYS[n]) for n, s in TABLES.items()} | {"jobs": (schema.JOBS, ["run_id", "kind", "part", "project"])})
 
     # ------------------------------------------------------------ tables
 
@@ -66,7 +68,7 @@ class MemoryStore:
             rows.append(tuple(row[c] for c in columns))
         df = self.spark.createDataFrame(rows, schema.MEMORIES.replace("event_time timestamp", "event_time string"))
         df = df.withColumn("event_time", F.try_to_timestamp("event_time"))
-        return df.withColumn("embedding", embed(F.col("text"), self.embedder))
+        return df.withColumn("embedding", embed(F.col("text"), self.embedder)) if self.cache is None else self.cache.embedded(df).select(*columns)
 
     # ------------------------------------------------------------ writes
 
@@ -167,34 +169,70 @@ class MemoryStore:
 
     # ------------------------------------------------------------ batch jobs
 
-    def backfill(self, kind: str, run_id: str, now: Column | None = None, dry_run: bool = False) -> dict:
+    def backfill(self, kind: str, run_id: str, now: Column | None = None, dry_run: bool = False, parts: int = 1) -> dict:
         """Recompute one kind of edges over all items: similarity, temporal, cooccurrence, causal, entities, promotion or compaction.
 
         Returns the edges found, also by project; unless dry_run they are merged. Promotions and compactions are read from
-        extra: promoted_from_id, and compacted_from, a JSON list of ids. The same backfill again adds nothing, so one
-        that was broken off is run again.
+        extra: promoted_from_id, and compacted_from, a JSON list of ids. The same backfill again adds nothing.
+
+        With parts > 1 the work is done in that many parts by hash (of the item asked, the session, or a pair's smaller id),
+        each committed with its entry in the table of jobs in one snapshot. A backfill that was broken off, run again
+        with the same run id, does only the parts that have no entry; its counts hold those done before. Rolling the run
+        back forgets its entries.
         """
-        tag, t, when = L.run_tag(run_id), self.tables(), F.current_timestamp() if now is None else now
+        tag, when = L.run_tag(run_id), F.current_timestamp() if now is None else now
+        done: dict[int, dict[str, int]] = {}
+        if parts > 1 and not dry_run:
+            for r in self.table("jobs").where((F.col("run_id") == tag) & (F.col("kind") == kind)).collect():  # a row a part and project
+                if r.parts != parts:
+                    raise ValueError(f"run {tag} was begun in {r.parts} parts")
+                done.setdefault(r.part, {})[r.project] = r.found
+        run = [i for i in range(parts) if i not in done]
+        for i in run:
+            done[i] = self._backfill_part(kind, tag, when, i, parts, dry_run)
+        counts: dict[str, int] = {}
+        for found in done.values():
+            for project, n in found.items():
+                if n:
+                    counts[project] = counts.get(project, 0) + n
+        return {"kind": kind, "run_id": tag, "found": sum(counts.values()), "by_project": counts, "dry_run": dry_run, "parts_run": len(run)}
+
+    def _backfill_part(self, kind: str, tag: str, when: Column, part: int, parts: int, dry_run: bool) -> dict[str, int]:
+        """One part of a backfill; the edges found by project."""
         from engram.operators.vectors import neighbors
 
+        t, least = self.tables(), self.settings.similar_threshold
+        mine = lambda c: F.lit(True) if parts == 1 else F.pmod(F.xxhash64(c), F.lit(parts)) == part
+        items, own = t.memories, t.memories.where(mine(F.col("memory_id")))
+        edges = lambda pairs, name, **how: L.edge_rows(pairs, name, "backfill", tag, when, **how)
+
+        def similar() -> DataFrame:
+            asked = None if parts == 1 else own.where("project is not null")
+            return edges(neighbors(items.where("project is not null"), least, asked=asked), "SIMILAR_TO", weight=F.least(F.col("score"), F.lit(1.0)))
+
         makers = {
-            "similarity": lambda: L.edge_rows(neighbors(t.memories.where("project is not null"), self.settings.similar_threshold), "SIMILAR_TO", "backfill", tag, when, weight=F.least(F.col("score"), F.lit(1.0))),
-            "temporal": lambda: L.edge_rows(T.predecessors(t.memories), "MEMORY_FOLLOWS", "backfill", tag, when),
-            "cooccurrence": lambda: L.edge_rows(L.cooccurrence_edges(t.mentions), "CO_OCCURS", "backfill", tag, when, weight=F.col("weight")),
-            "causal": lambda: L.edge_rows(L.causal_edges(t.memories.where("memory_type = 'bug_fix'"), t.memories.where("memory_type = 'task_failed'")), "CAUSED_BY", "backfill", tag, when),
+            "similarity": similar,
+            "temporal": lambda: edges(T.predecessors(items.where(mine(F.col("session_id")))), "MEMORY_FOLLOWS"),
+            "cooccurrence": lambda: edges(L.cooccurrence_edges(t.mentions, only=None if parts == 1 else mine), "CO_OCCURS", weight=F.col("weight")),
+            "causal": lambda: edges(L.causal_edges(own.where("memory_type = 'bug_fix'"), items.where("memory_type = 'task_failed'")), "CAUSED_BY"),
+            "promotion": lambda: L.promotions(writepath.marks(own), tag, when),
+            "compaction": lambda: L.compactions(writepath.marks(own), tag, when),
         }
-        makers |= {"promotion": lambda: L.promotions(writepath.marks(t.memories), tag, when), "compaction": lambda: L.compactions(writepath.marks(t.memories), tag, when)}
         if kind == "entities":
-            new = writepath.mention_rows(t.memories, when, tag, "backfill").join(t.mentions, ["memory_id", "project", "name"], "left_anti")
+            new = writepath.mention_rows(own, when, tag, "backfill").join(t.mentions, ["memory_id", "project", "name"], "left_anti")
             merged, table = writepath.merged_mentions(t.mentions, new), "mentions"
         else:
-            new = E.with_endpoints(makers[kind](), t.memories)
+            new = E.with_endpoints(makers[kind](), items)
             merged, table = writepath.merged_edges(t.edges, new), "edges"
-        by = new.join(t.memories.select(F.col("memory_id").alias("__id"), F.col("project").alias("__project")), F.col("memory_id" if kind == "entities" else "source_id") == F.col("__id"))
+        by = new.join(items.select(F.col("memory_id").alias("__id"), F.col("project").alias("__project")), F.col("memory_id" if kind == "entities" else "source_id") == F.col("__id"))
         counts = {r[0]: r[1] for r in by.groupBy(F.coalesce("__project", F.lit(""))).count().collect()}
         if not dry_run:
-            self._commit({table: Change(merged)}, t)
-        return {"kind": kind, "run_id": tag, "found": sum(counts.values()), "by_project": counts, "dry_run": dry_run}
+            changes = {table: Change(merged)}
+            if parts > 1:
+                rows = [(tag, kind, part, parts, project, n) for project, n in (counts or {"": 0}).items()]
+                changes["jobs"] = Change(self.spark.createDataFrame(rows, schema.JOBS))
+            self._commit(changes, t)
+        return counts
 
     def rollback(self, run_id: str, dry_run: bool = False) -> dict[str, int]:
         """Edges of a run by type, mentions as MENTIONS; removed unless dry_run."""
@@ -202,7 +240,8 @@ class MemoryStore:
         _, removed = E.rollback(t.edges, run_id)
         _, mentioned = E.rollback(t.mentions.withColumn("edge_type", F.lit("MENTIONS")), run_id)
         counts = {r.edge_type: r.removed for r in removed.unionByName(mentioned).groupBy("edge_type").agg(F.sum("removed").alias("removed")).collect()}
-        if not dry_run and counts:
+        jobs = t.snapshot.table("jobs").where(F.col("run_id") == run_id.strip()).select("run_id", "kind", "part", "project")
+        if not dry_run and (counts or not jobs.isEmpty()):
             own = lambda name: Change(deletes=getattr(t, name).where(E.matching(run_id=run_id.strip())).select(*writepath.KEYS[name]))
-            self._commit({"edges": own("edges"), "mentions": own("mentions")}, t)
+            self._commit({"edges": own("edges"), "mentions": own("mentions"), "jobs": Change(deletes=jobs)}, t)
         return counts

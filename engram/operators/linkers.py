@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,12 +51,12 @@ def shared_entity_neighbors(mentions: DataFrame, hub: int = DEFAULTS.hub_degree,
     return out.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap: int = DEFAULTS.per_entity_cap, least: int = DEFAULTS.min_shared, latest: bool = False) -> DataFrame:
+def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap: int = DEFAULTS.per_entity_cap, least: int = DEFAULTS.min_shared, latest: bool = False, only: Callable[[Column], Column] | None = None) -> DataFrame:
     """(source_id, target_id, shared, weight): pairs of items with several common entities, weighted by rarity.
 
     From each item the first `cap` others of an entity count, by id or, with latest, those seen last; a pair is decided from its smaller
     id, or from the other one if that side has too few. weight = sum of ln(max degree / degree)
-    over the shared entities, / 10, within 0.01 and 1, to 4 places.
+    over the shared entities, / 10, within 0.01 and 1, to 4 places. With `only`, the pairs whose smaller id it holds for.
     """
     kept = without_hubs(mentions, hub).withColumn("top_degree", F.max("degree").over(W.partitionBy("project", "memory_id")))
     order = ["memory_id"]
@@ -66,6 +68,7 @@ def cooccurrence_edges(mentions: DataFrame, hub: int = DEFAULTS.hub_degree, cap:
     right = kept.where(F.col("place") <= cap + 1).select("project", "name", F.col("memory_id").alias("other_id"), F.col("place").alias("other_place"))
     pairs = kept.join(right, ["project", "name"]).where("memory_id != other_id")
     pairs = pairs.where(F.col("other_place") - (F.col("place") < F.col("other_place")).cast("int") <= cap)
+    pairs = pairs if only is None else pairs.where(only(F.least("memory_id", "other_id")))
     weight = F.sum(F.log(F.greatest(F.col("top_degree") / F.col("degree"), F.lit(1.0)))) / 10
     by_side = pairs.groupBy("memory_id", "other_id").agg(F.count("*").alias("shared"), weight.alias("w")).where(F.col("shared") >= least)
     ends = by_side.select(F.least("memory_id", "other_id").alias("source_id"), F.greatest("memory_id", "other_id").alias("target_id"), "memory_id", "shared", "w")

@@ -15,3 +15,5 @@ FOLLOWS = "session_id string, prev_session_id string"
 TIMELINE = "scope string, event_seq long, memory_id string, memory_type string, project string, session_id string"
 
 EDGE_KEY = ["source_id", "target_id", "edge_type"]
+#: Parts of batch jobs whose rows are in the store.
+JOBS = "run_id string, kind string, part int, parts int, project string, found long"
