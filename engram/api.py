@@ -17,10 +17,11 @@ from engram.operators import ops as O
 from engram.operators import retrieval as Q
 from engram.operators import timeline as T
 from engram.operators.cache import VectorCache
+from engram.operators.objectives import Objective, Watch
 from engram.operators.snapshots import Change, SnapshotStore
 from engram.operators.store import partial_update
 from engram.plans import retrieve, writepath
-from engram.settings import DEFAULTS, Settings
+from engram.settings import DEFAULTS, EDGE_TYPES, Settings
 from engram.sources.readers import Embedder, HashEmbedder, embed
 
 TABLES = {
@@ -119,7 +120,7 @@ class MemoryStore:
     # ------------------------------------------------------------ reads
 
     def query(self, text: str, top_k: int = 15, expand_graph: bool = False, intent: str = "general", now: Column | None = None, names: list[str] | None = None, **filters) -> DataFrame:
-        """Ranked items of a query; filters: category, run_id, tags, min_score."""
+        """Ranked items of a query; filters: category, run_id, tags, min_score. names: whose items are looked for along edges; None: those the query mentions."""
         t = self.tables()
         src = retrieve.Sources(t.memories, t.edges, t.mentions, t.sessions, t.includes, self.settings)
         out = retrieve.answer(src, text, self.embedder([text])[0], F.current_timestamp() if now is None else now, clamp(top_k, 1, 200), expand_graph, intent, names)
@@ -153,8 +154,10 @@ class MemoryStore:
     def graph(self, id: str, hops: int = 2) -> tuple[DataFrame, DataFrame]:  # noqa: A002
         return G.ego(self.table("edges"), id, clamp(hops, 1, 3))
 
-    def provenance(self, id: str, max_depth: int = 10) -> tuple[DataFrame, DataFrame]:  # noqa: A002
-        return G.provenance(self.table("edges"), self.spark.createDataFrame([(id,)], "start string"), clamp(max_depth, 1, 10))
+    def provenance(self, id: str, max_depth: int = 10, most: int | None = 30) -> tuple[DataFrame, DataFrame]:  # noqa: A002
+        """Ancestors of an item, the first `most` of them (None: all), and a summary that says whether there are more."""
+        chain, summary = G.provenance(self.table("edges"), self.spark.createDataFrame([(id,)], "start string"), clamp(max_depth, 1, 10))
+        return (chain, summary.withColumn("truncated", F.lit(False))) if most is None else G.capped(chain, summary, most)
 
     def entity_memories(self, name: str, project: str, limit: int = 20) -> DataFrame:
         return L.memories_of(self.table("mentions"), project, name.strip().lower(), limit)
@@ -167,8 +170,19 @@ class MemoryStore:
         t = self.tables()
         return {n: getattr(t, n).count() for n in TABLES}
 
+    def audit(self) -> DataFrame:
+        """What the tables hold: rows, values by column, keys that are missing or repeated, properties, edges and items by type."""
+        t = self.tables()
+        kinds = {"edges": ("edge_type", list(EDGE_TYPES)), "memories": ("memory_type", [])}
+        return O.audit({n: getattr(t, n) for n in TABLES}, writepath.KEYS, kinds)
+
     # ------------------------------------------------------------ batch jobs
 
+    def check_objectives(self, samples: DataFrame, objectives: list[Objective], date: str, dry_run: bool = False, notes_path: str | None = None) -> list[dict]:
+        """Results of a day's objectives; the day's edges by type are its totals. State and alerts lie beside the store's tables."""
+        counts = self.table("edges").groupBy(F.col("edge_type").alias("type")).agg(F.count("*").alias("n"))
+        return Watch(self.spark, f"{self.path}/watch", notes_path=notes_path).check(samples, objectives, counts, date, dry_run)
+
     def backfill(self, kind: str, run_id: str, now: Column | None = None, dry_run: bool = False, parts: int = 1) -> dict:
         """Recompute one kind of edges over all items: similarity, temporal, cooccurrence, causal, entities, promotion or compaction.
 

@@ -280,6 +280,18 @@ def provenance(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tupl
     return chain, summary
 
 
+def capped(chain: DataFrame, summary: DataFrame, most: int = 30) -> tuple[DataFrame, DataFrame]:
+    """provenance() with the first `most` ancestors of each start, by depth and then node; the summary says by `truncated` whether there are more.
+
+    Where a chain is cut, its sources are those that are left in it. A node is once in a chain, so its order is total.
+    """
+    first = chain.withColumn("__n", F.row_number().over(W.partitionBy("start").orderBy("depth", "node"))).where(F.col("__n") <= most + 1)
+    sizes = first.groupBy("start").agg((F.count("*") > most).alias("truncated"), F.array_sort(F.collect_list(F.when(F.col("__n") <= most, F.col("node")))).alias("__left"))
+    out = summary.join(sizes, "start", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+    sources = F.when(F.col("truncated"), F.array_intersect("original_sources", "__left")).otherwise(F.col("original_sources"))
+    return first.where(F.col("__n") <= most).drop("__n"), out.withColumn("original_sources", sources).drop("__left")
+
+
 def session_chain(follows: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
     """(start, session_id, distance): each start and the sessions before it."""
     frontier = starts.select("start", F.col("start").alias("session_id"), F.lit(0).alias("distance"))

@@ -129,3 +129,41 @@ def catalog(tables: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFra
         one = one.select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).alias("n_columns"), "n", "duplicate_keys")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def audit(tables: dict[str, DataFrame], keys: dict[str, list[str]], kinds: dict[str, tuple[str, list[str]]] | None = None) -> DataFrame:
+    """(section, table_name, item, n) of what the tables hold, two passes a table.
+
+    rows: the table's rows. columns: the values of each column that are not null. properties: the rows that hold each key of each map column.
+    missing_keys: rows with a null in the key. repeated_keys: keys of more than one row. kinds: rows of each value of a table's kind
+    column, (column, expected values); a value that is expected and not there has 0 rows, a null one is (null).
+    """
+    out = []
+
+    def put(section: str, name: str, rows: DataFrame, item: Column, n: Column) -> None:
+        out.append(rows.select(F.lit(section).alias("section"), F.lit(name).alias("table_name"), item.alias("item"), F.coalesce(n, F.lit(0)).cast("long").alias("n")))
+
+    for name, df in tables.items():
+        key = keys[name]
+        no_key = F.lit(False)
+        for k in key:
+            no_key = no_key | F.col(k).isNull()
+        one = df.agg(F.count("*").alias("__rows"), F.count_if(no_key).alias("__missing"), *(F.count(c).alias(f"c_{i}") for i, c in enumerate(df.columns)))
+        cells = [("rows", F.lit(""), F.col("__rows")), ("missing_keys", F.lit(",".join(key)), F.col("__missing")), *(("columns", F.lit(c), F.col(f"c_{i}")) for i, c in enumerate(df.columns))]
+        flat = one.select(F.explode(F.array(*(F.struct(F.lit(s).alias("section"), i.alias("item"), v.alias("n")) for s, i, v in cells))).alias("e"))
+        out.append(flat.select("e.section", F.lit(name).alias("table_name"), "e.item", "e.n"))
+        groups = df.where(~no_key).groupBy(*key).agg(F.count("*").alias("c"))
+        put("repeated_keys", name, groups.agg(F.count_if(F.col("c") > 1).alias("n")), F.lit(",".join(key)), F.col("n"))
+        for c, t in df.dtypes:
+            if t.startswith("map<string"):
+                held = df.select(F.explode(F.map_keys(F.col(c))).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+                put("properties", name, held, F.concat(F.lit(f"{c}."), "k"), F.col("n"))
+        if kinds and name in kinds:
+            column, expected = kinds[name]
+            found = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("(null)")).alias("k")).agg(F.count("*").alias("n"))
+            wanted = df.sparkSession.createDataFrame([(v,) for v in expected], "k string")
+            put("kinds", name, found.join(wanted, "k", "full"), F.col("k"), F.col("n"))
+    rows = out[0]
+    for more in out[1:]:
+        rows = rows.unionByName(more)
+    return rows

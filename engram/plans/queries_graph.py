@@ -120,6 +120,22 @@ def provenance_sources(spark, d):
     return G.provenance(*versions(spark, d), 6)[1].select("start", F.array_join("original_sources", ",").alias("sources"), "depth", "depth_limited")
 
 
+@query(
+    "provenance_capped",
+    f"""with recursive {VERSIONS_SQL}, gone as (select distinct start, path[len(path) - 1] as node from w), a as (select start, node, min(depth) as depth from w group by 1, 2),
+    r as (select *, row_number() over (partition by start order by depth, node) as place, count(*) over (partition by start) as n, (start, node) in (select (start, node) from gone) as left_again from a)
+    select s as start, coalesce(string_agg(node::VARCHAR, ',' order by place) filter (place <= 5), '') as chain, string_agg(node::VARCHAR, ',' order by node) filter (not left_again and (place <= 5 or n <= 5)) as sources, coalesce(max(n), 0) > 5 as truncated
+    from v left join r on r.start = s where s % 50 = 0 group by 1""",
+)
+def provenance_capped(spark, d):
+    """The first five ancestors of each start and the sources that are among them."""
+    edges, starts = versions(spark, d)
+    chain, summary = G.capped(*G.provenance(edges, starts, 6), 5)
+    first = chain.groupBy("start").agg(F.array_sort(F.collect_list(F.struct("depth", "node"))).alias("c"))
+    out = summary.join(first, "start", "left").withColumn("chain", F.coalesce(F.array_join(F.transform("c", lambda e: e["node"].cast("string")), ","), F.lit("")))
+    return out.select("start", "chain", F.when(F.size("original_sources") > 0, F.array_join("original_sources", ",")).alias("sources"), "truncated")
+
+
 @query("session_chain", "with recursive f as (select * from (select distinct conv_id as s, lag(conv_id) over (order by conv_id) as p from (select distinct conv_id from conversations)) where p is not null), c(start, session_id, distance) as (select conv_id, conv_id, 0 from (select distinct conv_id from conversations) union all select start, p, distance + 1 from c join f on s = session_id where distance < 5) select * from c", longs="distance")
 def session_chain(spark, d):
     from engram.operators import timeline as T

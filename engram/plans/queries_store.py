@@ -9,12 +9,14 @@ from engram.operators import edges as E
 from engram.operators import evaluation as EV
 from engram.operators import linkers as L
 from engram.operators import metrics as M
+from engram.operators import objectives as B
 from engram.operators import ops as O
 from engram.operators import store as S
 from engram.operators import timeline as T
 from engram.operators.retrieval import context, first_branch, within_budget
 from engram.plans import adapters as A
 from engram.plans.base import query
+from engram.settings import EDGE_TYPES
 
 # ---------------------------------------------------------------- timelines and sessions
 
@@ -24,7 +26,7 @@ def recent_events(spark, d):
     return T.recent(A.events(spark, d), 20, T.recent_filter(project=7)).select("memory_id", "memory_type")
 
 
-@query("recent_since_seq", "select event_id as memory_id from events where event_id >= 500 order by event_id limit 100000")
+@query("recent_since_seq", "select event_id as memory_id from events where event_id >= 500")
 def recent_since_seq(spark, d):
     return T.since(A.events(spark, d), 500).select("memory_id")
 
@@ -314,6 +316,87 @@ def daily_deviation(spark, d):
     return r.withColumn("day", F.col("day").cast("string")).withColumn("delta", F.col("delta").cast("double"))
 
 
+DAYS_SQL = "select ts::DATE as day, count(*) as n from events group by 1"
+ASKED = [
+    ("p95_error", "error", "p95", 20.0, "less_than"), ("p95_click", "click", "p95", 1000.0, "less_than"), ("p95_view", "view", "p95", 1.0, "greater_than"), ("p95_none", "absent", "p95", 1.0, "less_than"),
+    ("rate_0", "u0", "error_rate", 0.01, "less_than"), ("rate_1", "u1", "error_rate", 0.9, "less_than"), ("change", "all", "daily_change", 2.0, "bounded"),
+]
+
+
+@query(
+    "objectives",
+    "with o(name, metric, kind, threshold, direction) as (values " + ", ".join(f"('{n}', '{m}', '{k}', {t}::DOUBLE, '{w}')" for n, m, k, t, w in ASKED) + "), "
+    "b(le) as (values (1.0::DOUBLE), (5), (10), (25), (50), (100), ('inf'::DOUBLE)), c as (select event_type as metric, le, count(*) filter (where value <= le)::DOUBLE as cum from events, b group by 1, 2), "
+    "w as (select *, lag(le, 1, 0) over (partition by metric order by le) as below, lag(cum, 1, 0) over (partition by metric order by le) as before, max(cum) over (partition by metric) * 0.95 as target from c), "
+    "a as (select metric, 'p95' as kind, arg_min(case when le = 'inf'::DOUBLE then below when cum - before <= 0 then le else below + (target - before) / (cum - before) * (le - below) end, le) as actual from w where cum >= target group by 1 "
+    "union all select 'u' || (user_id % 5), 'error_rate', count(*) filter (where event_type = 'error')::DOUBLE / count(*) from events group by 1), "
+    f"d as ({DAYS_SQL}), x as (select *, n - lag(n) over (order by day) as delta from d), l as (select * from x order by day desc limit 1), m as (select case when count(delta) >= 3 then quantile_cont(delta, 0.5) end as m from x where day < (select day from l)), "
+    "s as (select o.*, case kind when 'daily_change' then (select case when m is not null then delta::DOUBLE end from l, m) else a.actual end as actual from o left join a using (metric, kind)) "
+    "select name, metric, kind, case when actual is null then 'no_data' when kind = 'daily_change' then (select case when (m > 0 and (delta > m * 2 or delta < m / 2)) or (m < 0 and (delta > m / 2 or delta < m * 2)) or (m = 0 and abs(delta) >= 2) then 'violation' else 'ok' end from l, m) "
+    "when direction = 'less_than' and actual < threshold or direction = 'greater_than' and actual > threshold then 'ok' else 'violation' end as status, round(actual, 6) as actual, threshold, direction from s",
+)
+def objectives(spark, d):
+    """Objectives of the events' values, error rates and days, from the samples that a metric text would hold."""
+    rows = A.events(spark, d)
+    label = lambda k, v: F.create_map(F.lit(k), v)
+    buckets = O.to_buckets(rows.withColumnRenamed("memory_type", "metric"), "value", BOUNDS, ["metric"])
+    samples = buckets.select("metric", F.lit("_bucket").alias("suffix"), label("le", F.col("le").cast("string")).alias("labels"), "value")
+    made = rows.groupBy(F.concat(F.lit("u"), (F.col("project") % 5).cast("string")).alias("metric"), F.when(F.col("memory_type") == "error", "error").otherwise("ok").alias("outcome")).agg(F.count("*").cast("double").alias("value"))
+    samples = samples.unionByName(made.select("metric", F.lit("_total").alias("suffix"), label("outcome", F.col("outcome")).alias("labels"), "value"))
+    daily = rows.groupBy(F.to_date("event_time").cast("string").alias("date")).agg(F.count("*").alias("total"))
+    last = daily.agg(F.max("date")).first()[0]  # one value
+    return B.evaluate(samples, [B.Objective(*a) for a in ASKED], daily, last).withColumn("actual", F.round("actual", 6))
+
+
+@query(
+    "daily_state",
+    "with c as (select ts::DATE as d, event_type as t, count(*) as n from events group by 1, 2) select d::VARCHAR as date, sum(n) as total, string_agg(t || '=' || n, ',' order by t) as types from c group by 1 order by 1 desc limit 7", longs="total",
+)
+def daily_state(spark, d):
+    """The state of the last seven days after two runs: the second replaces the totals of the first, which saw every other event."""
+    import uuid
+
+    from engram.operators.lineage import shared_folder
+
+    watch = B.Watch(spark, f"{shared_folder(spark)}/watch-{uuid.uuid4().hex}")
+    rows = A.events(spark, d).select(F.to_date("event_time").cast("string").alias("date"), F.col("memory_type").alias("type"), "memory_id")
+    count = lambda r: r.groupBy("date", "type").agg(F.count("*").alias("n"))
+    watch.record(count(rows.where("memory_id % 2 = 1")))
+    watch.record(count(rows))
+    pairs = F.transform(F.array_sort(F.map_entries("by_type")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return watch.daily().select("date", "total", F.array_join(pairs, ",").alias("types"))
+
+
+AUDITED = {
+    "documents": ("doc_id", "doc_id text lang source n_chars", ("lang", "en fr de xx")), "conversations": ("conv_id,turn", "conv_id turn role text", ("role", "user assistant system")),
+    "edges": ("source_id,target_id,edge_type", "source_id target_id edge_type weight created_at last_seen_at created_by run_id", ("edge_type", " ".join(EDGE_TYPES))), "events": ("event_id", "event_id event_type user_id value props", None),
+}
+
+
+def _audit_sql() -> str:
+    parts = []
+    for t, (key, columns, kinds) in AUDITED.items():
+        missing = " or ".join(f"{k} is null" for k in key.split(","))
+        parts += [f"select 'rows' as section, '{t}' as table_name, '' as item, count(*) as n from {t}", f"select 'missing_keys', '{t}', '{key}', count(*) filter (where {missing}) from {t}"]
+        parts += [f"select 'repeated_keys', '{t}', '{key}', count(*) from (select 1 from {t} where not ({missing}) group by {key} having count(*) > 1)"]
+        parts += [f"select 'columns', '{t}', '{c}', count({c}) from {t}" for c in columns.split()]
+        if kinds:
+            wanted = ", ".join(f"('{v}')" for v in kinds[1].split())
+            parts += [f"select 'kinds', '{t}', coalesce(k, v), coalesce(c, 0) from (select coalesce({kinds[0]}, '(null)') as k, count(*) as c from {t} group by 1) full join (values {wanted}) e(v) on k = v"]
+    parts += ["select 'properties', 'events', 'props.' || k, count(*) from (select unnest(json_keys(props)) as k from events) group by k"]
+    return f"with {A.EDGES_SQL} select section, table_name, item, n::BIGINT as n from (" + " union all ".join(parts) + ")"
+
+
+@query("schema_audit", _audit_sql())
+def schema_audit(spark, d):
+    props = F.from_json("props", "map<string,string>").alias("props")
+    events = A.table(spark, d, "events").select("event_id", "event_type", "user_id", "value", props)
+    frames = {"documents": A.table(spark, d, "documents"), "conversations": A.table(spark, d, "conversations"), "edges": A.edges(spark, d), "events": events}
+    tables = {t: frames[t].select(*columns.split()) for t, (_, columns, _) in AUDITED.items()}
+    kinds = {t: (k[0], k[1].split()) for t, (_, _, k) in AUDITED.items() if k}
+    return O.audit(tables, {t: key.split(",") for t, (key, _, _) in AUDITED.items()}, kinds)
+
+
 @query("compaction_audit", f"with {A.EDGES_SQL}, c as (select * from edges where edge_type = 'COMPACTED_FROM') select count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') as recent, count(*) as total, case when count(*) filter (where created_at >= timestamp '1998-01-01 00:00:00') > 0 then 'ok' when count(*) > 0 then 'alert_regression' else 'alert_dead_letter' end as status from c")
 def compaction_audit(spark, d):
     return O.compaction_audit(A.edges(spark, d), F.lit("1998-01-01 00:00:00").cast("timestamp")).select("recent", "total", "status")

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.functions import entities as N
 from engram.functions import router as R
 from engram.operators import graph as G
 from engram.operators import retrieval as Q
@@ -17,6 +18,9 @@ from engram.settings import DEFAULTS, Settings
 #: Item types that the decision and pattern modes look at first.
 MODE_TYPES = {"DECISION": ["decision", "plan", "strategy"], "PATTERN": ["pattern", "workflow", "best_practice", "context"]}
 
+#: Names of a query that are looked for along edges.
+NAMED = 5
+
 
 @dataclass
 class Sources:
@@ -67,8 +71,14 @@ def semantic(src: Sources, vector: list[float], now: Column, names: list[str] |
 
 
 def answer(src: Sources, query: str, vector: list[float], now: Column, top: int | None = None, expand: bool = False, intent: str = "general", names: list[str] | None = None) -> DataFrame:
-    """One query by its mode, with routing_mode; expanded over the graph if asked and if the mode allows it."""
-    mode = src.memories.sparkSession.range(1).select(R.route(F.lit(query)).alias("m")).first().m
+    """One query by its mode, with routing_mode; expanded over the graph if asked and if the mode allows it.
+
+    names: whose items are starts of a walk over the edges; None: the first NAMED names that the query mentions.
+    """
+    read = src.memories.sparkSession.range(1).select(R.route(F.lit(query)).alias("m"), N.query_mentions(F.lit(query)).alias("e")).first()
+    mode = read.m
+    if names is None:
+        names = [e.name for e in read.e or []][:NAMED]
     s = src.settings
     top = top or s.top_k_final
     if mode == "TEMPORAL":
