@@ -205,40 +205,33 @@ QUERIES = [
 ]
 
 
-def _query_rows(spark):
-    return spark.createDataFrame(list(enumerate(QUERIES)), "query_id long, q string")
+# the modes that these have by the rules, and by the older rules
+MODES = ["DECISION", "DECISION", "PATTERN", "SESSION", "TEMPORAL_SEMANTIC", "GRAPH", "VECTOR", "HYBRID", "HYBRID", "HYBRID", "DECISION", "SESSION", "PATTERN", "HYBRID", "GRAPH", "GRAPH", "VECTOR", "DECISION"]
+OLDER = ["HYBRID", "HYBRID", "VECTOR", "HYBRID", "HYBRID", "GRAPH", "VECTOR", "HYBRID", "HYBRID", "HYBRID", "HYBRID", "HYBRID", "HYBRID", "HYBRID", "GRAPH", "HYBRID", "HYBRID", "HYBRID"]
 
 
-_VALUES = "qs(query_id, q) as (values " + ", ".join("({}, '{}')".format(i, q.replace("'", "''")) for i, q in enumerate(QUERIES)) + ")"
+def _phrased(spark, d, phrases: list[str]):
+    """Every conversation turn as a query: one of the phrases before its text, by its number."""
+    one = F.element_at(F.array(*map(F.lit, phrases)), (F.col("memory_id") % len(phrases) + 1).cast("int"))
+    return A.turns(spark, d).select(F.col("memory_id").alias("query_id"), F.concat(one, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
-def _route_sql() -> str:
-    esc = lambda p: p.replace("'", "''")
-    sums = ", ".join("(" + " + ".join(f"regexp_matches(t, '{esc(p)}')::INT" for p in ps) + f") as {m}" for m, ps in R.PATTERNS.items())
-    kinds = " + ".join(f"({m} > 0)::INT" for m in R.PATTERNS)
-    most = "greatest(" + ", ".join(R.PATTERNS) + ")"
-    ties = " ".join(f"when {m} = most then '{m}'" for m in R.PRIORITY)
-    return (
-        f"with {_VALUES}, a as (select query_id, trim(lower(q)) as t from qs), b as (select query_id, {sums} from a), c as (select *, {kinds} as kinds, {most} as most from b) "
-        f"select query_id, case when most = 0 then 'HYBRID' when kinds = 2 and SESSION > 0 and TEMPORAL > 0 then 'SESSION' "
-        f"when TEMPORAL > 0 and kinds > 1 and kinds = 1 + (VECTOR > 0)::INT + (GRAPH > 0)::INT then 'TEMPORAL_SEMANTIC' {ties} else 'HYBRID' end as mode from c"
-    )
+def _phrases_sql(phrases: list[str], *more: list) -> str:
+    """turns with each one's phrase (p) and what goes with it (m0, m1, ...)."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    rows = ", ".join("(" + ", ".join(map(quoted, (i, p, *(m[i] for m in more)))) + ")" for i, p in enumerate(phrases))
+    names = ", ".join(["i", "p", *(f"m{k}" for k in range(len(more)))])
+    return f"{A.TURNS_SQL}, phrases({names}) as (values {rows}), asked as (select memory_id as query_id, phrases.*, p || ' ' || coalesce(text, '') as q from turns join phrases on memory_id % {len(phrases)} = i)"
 
 
-@query("route_queries", _route_sql(), longs="query_id")
+@query("route_queries", f"with {_phrases_sql(QUERIES, MODES)} select query_id, m0 as mode from asked")
 def route_queries(spark, d):
-    return _query_rows(spark).select("query_id", R.route(F.col("q")).alias("mode"))
+    return _phrased(spark, d, QUERIES).select("query_id", R.route(F.col("q")).alias("mode"))
 
 
-def _any(words) -> str:
-    return "(" + " or ".join(f"contains(t, '{w}')" for w in words) + ")"
-
-
-@query(
-    "route_queries_legacy",
-    f"with {_VALUES}, a as (select query_id, lower(q) as t from qs), b as (select query_id, {_any(R.VECTOR_WORDS)} as v, {_any(R.GRAPH_WORDS)} as g from a) select query_id, case when v and not g then 'VECTOR' when g and not v then 'GRAPH' else 'HYBRID' end as mode from b", longs="query_id")
+@query("route_queries_legacy", f"with {_phrases_sql(QUERIES, OLDER)} select query_id, m0 as mode from asked")
 def route_queries_legacy(spark, d):
-    return _query_rows(spark).select("query_id", R.route_by_keywords(F.col("q")).alias("mode"))
+    return _phrased(spark, d, QUERIES).select("query_id", R.route_by_keywords(F.col("q")).alias("mode"))
 
 
 @query(
@@ -269,14 +262,17 @@ def composite_score(spark, d):
 
 @query(
     "duplicate_action",
-    """with f(found) as (values (true), (false)), e(explicit) as (values ('skip'), ('update'), ('append'), ('other'), (null)), c(category) as (values ('debug'), ('scratch'), ('decision'), ('research'), ('context'), ('pattern'), ('x'), (null))
-    select found, explicit, category, case when not found then 'append' when explicit in ('skip', 'update', 'append') then explicit when category in ('debug', 'scratch') then 'skip' when category = 'decision' then 'update'
-      when category in ('research', 'context', 'pattern') then 'append' else 'skip' end as action from f, e, c""",
+    """with e as (select event_id as memory_id, event_id % 2 = 0 as found, (['skip', 'update', 'append', 'other', null])[(event_id // 2 % 5)::INT + 1] as explicit,
+      (['debug', 'scratch', 'decision', 'research', 'context', 'pattern', 'x', null])[(event_id // 10 % 8)::INT + 1] as category from events)
+    select *, case when not found then 'append' when explicit in ('skip', 'update', 'append') then explicit when category in ('debug', 'scratch') then 'skip' when category = 'decision' then 'update'
+      when category in ('research', 'context', 'pattern') then 'append' else 'skip' end as action from e""",
 )
 def duplicate_action(spark, d):
-    rows = [(f, e, c) for f in (True, False) for e in ("skip", "update", "append", "other", None) for c in ("debug", "scratch", "decision", "research", "context", "pattern", "x", None)]
-    df = spark.createDataFrame(rows, "found boolean, explicit string, category string")
-    return df.withColumn("action", X.duplicate_action(F.col("found"), F.col("explicit"), F.col("category")))
+    pick = lambda values, step: F.get(F.array(*map(F.lit, values)), F.pmod(F.floor(F.col("memory_id") / step), F.lit(len(values))).cast("int"))
+    explicit = pick(("skip", "update", "append", "other", None), 2)
+    category = pick(("debug", "scratch", "decision", "research", "context", "pattern", "x", None), 10)
+    rows = A.events(spark, d).select("memory_id", (F.col("memory_id") % 2 == 0).alias("found"), explicit.alias("explicit"), category.alias("category"))
+    return rows.withColumn("action", X.duplicate_action(F.col("found"), F.col("explicit"), F.col("category")))
 
 
 @query(
@@ -323,10 +319,20 @@ def content_entities(spark, d):
 MENTIONING = ["Ask Neo4j Team about the API", "redis and python with docker", "nothing here", "The Circuit Breaker of New York uses the SDK", "LLM LLM MT5"]
 
 
-@query("query_entities")
+# what they mention: place, name, kind, confidence
+MENTIONED = [
+    [("neo4j", "technology", 1.0), ("API", "technology", 0.8)],
+    [("redis", "technology", 1.0), ("python", "technology", 1.0), ("docker", "technology", 1.0)],
+    [],
+    [("circuit breaker", "concept", 1.0), ("SDK", "technology", 0.8), ("The Circuit Breaker", "unknown", 0.6), ("New York", "unknown", 0.6)],
+    [("mt5", "technology", 1.0), ("LLM", "technology", 0.8)],
+]
+_MENTIONED_SQL = ", ".join(f"({i}, {k}, '{n}', '{t}', {c}::DOUBLE)" for i, rows in enumerate(MENTIONED) for k, (n, t, c) in enumerate(rows))
+
+
+@query("query_entities", f"with {_phrases_sql(MENTIONING)}, found(i, place, name, entity_type, confidence) as (values {_MENTIONED_SQL}) select query_id, place, name, entity_type, confidence from asked join found using (i)", longs="place")
 def query_entities(spark, d):
-    rows = spark.createDataFrame(list(enumerate(MENTIONING)), "query_id long, q string")
-    found = rows.select("query_id", F.posexplode(N.query_mentions(F.col("q"))).alias("place", "e"))
+    found = _phrased(spark, d, MENTIONING).select("query_id", F.posexplode(N.query_mentions(F.col("q"))).alias("place", "e"))
     return found.select("query_id", "place", "e.name", "e.entity_type", "e.confidence")
 
 
@@ -335,22 +341,25 @@ DATES = ["what did we do today", "Yesterday we met", "plans of last week", "Last
 
 @query(
     "relative_dates",
-    "with t(id, q) as (values " + ", ".join(f"({i}, '{q}')" for i, q in enumerate(DATES)) + """)
-    select id, replace(replace(replace(replace(replace(replace(replace(replace(q, 'today', 'February 01, 2024'), 'Today', 'February 01, 2024'), 'yesterday', 'January 31, 2024'), 'Yesterday', 'January 31, 2024'),
-      'last week', 'between January 22, 2024 and January 28, 2024'), 'Last week', 'between January 22, 2024 and January 28, 2024'), 'last month', 'between January 01, 2024 and January 31, 2024'), 'Last month', 'between January 01, 2024 and January 31, 2024') as resolved from t""", longs="id")
+    f"with {_phrases_sql(DATES)}" + """
+    select query_id, replace(replace(replace(replace(replace(replace(replace(replace(q, 'today', 'February 01, 2024'), 'Today', 'February 01, 2024'), 'yesterday', 'January 31, 2024'), 'Yesterday', 'January 31, 2024'),
+      'last week', 'between January 22, 2024 and January 28, 2024'), 'Last week', 'between January 22, 2024 and January 28, 2024'), 'last month', 'between January 01, 2024 and January 31, 2024'), 'Last month', 'between January 01, 2024 and January 31, 2024') as resolved from asked""",
+)
 def relative_dates(spark, d):
-    rows = spark.createDataFrame(list(enumerate(DATES)), "id long, q string")
-    return rows.select("id", X.relative_dates(F.col("q"), A.now()).alias("resolved"))
+    return _phrased(spark, d, DATES).select("query_id", X.relative_dates(F.col("q"), A.now()).alias("resolved"))
 
 
 @query(
     "judge_scores",
-    """with t(id, r, n) as (values (0, '{"score": 0.7}', 2), (1, '{"score": 1.7}', 1), (2, 'junk', 3), (3, '{"score": 0}', 2)), s as (select id, n, case id when 0 then 0.7 when 3 then 0.0 end as score from t)
-    select id, score::DOUBLE as score, n as padded from s""", longs="id padded")
+    "select doc_id, case doc_id % 4 when 0 then (n_chars % 100) / 100.0::DOUBLE when 3 then 0.0::DOUBLE end as score, doc_id % 3 + 1 as padded from documents", longs="padded",
+)
 def judge_scores(spark, d):
-    rows = spark.createDataFrame([(0, '{"score": 0.7}', 2), (1, '{"score": 1.7}', 1), (2, "junk", 3), (3, '{"score": 0}', 2)], "id long, r string, n int")
+    """Replies of a judge about documents: a score between 0 and 1, one above, words, and 0."""
+    cents = F.lpad((F.col("n_chars") % 100).cast("string"), 2, "0")
+    reply = F.element_at(F.array(F.concat(F.lit('{"score": 0.'), cents, F.lit("}")), F.concat(F.lit('{"score": 2.'), cents, F.lit("}")), F.lit("junk"), F.lit('{"score": 0}')), (F.col("doc_id") % 4 + 1).cast("int"))
+    rows = A.table(spark, d, "documents").select("doc_id", reply.alias("r"), (F.col("doc_id") % 3 + 1).cast("int").alias("n"))
     scored = rows.withColumn("score", X.judged_score(F.col("r")))
-    return scored.select("id", "score", F.size(X.fit_scores(F.array("score"), F.col("n"))).alias("padded"))
+    return scored.select("doc_id", "score", F.size(X.fit_scores(F.array("score"), F.col("n"))).alias("padded"))
 
 
 @query("semantic_search")
