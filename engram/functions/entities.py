@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -64,13 +65,22 @@ def canon_text(raw: str, aliases: dict[str, str] | None = None) -> str | None:
     return (aliases or {}).get(s, s) or None
 
 
-def identifiers(text: str, limit: int = MAX_ENTITIES, aliases: dict[str, str] | None = None) -> list[str]:
-    """Names in content in order of place: paths, files, CamelCase and backticked spans, the first of each canonical form."""
-    text = text.encode("utf-8", "ignore")[:MAX_BYTES].decode("utf-8", "ignore")
+def identifiers(text: str, limit: int = MAX_ENTITIES, aliases: dict[str, str] | None = None, most: int | None = MAX_BYTES) -> list[str]:
+    """Names in content in order of place: paths, files, CamelCase and backticked spans, the first of each canonical form.
+
+    At most `limit` names, of the first `most` bytes of the content (None: of all of it).
+    """
+    text = text if most is None else text.encode("utf-8", "ignore")[:most].decode("utf-8", "ignore")
     paths = [m.span() for m in re.finditer(PATH, text)]
+    starts = [a for a, _ in paths]
+
+    def in_path(at: int) -> bool:  # paths are in order and do not overlap
+        i = bisect_right(starts, at)
+        return i > 0 and at < paths[i - 1][1]
+
     hits = [(a, text[a:b]) for a, b in paths]
     for pattern in (BARE_FILE, CAMEL_CASE):
-        hits += [(m.start(), m[0]) for m in re.finditer(pattern, text) if not any(a <= m.start() < b for a, b in paths)]
+        hits += [(m.start(), m[0]) for m in re.finditer(pattern, text) if not in_path(m.start())]
     hits += [(m.start(1), m[1]) for m in re.finditer(BACKTICK, text)]
     first: dict[str, tuple[int, str]] = {}
     for place, raw in sorted(hits, key=lambda h: h[0]):
@@ -80,12 +90,12 @@ def identifiers(text: str, limit: int = MAX_ENTITIES, aliases: dict[str, str] |
     return [raw for _, raw in sorted(first.values(), key=lambda h: (h[0], -len(h[1])))[:limit]]
 
 
-def identifiers_of(limit: int = MAX_ENTITIES, aliases: dict[str, str] | None = None):
+def identifiers_of(limit: int = MAX_ENTITIES, aliases: dict[str, str] | None = None, most: int | None = MAX_BYTES):
     """Column function: identifiers() in Arrow batches; places of matches are beyond the built-in functions."""
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([identifiers(t or "", limit, aliases) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pa.array([identifiers(t or "", limit, aliases, most) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     return found
 

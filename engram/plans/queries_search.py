@@ -313,6 +313,7 @@ def camelcase_entities(spark, d):
 
 @query("content_entities")
 def content_entities(spark, d):
+    """Up to 20 names of each page; like a write, it reads the first 100,000 bytes of a page."""
     return A.table(spark, d, "pages").select("page_id", N.identifiers_of()(F.col("html")).alias("n")).select("page_id", F.size("n").alias("n_names"), F.array_join("n", ",").alias("names"))
 
 
