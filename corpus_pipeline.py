@@ -51,7 +51,7 @@ STAGES = [
     ("token_output", tokens),
 ]
 
-#: SQL expresses neither the smoothed perplexity nor the tokenizer; tests hold each operator against brute force, and the pipeline against its stages.
+#: SQL expresses neither the smoothed perplexity nor the tokenizer; tests hold each operator against brute force, and run() against a naive composition of the stages.
 ORACLE_SQL = None
 
 
