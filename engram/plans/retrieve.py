@@ -147,7 +147,7 @@ def answer_many(src: Sources, queries: DataFrame, now: Column, top: int | None =
     """answer() for all of queries(query_id, query, embedding), each by its mode: the modes are branches of one plan.
 
     What a mode looks at is the same for all of its queries: the recent items, the latest session, the items of its types.
-    Decisions without vectors are not looked up by a query's words here; answer() does that for one query.
+    Decisions without vectors are not looked up by a query's words here, and the names it mentions are not walked from; answer() does both for one query.
     """
     s = src.settings
     top = top or s.top_k_final
