@@ -7,8 +7,8 @@ sampled vectors and random directions at exactly the cosine that matters, it is
 the vector's own list has from there in all but 1 - recall of the trials. Scores are exact inner products,
 so what is found is right; only a neighbor in a list that is not probed is missed.
 
-Searches join queries and list entries on (project, list) in blocks of at most BLOCK_ROWS rows or so on either side,
-each one matrix product; the blocks of a list are counted, so a list that holds a third of all rows is
+Searches join queries and list entries on (project, list) in blocks of some BLOCK_VALUES components on either side,
+multiplied slice by slice; the blocks of a list are counted, so a list that holds a third of all rows is
 spread over tasks. Equal vectors are one entry with the first ids of their class, so a group of copies
 costs one entry, not the square of its rows.
 
@@ -23,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,8 +33,14 @@ from engram.settings import DEFAULTS
 
 SAMPLE = 1 << 16
 MOST_LISTS = 4096
-#: Rows of either side of one matrix product.
+#: Components of the vectors of one block, so a block's memory is the same whatever their width; every row goes to as many tasks as the other side has blocks.
+BLOCK_VALUES = 1 << 21
+#: Tables of fewer rows have blocks of these, up to FEW_BLOCKS, for the sake of more tasks.
 BLOCK_ROWS = 2048
+FEW_BLOCKS = 8
+#: Rows of the left and of the right of one matrix product, and pairs scored exactly at a time.
+SLICES = (256, 2048)
+EXACT_PAIRS = 1 << 14
 ROUNDS = 8
 
 
@@ -88,18 +95,121 @@ def probes_for(sample: np.ndarray, centroids: np.ndarray, cosine: float, recall:
     return int(np.quantile(rank, recall, method="higher")) + 1
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Norms, summed in the order of the components."""
+    return np.sqrt((x * x).cumsum(axis=1)[:, -1]) if x.shape[1] else np.zeros(len(x))
+
+
+def copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row, and each row's number among these."""
+    flat = np.ascontiguousarray(x)
+    _, first, own = np.unique(flat.view(np.dtype((np.void, max(1, flat.itemsize * flat.shape[1])))).ravel(), return_index=True, return_inverse=True)
+    return first, own.ravel()
+
+
+def first_copies(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of rows, of equal ones the first `most`: of those a list of `most` can hold no more."""
+    _, own = copies(x)
+    order = np.argsort(own, kind="stable")
+    starts = np.searchsorted(own[order], own[order])
+    return np.sort(order[np.arange(len(x)) - starts < most])
+
+
+def places(near: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is at or above its row's least."""
+    return np.divmod(np.flatnonzero(near >= least[:, None]), near.shape[1])
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, threshold: float, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, cosine): of each row of x the `top` best of y at or above the threshold, ties by place in y.
+
+    Exact: products in single precision only leave out what cannot be among the best, by a bound on their
+    error; what they leave is scored in double precision, one sum a pair, so that equal pairs have equal scores. Memory is
+    that of a few SLICES, whatever the lengths of x and y are. Copies on the left are asked once.
+    """
+    if not len(x) or not len(y):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    asked, own = copies(x)
+    kept = first_copies(y, top)
+    x, y = x[asked], y[kept]
+    nx, ny = lengths(x), lengths(y)
+    ux, uy = units(x), units(y)
+    sx, sy = ux.astype(np.float32), uy.astype(np.float32)
+    rough, fine = (x.shape[1] + 8) * 1.2e-7, (x.shape[1] + 8) * 2.3e-16
+
+    def scored(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows))
+        for low in range(0, len(rows), EXACT_PAIRS):
+            r, c = rows[low : low + EXACT_PAIRS], cols[low : low + EXACT_PAIRS]
+            blank = (nx[r] < 1e-10) | (ny[c] < 1e-10)
+            out[low : low + EXACT_PAIRS] = np.where(blank, 0.0, (x[r] * y[c]).cumsum(axis=1)[:, -1] / np.where(blank, 1.0, nx[r] * ny[c]))
+        return out
+
+    def likely(near: np.ndarray, least: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places at or above least and not surely below the top best of their row."""
+        if near.shape[1] > top:
+            least = np.maximum(least, np.partition(near, near.shape[1] - top, axis=1)[:, near.shape[1] - top] - 2 * slack)
+        return places(near, least)
+
+    found = []
+    for a in range(0, len(x), SLICES[0]):
+        n = min(SLICES[0], len(x) - a)
+        least = np.full(n, threshold)  # what a score must have to matter
+        full = np.zeros(n, bool)
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # row, column, score: by row, the best first
+        ends = [*range(SLICES[1], len(y), SLICES[1]), len(y)]
+        ends = [max(512, 4 * top), *ends] if len(y) > SLICES[1] > max(512, 4 * top) else ends  # a short one first, to have a bound
+        for low, high in zip([0, *ends], ends, strict=False):
+            near = sx[a : a + n] @ sy[low:high].T
+            hit = np.flatnonzero(near.max(axis=1) >= least - rough)
+            if not len(hit):
+                continue
+            near = near[hit]
+            some = places(near, least[hit] - rough) if full[hit].all() else likely(near, least[hit] - rough, rough)
+            if len(some[0]) > 4 * (top + 16) * len(hit):  # near copies, too close for single precision
+                parts = []
+                for i in range(0, len(hit), 256):
+                    r, c = likely(ux[a + hit[i : i + 256]] @ uy[low:high].T, least[hit[i : i + 256]] - fine, fine)
+                    parts.append((r + i, c))
+                some = tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+            rows, cols = hit[some[0]], some[1] + low
+            score = scored(rows + a, cols)
+            good = score >= threshold
+            rows, cols, score = (np.concatenate(p) for p in zip(held, (rows[good], cols[good], score[good]), strict=True))
+            by = np.lexsort((cols, -score, rows))
+            rows, cols, score = rows[by], cols[by], score[by]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            last = place == top - 1
+            least[rows[last]], full[rows[last]] = score[last], True
+            held = rows[place < top], cols[place < top], score[place < top]
+        found.append((held[0] + a, held[1], held[2]))
+    rows, cols, score = (np.concatenate(p) for p in zip(*found, strict=True))
+    # each copy on the left has the same list
+    starts = np.searchsorted(rows, np.arange(len(x) + 1))
+    size = np.diff(starts)[own]
+    take = np.repeat(starts[:-1][own] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return np.repeat(np.arange(len(own)), size), kept[cols[take]], score[take]
+
+
+def blocks(n: Column, width: Column) -> Column:
+    """In how many blocks n rows lie: of BLOCK_VALUES components each, or, where those are few, of BLOCK_ROWS rows up to FEW_BLOCKS."""
+    return F.greatest(F.ceil(n * F.greatest(width, F.lit(1)) / BLOCK_VALUES), F.least(F.lit(FEW_BLOCKS), F.ceil(n / BLOCK_ROWS)), F.lit(1)).cast("long")
+
+
 def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int, one_cell: bool = False) -> DataFrame:
     """(project, source_id, target_id, score) of left(project, cell, source_id, u) and right(project, cell, target_id, u) in equal cells.
 
     Scores at or above the threshold, of each source the `top` best of each block (ties by target_id).
     one_cell: all rows are of one project and cell, so their numbers are two counts and no join.
     """
-    blocks = lambda rows, name: rows.groupBy("project", "cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias(name))
+    counts = F.count("*"), F.coalesce(F.max(F.size("u")), F.lit(1))
+
     if one_cell:
-        n = [F.lit(max(1, -(-rows.count() // BLOCK_ROWS))) for rows in (left, right)]
-        sized = lambda rows: rows.withColumns({"lefts": n[0].cast("long"), "rights": n[1].cast("long")})
+        n = [blocks(*map(F.lit, rows.agg(*counts).first())) for rows in (left, right)]
+        sized = lambda rows: rows.withColumns({"lefts": n[0], "rights": n[1]})
     else:
-        sizes = settle(blocks(left, "lefts").join(blocks(right, "rights"), ["project", "cell"]))
+        of_cells = lambda rows, name: rows.groupBy("project", "cell").agg(blocks(*counts).alias(name))
+        sizes = settle(of_cells(left, "lefts").join(of_cells(right, "rights"), ["project", "cell"]))
         sized = lambda rows: rows.join(sizes, ["project", "cell"])
     place = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -109,16 +219,10 @@ def block_scores(left: DataFrame, right: DataFrame, threshold: float, top: int,
     kinds = dict(left.dtypes) | dict(right.dtypes)
 
     def score(one: pa.Table, two: pa.Table) -> pa.Table:
-        near = units(matrix(one["u"])) @ units(matrix(two["v"])).T if len(one) and len(two) else np.zeros((len(one), len(two)))
-        order = np.array(two["target_id"].to_pylist(), dtype=object).argsort(kind="stable") if len(two) else np.zeros(0, int)
-        near = near[:, order]  # by id, so that a stable sort leaves ties in order of ids
-        rows, cols = np.nonzero(near >= threshold)
-        by = np.lexsort((cols, -near[rows, cols], rows))
-        rows, cols = rows[by], cols[by]
-        first = np.searchsorted(rows, rows)
-        keep = np.arange(len(rows)) - first < top
-        rows, cols = rows[keep], cols[keep]
-        return pa.table({"project": one["project"].take(pa.array(rows)), "source_id": one["source_id"].take(pa.array(rows)), "target_id": two["target_id"].take(pa.array(order[cols])), "score": pa.array(near[rows, cols])})
+        if len(two):  # by id, so that ties are in order of ids
+            two = two.take(pc.sort_indices(two, [("target_id", "ascending")]))
+        rows, cols, near = best_pairs(matrix(one["u"]), matrix(two["v"]), threshold, top)
+        return pa.table({"project": one["project"].take(pa.array(rows)), "source_id": one["source_id"].take(pa.array(rows)), "target_id": two["target_id"].take(pa.array(cols)), "score": pa.array(near)})
 
     schema = f"project {kinds['project']}, source_id {kinds['source_id']}, target_id {kinds['target_id']}, score double"
     # new names on the right: both sides may come from one table
