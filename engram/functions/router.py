@@ -61,10 +61,15 @@ def mode_counts(text: Column) -> dict[str, Column]:
 def route(query: Column) -> Column:
     """The mode of a query: most patterns, ties by PRIORITY, HYBRID without any."""
     text = F.trim(F.lower(F.coalesce(query, F.lit(""))))
-    n = mode_counts(text)
-    kinds = sum(((c > 0).cast("int") for c in n.values()), F.lit(0))
+    counts = F.struct(*(c.alias(mode) for mode, c in mode_counts(text).items()))
+    # one entry, so that the decision refers to counts that are there and no pattern is matched twice
+    return F.get(F.transform(F.array(counts), _mode_of), F.lit(0))
+
+
+def _mode_of(n: Column) -> Column:
+    kinds = sum(((n[mode] > 0).cast("int") for mode in PATTERNS), F.lit(0))
     generic = (n["VECTOR"] > 0).cast("int") + (n["GRAPH"] > 0).cast("int")
-    most = F.greatest(*n.values())
+    most = F.greatest(*(n[mode] for mode in PATTERNS))
     out = F.when(most == 0, "HYBRID")
     out = out.when((kinds == 2) & (n["SESSION"] > 0) & (n["TEMPORAL"] > 0), "SESSION")
     out = out.when((n["TEMPORAL"] > 0) & (kinds > 1) & (kinds == generic + 1), "TEMPORAL_SEMANTIC")

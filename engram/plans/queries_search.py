@@ -422,5 +422,7 @@ def answers_many(spark, d):
 
     rows = _items(spark, d)
     turns = A.turns(spark, d).select(F.col("memory_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"), (F.col("memory_id") % 500).alias("vec"))
-    queries = turns.join(rows.select(F.col("memory_id").alias("vec"), "embedding"), "vec").drop("vec")
+    # no number is beyond 499, so that only those items meet the turns
+    named = A.vectors(spark, d).where("memory_id < 500").select(F.col("memory_id").alias("vec"), "embedding")
+    queries = turns.join(named, "vec").drop("vec")
     return retrieve.answer_many(retrieve.Sources(rows), queries, A.now(), 5).select("query_id", "routing_mode", "memory_id", "answer_rank")
