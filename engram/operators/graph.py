@@ -149,39 +149,47 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
     further than half of the path, and a pair whose frontiers have met grows no more. A hop keeps
     pointers to the nodes before, not paths; paths are put together for the nodes on shortest ones only.
     """
-    pair, max_depth = ["start", "goal"], max(1, min(max_depth, 10))
-    ways = settle(undirected(edges))
-    asked = settle(pairs.select(*pair).dropna().distinct())
-    ends = [asked.withColumn("node", F.col(c)) for c in pair]  # the frontiers: from the start, from the goal
+    max_depth = max(1, min(max_depth, 10))
+    # dealt by node once: no hop shuffles the edges again
+    ways = settle(E.both_ways(edges).select("node", "other").repartition("node").distinct())
+    # a pair goes by a number, so that rows are short
+    asked = settle(pairs.select("start", "goal").dropna().distinct().withColumn("pair", F.monotonically_increasing_id()))
+    ends = [asked.select("pair", F.col(c).alias("node")) for c in ("start", "goal")]  # the frontiers: from the start, from the goal
     seen, pointers = list(ends), ([], [])
-    met = ends[0].where("start = goal").withColumn("hops", F.lit(0))
-    searching = asked.where("start != goal")
+    met = asked.where("start = goal").select("pair", F.col("start").alias("node"), F.lit(0).alias("hops"))
+    searching = asked.where("start != goal").select("pair")
     for length in range(1, max_depth + 1):
         side = (length + 1) % 2
-        step = ends[side].join(searching, pair, "left_semi").join(ways, "node").select(*pair, F.col("other").alias("node"), F.col("node").alias("before"))
-        step = settle(step.join(seen[side], [*pair, "node"], "left_anti"))
+        step = ends[side].join(searching, "pair", "left_semi").join(ways, "node").select("pair", F.col("other").alias("node"), F.col("node").alias("before"))
+        if length == max_depth:  # only what meets the other frontier matters; none of that was seen, or the pair had met before
+            step = settle(step.join(ends[1 - side], ["pair", "node"], "left_semi"))
+            pointers[side].append(step)
+            met = met.unionByName(step.select("pair", "node").distinct().withColumn("hops", F.lit(len(pointers[0]))))
+            break
+        step = settle(step.join(seen[side], ["pair", "node"], "left_anti"))
         pointers[side].append(step)
-        ends[side] = step.select(*pair, "node").distinct()
+        ends[side] = step.select("pair", "node").distinct()
         seen[side] = seen[side].unionByName(ends[side])
-        here = settle(ends[side].join(ends[1 - side], [*pair, "node"], "left_semi"))
+        here = settle(ends[side].join(ends[1 - side], ["pair", "node"], "left_semi"))
         met = met.unionByName(here.withColumn("hops", F.lit(len(pointers[0]))))
-        searching = settle(searching.join(here, pair, "left_anti"))
+        searching = settle(searching.join(here, "pair", "left_anti"))
         if searching.isEmpty():
             break
 
     # from where the frontiers met back to the start: the nodes that lead there, each with its least next one
     good, onward = None, []
     for hop in range(len(pointers[0]), 0, -1):
-        here = met.where(F.col("hops") == hop).select(*pair, "node")
+        here = met.where(F.col("hops") == hop).select("pair", "node")
         good = here if good is None else good.unionByName(here)
-        step = settle(pointers[0][hop - 1].join(good, [*pair, "node"], "left_semi").groupBy(*pair, F.col("before").alias("node")).agg(F.min("node").alias("next")))
+        step = settle(pointers[0][hop - 1].join(good, ["pair", "node"], "left_semi").groupBy("pair", F.col("before").alias("node")).agg(F.min("node").alias("next")))
         onward.insert(0, step)
-        good = step.select(*pair, "node")
-    back = [p.groupBy(*pair, "node").agg(F.min("before").alias("next")) for p in reversed(pointers[1])]
-    out = met.select(*pair).distinct().withColumn("node", F.col("start")).withColumn("path", F.array("start"))
+        good = step.select("pair", "node")
+    found = settle(asked.join(met.select("pair"), "pair", "left_semi"))
+    back = [p.join(found, "pair", "left_semi").groupBy("pair", "node").agg(F.min("before").alias("next")) for p in reversed(pointers[1])]
+    out = found.withColumn("node", F.col("start")).withColumn("path", F.array("start"))
     for step in onward + back:
-        out = out.join(step, [*pair, "node"], "left").select(*pair, F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
-    return out.select(*pair, "path", (F.size("path") - 1).alias("length"))
+        out = out.join(step, ["pair", "node"], "left").select("pair", "start", "goal", F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))
+    return out.select("start", "goal", "path", (F.size("path") - 1).alias("length"))
 
 
 def strong_components(edges: DataFrame) -> DataFrame:

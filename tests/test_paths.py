@@ -40,3 +40,19 @@ def test_no_pairs_and_no_edges(spark):
     edges, none = spark.createDataFrame([], "source_id string, target_id string"), spark.createDataFrame([], "start string, goal string")
     assert G.shortest_paths(edges, none).count() == 0
     assert [r.path for r in G.shortest_paths(edges, spark.createDataFrame([("a", "a"), ("a", "b")], "start string, goal string")).collect()] == [["a"]]
+
+
+def test_the_last_hop_keeps_only_what_meets_the_other_end(spark, monkeypatch):
+    """Of 20 * 20 nodes three hops away from the start one is the goal: the others were written too."""
+    edges = [(0, i) for i in range(1, 21)] + [(i, 100 * i + j) for i in range(1, 21) for j in range(20)] + [(507, 9000)]
+    kept, settle = [], G.settle
+
+    def counted(df):
+        out = settle(df)
+        kept.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(G, "settle", counted)
+    got = G.shortest_paths(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame([(0, 9000)], "start long, goal long"), 3).collect()
+    assert [r.path for r in got] == [[0, 5, 507, 9000]]
+    assert [n for columns, n in kept if "before" in columns] == [20, 1, 1]
