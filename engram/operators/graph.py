@@ -251,7 +251,8 @@ def provenance(edges: DataFrame, starts: DataFrame, max_depth: int = 10) -> tupl
     its nodes that walks of one length can see, never with the number of walks.
     """
     depth = max(1, min(max_depth, 10))
-    rows = edges.where(F.col("edge_type").isin(*PROVENANCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "edge_type").where("node != next").distinct()
+    rows = edges.where(F.col("edge_type").isin(*PROVENANCE_TYPES)).select(F.col("source_id").alias("node"), F.col("target_id").alias("next"), "edge_type").where("node != next")
+    rows = settle(rows.distinct())  # each hop reads them
     near = frontier = settle(starts.select(F.col("start").alias("node")).distinct())
     for _ in range(depth):  # the part of the graph that the starts reach
         step = frontier.join(rows, "node").select(F.col("next").alias("node")).distinct()
