@@ -6,6 +6,8 @@ shared folder), so a plan never holds the hops before, and a lost executor costs
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,11 @@ from engram.operators.lineage import settle
 from engram.operators.linkers import shared_entity_neighbors
 from engram.settings import DEFAULTS, DIRECTED_TYPES, INTENT_TYPES, PROVENANCE_TYPES, Settings
 
+#: Neighbors in one row of a table of neighbors, at most.
+LIST_NODES = 1024
+#: Rows (pair, node) of a frontier that one slice of the last hop starts from, about.
+FRONTIER_ROWS = 1 << 25
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(node, other): distinct pairs, both ways."""
@@ -141,6 +148,13 @@ def shortest_path(edges: DataFrame, start, goal, max_depth: int = 4) -> DataFram
     return shortest_paths(edges, pair, max_depth).select("path", "length")
 
 
+def _adjacent(edges: DataFrame, parts: int) -> DataFrame:
+    """(node, others): the distinct neighbors of each node, in lists of at most LIST_NODES, dealt and sorted by node: no hop shuffles them again."""
+    ways = E.both_ways(edges).select("node", "other").dropna().where("node != other").repartition(parts, "node").distinct()
+    ways = ways.withColumn("nth", F.floor((F.row_number().over(W.partitionBy("node").orderBy("other")) - 1) / LIST_NODES))
+    return settle(ways.groupBy("node", "nth").agg(F.collect_list("other").alias("others")).select("node", "others").sortWithinPartitions("node"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
     """(start, goal, path, length) of pairs(start, goal): a shortest undirected path of each, the least one by ids.
 
@@ -150,23 +164,32 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
     pointers to the nodes before, not paths; paths are put together for the nodes on shortest ones only.
     """
     max_depth = max(1, min(max_depth, 10))
-    # dealt by node once: no hop shuffles the edges again
-    ways = settle(E.both_ways(edges).select("node", "other").repartition("node").distinct())
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ways = _adjacent(edges, parts)
     # a pair goes by a number, so that rows are short
     asked = settle(pairs.select("start", "goal").dropna().distinct().withColumn("pair", F.monotonically_increasing_id()))
     ends = [asked.select("pair", F.col(c).alias("node")) for c in ("start", "goal")]  # the frontiers: from the start, from the goal
     seen, pointers = list(ends), ([], [])
     met = asked.where("start = goal").select("pair", F.col("start").alias("node"), F.lit(0).alias("hops"))
     searching = asked.where("start != goal").select("pair")
+
+    def grown(frontier):
+        # a count of parts that is given stays as it is, so what is settled by (pair, node) need not be shuffled again
+        near = frontier.repartition(parts, "node").join(ways, "node").select("pair", F.col("node").alias("before"), F.explode("others").alias("node"))
+        return near.select("pair", "node", "before").repartition(parts, "pair", "node")
+
     for length in range(1, max_depth + 1):
         side = (length + 1) % 2
-        step = ends[side].join(searching, "pair", "left_semi").join(ways, "node").select("pair", F.col("other").alias("node"), F.col("node").alias("before"))
+        frontier = ends[side].join(searching, "pair", "left_semi")
         if length == max_depth:  # only what meets the other frontier matters; none of that was seen, or the pair had met before
-            step = settle(step.join(ends[1 - side], ["pair", "node"], "left_semi"))
+            # the most rows of all: some pairs at a time, each slice's shuffle is gone before the next one
+            slices = max(1, -(-ends[side].count() // FRONTIER_ROWS))
+            some = [frontier.where(F.pmod(F.xxhash64("pair"), F.lit(slices)) == i) if slices > 1 else frontier for i in range(slices)]
+            step = reduce(DataFrame.unionByName, [settle(grown(f).join(ends[1 - side], ["pair", "node"], "left_semi")) for f in some])
             pointers[side].append(step)
             met = met.unionByName(step.select("pair", "node").distinct().withColumn("hops", F.lit(len(pointers[0]))))
             break
-        step = settle(step.join(seen[side], ["pair", "node"], "left_anti"))
+        step = settle(grown(frontier).join(seen[side], ["pair", "node"], "left_anti"))
         pointers[side].append(step)
         ends[side] = step.select("pair", "node").distinct()
         seen[side] = seen[side].unionByName(ends[side])
@@ -185,7 +208,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
         onward.insert(0, step)
         good = step.select("pair", "node")
     found = settle(asked.join(met.select("pair"), "pair", "left_semi"))
-    back = [p.join(found, "pair", "left_semi").groupBy("pair", "node").agg(F.min("before").alias("next")) for p in reversed(pointers[1])]
+    # of pairs that were not found too: so no row is shuffled, and none of them is met below
+    back = [p.groupBy("pair", "node").agg(F.min("before").alias("next")) for p in reversed(pointers[1])]
     out = found.withColumn("node", F.col("start")).withColumn("path", F.array("start"))
     for step in onward + back:
         out = out.join(step, ["pair", "node"], "left").select("pair", "start", "goal", F.coalesce("next", "node").alias("node"), F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"))

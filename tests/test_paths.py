@@ -56,3 +56,40 @@ def test_the_last_hop_keeps_only_what_meets_the_other_end(spark, monkeypatch):
     got = G.shortest_paths(spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame([(0, 9000)], "start long, goal long"), 3).collect()
     assert [r.path for r in got] == [[0, 5, 507, 9000]]
     assert [n for columns, n in kept if "before" in columns] == [20, 1, 1]
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files that are on this machine now."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_") and f.getName().endswith(".data"))
+
+
+def test_a_hop_leaves_no_shuffle_files(spark):
+    """They stayed until the driver happened to collect garbage: the sum over all hops filled the disk."""
+    rng = np.random.default_rng(5)
+    edges = spark.createDataFrame([(int(a), int(b) + 3000) for a, b in rng.integers(0, 3000, (12000, 2))], "source_id long, target_id long")
+    pairs = spark.createDataFrame([(i, i + 3000) for i in range(600)], "start long, goal long")
+    before = shuffled(spark)
+    out = G.shortest_paths(edges, pairs, 5)
+    left = shuffled(spark) - before
+    assert left <= 0 and out.count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_slices_and_short_lists_give_the_same_paths(spark, monkeypatch):
+    """The last hop in slices of few frontier rows, and hubs whose neighbors fill many lists."""
+    rng = np.random.default_rng(6)
+    edges = [(0, i) for i in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(1, 200, (150, 2))]
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 200, (80, 2))]
+    frames = spark.createDataFrame(edges, "source_id long, target_id long"), spark.createDataFrame(pairs, "start long, goal long")
+    ways = defaultdict(set)
+    for a, b in edges:
+        ways[a].add(b), ways[b].add(a)
+    want = {(a, b): p for a, b in pairs if (p := least_path(ways, a, b, 3)) is not None}
+    last, settle = [], G.settle
+    monkeypatch.setattr(G, "settle", lambda df: (last.append(df.columns), settle(df))[1])
+    monkeypatch.setattr(G, "FRONTIER_ROWS", 40)
+    monkeypatch.setattr(G, "LIST_NODES", 7)
+    got = G.shortest_paths(*frames, 3).collect()
+    assert {(r.start, r.goal): r.path for r in got} == want and len(want) >= 20
+    assert last.count(["pair", "node", "before"]) > 4
