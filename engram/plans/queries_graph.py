@@ -88,7 +88,7 @@ def shortest_paths(spark, d):
     order, part = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
     edges = A.table(spark, d, "lineitem").select(order("l_orderkey").alias("source_id"), part("l_partkey").alias("target_id"))
     asked = A.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(order("o_orderkey").alias("start"), part("o_custkey").alias("goal"))
-    named = lambda letter, c: F.concat(F.lit(letter), F.floor(F.col(c) / 2)).alias(c)
+    named = lambda letter, c: F.concat(F.lit(letter), F.shiftright(c, 1)).alias(c)
     return G.shortest_paths(edges, asked, 5).select(named("o", "start"), named("p", "goal"), "length")
 
 
